@@ -194,3 +194,20 @@ def sequence_hash(h: np.ndarray, start: np.ndarray, base: np.uint64) -> np.ndarr
         mixed = mix(h + mix((place + np.uint64(1)) * base))
         sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)))
         return mix(sums[start[1:]] - sums[start[:-1]] + size.astype(np.uint64) * base)
+
+
+#: Rows of ids (or of pairs of ids) up to which a side of a join is broadcast: at most 16 MB of numbers.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a kept table of ids if its counted rows allow it; otherwise the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def word_hashes(texts: list[bytes], words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(sizes, h1, h2, begin)``: words of each text, both word hashes of all, and each text's first word."""
+    split = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    one, two = words.hashes([w for s in split for w in s])
+    return sizes, one, two, np.concatenate(([0], np.cumsum(sizes)))

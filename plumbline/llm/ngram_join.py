@@ -1 +1,308 @@
-def first_of_each(df): raise NotImplementedError
+"""N-gram Jaccard join by parity sketches.
+
+A text's set holds its distinct shingles of five words. Its sketch has C cells for its size band; every
+shingle XORs its hash into one cell, so each shingle of the symmetric difference changes one cell at most, and two
+sets with difference d differ in at most d cells. A link needs d <= (|A| + |B|) / 7 =: D. By the pigeonhole
+principle a linked pair shares one of the first D + 1 filled cells of either side, in any cell order that both use. These
+cells are the join keys; a set emits them for its size band and for the next band if partners reach into it.
+
+Candidates are pruned by a bit sketch (parities of SKETCH_BITS hashed bits: its Hamming distance, too, is a lower bound of d) and verified
+on the shingles themselves.
+
+Only components are asked for, so candidates need not be all pairs: equal sets are collapsed first; then every set
+is compared with a hub of each of its keys; then, of the keys that still join several components, the
+rare ones compare all pairs across components. Keys with more than ``most`` components are demoted: the sets that hold
+them choose their D + 1 cells anew, demoted cells last, which keeps the guarantee for pairs of such sets. What is still crowded after
+``levels`` such rounds is compared in full, whatever its size.
+
+Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text of one to four
+words is one shingle; rows with a null id get no component; rows that share an id are one document with the links of either; an empty table gives an empty
+result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import BASES, WordTable, connected_components, keep, mix, rolling, sequence_hash, signed, small_side, text_chunks, texts_of, word_hashes
+
+#: Upper bounds of size bands; the cells of a band are four times its bound.
+BANDS = np.array([4, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824], np.int64)
+SKETCH_BITS = 2048
+#: Sets of equal texts beyond this many are left out of the key join but for their first; the largest HOT_SETS of them.
+HOT_COPIES, HOT_SETS = 16, 50_000
+#: Bits of the table of demoted keys, and the keys that go into it at most (the most crowded).
+DEMOTED_BITS, DEMOTED_KEYS = 1 << 24, 1 << 20
+
+
+def shingle_sets(texts: list[bytes], n: int, words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(bounds, h1, h2)``: distinct shingle hashes of each text, sorted by h1 inside it."""
+    sizes, one, two, begin = word_hashes([t.lower() for t in texts], words)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    full = np.zeros(0, bool) if len(one) < n else owner[: len(owner) - n + 1] == owner[n - 1 :]
+    parts = []
+    short = np.flatnonzero((sizes > 0) & (sizes < n))
+    for hashes, base in ((one, BASES[0]), (two, BASES[1])):
+        whole = sequence_hash(hashes, begin, base)[short]
+        parts.append(np.concatenate((rolling(hashes, n, base)[full], whole)))
+    who = np.concatenate((owner[: len(full)][full], short))
+    order = np.lexsort((parts[0], who))
+    who, h1, h2 = who[order], parts[0][order], parts[1][order]
+    first = np.ones(len(who), bool)
+    first[1:] = (who[1:] != who[:-1]) | (h1[1:] != h1[:-1])
+    who, h1, h2 = who[first], h1[first], h2[first]
+    return np.searchsorted(who, np.arange(len(texts) + 1)), h1, h2
+
+
+def band_keys(h: np.ndarray, band: int) -> np.ndarray:
+    """Keys of the filled cells of one sorted set, in cell order."""
+    shift = np.uint64(64 - int(BANDS[band]).bit_length() - 1)
+    cell = h >> shift
+    begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    word = np.bitwise_xor.reduceat(h, begin)
+    with np.errstate(over="ignore"):
+        return mix(mix(word) ^ mix(cell[begin] * BASES[0] + np.uint64(band + 1) * BASES[1]))
+
+
+def prefix_keys(h: np.ndarray, demoted: np.ndarray | None = None) -> np.ndarray:
+    """The D + 1 keys of one sorted set for each band where it can have partners."""
+    n = len(h)
+    own = int(np.searchsorted(BANDS, n, "right"))
+    out = []
+    for band, most in ((own, min(int(BANDS[own]) - 1, 4 * n // 3)), (own + 1, 4 * n // 3)):
+        if band > own and 3 * int(BANDS[own]) > 4 * n:
+            break
+        keys = band_keys(h, band)
+        if demoted is not None:
+            late = is_demoted(keys, demoted)
+            keys = np.concatenate((keys[~late], keys[late]))
+        out.append(keys[: (n + most) // 7 + 1])
+    return np.concatenate(out)
+
+
+def is_demoted(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = keys % np.uint64(DEMOTED_BITS)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bit_sketch(h: np.ndarray) -> bytes:
+    odd = np.bincount((h % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def set_table(df: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, n_shingles, s1, s2)``: size and 128-bit hash of each row's set."""
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = WordTable()
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            size, s1, s2 = (np.zeros(len(texts), np.int64) for _ in range(3))
+            for i, j in text_chunks(texts):
+                bounds, h1, h2 = shingle_sets(texts[i:j], n, words)
+                size[i:j] = np.diff(bounds)
+                for out, h in ((s1, h1), (s2, h2)):
+                    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64)))
+                    out[i:j] = signed(mix(total[bounds[1:]] - total[bounds[:-1]]))
+            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2)], ["doc_id", "n_shingles", "s1", "s2"])
+
+    return df.mapInArrow(build, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint")
+
+
+def key_table(df: DataFrame, n: int, hot: dict[tuple[int, int], int]) -> DataFrame:
+    """``(key, doc)`` of the first D + 1 cells of every set, but for later copies of the largest groups of equal sets."""
+    shared = df.sparkSession.sparkContext.broadcast(hot)  # HOT_SETS entries at most
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words, hot = WordTable(), shared.value
+        for batch in batches:
+            docs, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
+            for i, j in text_chunks(texts):
+                bounds, h1, h2 = shingle_sets(texts[i:j], n, words)
+                mixed = [np.concatenate(([np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64))) for h in (h1, h2)]
+                s1, s2 = (signed(mix(t[bounds[1:]] - t[bounds[:-1]])) for t in mixed)
+                keys, whose = [], []
+                for k in range(j - i):
+                    a, b = bounds[k], bounds[k + 1]
+                    if a == b or hot and hot.get((int(s1[k]), int(s2[k])), docs[i + k]) != docs[i + k]:
+                        continue
+                    keys.append(prefix_keys(h1[a:b]))
+                    whose.append(np.full(len(keys[-1]), docs[i + k], np.int64))
+                if keys:
+                    yield pa.record_batch([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(whose))], ["key", "doc"])
+
+    return df.mapInArrow(build, "key bigint, doc bigint")
+
+
+def repeated(keys: DataFrame) -> DataFrame:
+    """Rows of ``(key, doc)`` whose key another row has too: one shuffle and sort, then neighbours are compared as they stream by."""
+
+    def neighbours(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        key, doc, same = np.empty(0, np.int64), np.empty(0, np.int64), False
+        for batch in batches:
+            key, doc = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((doc, batch.column(1).to_numpy()))
+            equal = np.concatenate(([same], key[1:] == key[:-1]))
+            found = equal.copy()
+            found[:-1] |= equal[1:]
+            if found[:-1].any():
+                yield pa.record_batch([pa.array(key[:-1][found[:-1]]), pa.array(doc[:-1][found[:-1]])], ["key", "doc"])
+            key, doc, same = key[-1:], doc[-1:], bool(equal[-1]) if len(equal) else False
+        if same and len(key):
+            yield pa.record_batch([pa.array(key), pa.array(doc)], ["key", "doc"])
+
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, "key bigint, doc bigint")
+
+
+def sketches(df: DataFrame, n: int) -> DataFrame:
+    """``(doc, sketch, shingles)`` of candidate documents; shingles as packed sorted hashes."""
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = WordTable()
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for i, j in text_chunks(texts):
+                bounds, h1, _ = shingle_sets(texts[i:j], n, words)
+                sets = [h1[bounds[k] : bounds[k + 1]] for k in range(j - i)]
+                yield pa.record_batch([batch.column(0)[i:j], pa.array([bit_sketch(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc", "sketch", "shingles"])
+
+    return df.mapInArrow(build, "doc bigint, sketch binary, shingles binary")
+
+
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return F.greatest(a, b) * 3 <= F.least(a, b) * 4
+
+
+def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The linked among ``pairs(a, b)``: sketches first, then shingles."""
+
+    def close(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            a = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            b = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            # |A ∆ B| <= (1 - p) / (1 + p) (|A| + |B|) for a similarity of p
+            yield batch.select([0, 1]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * total))
+
+    def same(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.searchsorted(large, small)
+                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda c, field: held.select(F.col("doc").alias(c), F.col(field).alias(f"{c}_{field}"), (F.octet_length("shingles") / 8).cast("long").alias(f"{c}_n"))
+    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").filter(_sizes_fit(F.col("a_n"), F.col("b_n")))
+    near = near.select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(close, "a bigint, b bigint").distinct()
+    whole = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles")
+    return keep(whole.mapInArrow(same, "a bigint, b bigint").distinct(), "links")
+
+
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, most: int = 8, levels: int = 3) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``df``."""
+    if percent != 75:
+        raise ValueError("bands and prefixes are laid out for a similarity of 75 %")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sets = keep(set_table(docs, n), "sets")
+    filled = sets.filter("n_shingles > 0 and doc_id is not null")
+    groups = keep(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "groups")
+    crowd = groups.filter(F.col("copies") > HOT_COPIES).orderBy(F.col("copies").desc(), "s1", "s2").limit(HOT_SETS).collect()
+    members = filled.join(groups.select("s1", "s2", "first"), ["s1", "s2"]).select("doc_id", "first")
+    equal = members.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    firsts = keep(members.distinct(), "firsts")
+
+    keys = keep(repeated(key_table(docs.filter("doc_id is not null"), n, {(r["s1"], r["s2"]): r["first"] for r in crowd})), "keys")
+    shared = keys.join(firsts.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("first").alias("doc")).distinct()
+    shared = keep(shared.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1").drop("_n"), "shared")
+    candidates = keep(shared.select("doc").distinct(), "candidates")
+    held = keep(sketches(docs.join(small_side(candidates), F.col("doc_id") == F.col("doc"), "left_semi"), n), "sketches")
+
+    links, done = equal, None
+    part = candidates.select("doc", F.col("doc").alias("part"))
+
+    def advance(pairs: DataFrame) -> None:
+        nonlocal links, done, part
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = keep(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        links = links.unionByName(verify(pairs, held, percent))
+        found = connected_components(links)
+        part = keep(candidates.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("part")), "parts")
+
+    def open_keys(rows: DataFrame) -> DataFrame:
+        """Rows of the keys that still join several components, with the number of those."""
+        now = rows.join(part, "doc")
+        parts = now.groupBy("key", "part").agg(F.count("*").alias("_c")).groupBy("key").agg(F.count("*").alias("parts")).filter("parts > 1")
+        return keep(now.join(parts, "key"), "open")
+
+    def hub_pairs(rows: DataFrame, seed: int) -> DataFrame:
+        order = F.struct(F.xxhash64(F.lit(seed), "part"), F.col("doc"), F.col("part")) if seed else F.struct(F.col("doc").alias("_o"), F.col("doc"), F.col("part"))
+        hubs = rows.groupBy("key").agg(F.min(order).alias("_hub"))
+        return rows.join(hubs, "key").filter(F.col("part") != F.col("_hub.part")).select(F.col("doc").alias("a"), F.col("_hub.doc").alias("b"))
+
+    def across(rows: DataFrame) -> DataFrame:
+        left, right = rows.select("key", F.col("doc").alias("a"), F.col("part").alias("pa")), rows.select("key", F.col("doc").alias("b"), F.col("part").alias("pb"))
+        return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).select("a", "b").distinct()
+
+    rows = shared
+    for level in range(levels + 1):
+        advance(hub_pairs(rows.join(part, "doc"), seed=0))
+        rest = open_keys(rows)
+        if rest.filter(F.col("parts") > most).limit(1).count():
+            advance(hub_pairs(rest.filter(F.col("parts") > most), seed=level + 1))
+            rest = open_keys(rows)
+        last = level == levels
+        advance(across(rest if last else rest.filter(F.col("parts") <= most)))
+        crowded = rest.filter(F.col("parts") > most)
+        top = [] if last else crowded.groupBy("key").agg(F.max("parts").alias("parts")).orderBy(F.col("parts").desc(), "key").limit(DEMOTED_KEYS).select("key").toPandas()["key"].to_numpy(np.int64)
+        if not len(top):
+            break
+        again = keep(crowded.select("doc").distinct(), "crowded")
+        rows = keep(_demoted_keys(held.join(small_side(again), "doc", "left_semi"), top), "shared")
+    found = connected_components(links)
+    out = sets.join(found, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _demoted_keys(held: DataFrame, top: np.ndarray) -> DataFrame:
+    table = np.zeros(DEMOTED_BITS // 8, np.uint8)
+    at = top.view(np.uint64) % np.uint64(DEMOTED_BITS)
+    np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+    shared = held.sparkSession.sparkContext.broadcast(table)  # DEMOTED_BITS, fixed
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            keys = [prefix_keys(np.frombuffer(s, np.uint64), shared.value) for s in batch.column(1).to_pylist()]
+            yield pa.record_batch([pa.array(signed(np.concatenate(keys) if keys else np.empty(0, np.uint64))), pa.array(np.repeat(docs, [len(k) for k in keys]))], ["key", "doc"])
+
+    return repeated(held.select("doc", "shingles").mapInArrow(build, "key bigint, doc bigint").distinct())
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``df`` without the documents whose component has a smaller id; rows without an id stay."""
+    found = link(df, id_col, text_col, **how)
+    gone = keep(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return df.join(small_side(gone), F.col(id_col) == F.col("_gone"), "left_anti")

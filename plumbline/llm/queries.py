@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, language, lines, mixing, packing, quality, sharding
+from plumbline.llm import fingerprints, language, lines, mixing, ngram_join, packing, quality, sharding
 
 SHARDS = 40
 
@@ -45,6 +45,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", "host", F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     model = quality.fit(quality.sample_labelled(docs, labels.filter(fold("doc_id", 3) != 1)))
@@ -64,7 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_mixing, op4_packing, op6_line_dedup, op8_quality_classifier, op9_language_id, op10_fingerprints)
+    f.__name__: f for f in (op1_sharding, op2_mixing, op4_packing, op6_line_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_fingerprints)
 }
 
 _OP6 = r"""
@@ -87,4 +91,18 @@ SELECT page_id, any_value(host) AS host, CAST(count(*) FILTER (gone) AS BIGINT)
 FROM flagged GROUP BY page_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": _OP6}
+_OP7 = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM word, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.doc_id)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id
+FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": _OP6, "op7_ngram_jaccard_join": _OP7}
