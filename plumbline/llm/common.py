@@ -4,7 +4,7 @@
 * ``running_offset`` is a prefix sum inside groups of any size: groups are cut into hash
   ranges, so that no task holds a whole group.
 * ``connected_components`` labels components by alternating large-star and small-star steps.
-* ``WordTable`` and ``rolling`` hash word sequences in NumPy, 128 bits wide.
+* ``WordTable`` and ``rolling`` hash word sequences in NumPy.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,28 +98,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 class WordTable:
-    """128-bit hashes of words, cached up to a bound and then started afresh."""
+    """64-bit hashes of words, cached up to a bound and then started afresh."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self._reset()
+    def __init__(self, limit: int = 600_000):
+        self.limit, self.known = limit, {}
 
-    def _reset(self) -> None:
-        self.ids, self.one, self.two = {}, array("Q"), array("Q")
-
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(self.ids) > self.limit:
-            self._reset()
-        ids, one, two = self.ids, self.one, self.two
-        for word in set(words).difference(ids):
-            wide = xxhash.xxh3_128_intdigest(word)
-            ids[word] = len(one)
-            one.append(wide & 0xFFFFFFFFFFFFFFFF)
-            two.append(wide >> 64)
-        at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        return np.array(one, np.uint64)[at], np.array(two, np.uint64)[at]
+        if len(self.known) > self.limit:
+            self.known = {}
+        known = self.known
+        for word in set(words).difference(known):
+            known[word] = xxhash.xxh3_64_intdigest(word)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 #: Odd multipliers of the two rolling hashes.
@@ -205,9 +196,8 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def word_hashes(texts: list[bytes], words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(sizes, h1, h2, begin)``: words of each text, both word hashes of all, and each text's first word."""
+def word_hashes(texts: list[bytes], words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(sizes, hashes, begin)``: words of each text, the hashes of all in order, and each text's first word."""
     split = [t.split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    one, two = words.hashes([w for s in split for w in s])
-    return sizes, one, two, np.concatenate(([0], np.cumsum(sizes)))
+    return sizes, words.hashes([w for s in split for w in s]), np.concatenate(([0], np.cumsum(sizes)))

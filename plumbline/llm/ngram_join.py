@@ -9,11 +9,11 @@ cells are the join keys; a set emits them for its size band and for the next ban
 Candidates are pruned by a bit sketch (parities of SKETCH_BITS hashed bits: its Hamming distance, too, is a lower bound of d) and verified
 on the shingles themselves.
 
-Only components are asked for, so candidates need not be all pairs: equal sets are collapsed first; then every set
-is compared with a hub of each of its keys; then, of the keys that still join several components, the
-rare ones compare all pairs across components. Keys with more than ``most`` components are demoted: the sets that hold
-them choose their D + 1 cells anew, demoted cells last, which keeps the guarantee for pairs of such sets. What is still crowded after
-``levels`` such rounds is compared in full, whatever its size.
+Equal sets are collapsed first. Keys of up to ``most`` sets give all their pairs. More crowded keys are
+demoted: the sets that hold them choose their D + 1 cells anew, demoted cells last, which keeps the guarantee for pairs of such sets
+(a linked pair that met in a crowded key has both its sets chosen anew). What is crowded after ``levels`` rounds, groups of near copies above all, is compared
+with one hub a key; then, as only components are asked for, all pairs of a key that are in different components still are compared, whatever their
+number.
 
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text of one to four
 words is one shingle; rows with a null id get no component; rows that share an id are one document with the links of either; an empty table gives an empty
@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import BASES, WordTable, connected_components, keep, mix, rolling, sequence_hash, signed, small_side, text_chunks, texts_of, word_hashes
@@ -33,29 +33,29 @@ from plumbline.llm.common import BASES, WordTable, connected_components, keep, m
 #: Upper bounds of size bands; the cells of a band are four times its bound.
 BANDS = np.array([4, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824], np.int64)
 SKETCH_BITS = 2048
-#: Sets of equal texts beyond this many are left out of the key join but for their first; the largest HOT_SETS of them.
-HOT_COPIES, HOT_SETS = 16, 50_000
 #: Bits of the table of demoted keys, and the keys that go into it at most (the most crowded).
 DEMOTED_BITS, DEMOTED_KEYS = 1 << 24, 1 << 20
 
 
-def shingle_sets(texts: list[bytes], n: int, words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(bounds, h1, h2)``: distinct shingle hashes of each text, sorted by h1 inside it."""
-    sizes, one, two, begin = word_hashes([t.lower() for t in texts], words)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    full = np.zeros(0, bool) if len(one) < n else owner[: len(owner) - n + 1] == owner[n - 1 :]
-    parts = []
-    short = np.flatnonzero((sizes > 0) & (sizes < n))
-    for hashes, base in ((one, BASES[0]), (two, BASES[1])):
-        whole = sequence_hash(hashes, begin, base)[short]
-        parts.append(np.concatenate((rolling(hashes, n, base)[full], whole)))
-    who = np.concatenate((owner[: len(full)][full], short))
-    order = np.lexsort((parts[0], who))
-    who, h1, h2 = who[order], parts[0][order], parts[1][order]
-    first = np.ones(len(who), bool)
-    first[1:] = (who[1:] != who[:-1]) | (h1[1:] != h1[:-1])
-    who, h1, h2 = who[first], h1[first], h2[first]
-    return np.searchsorted(who, np.arange(len(texts) + 1)), h1, h2
+def shingle_sets(texts: list[bytes], n: int, words: WordTable) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text."""
+    sizes, one, begin = word_hashes([t.lower() for t in texts], words)
+    windows = rolling(one, n, BASES[0])
+    out = []
+    for k, size in enumerate(sizes.tolist()):
+        at = int(begin[k])
+        if size >= n:
+            h = np.sort(windows[at : at + size - n + 1])
+            out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+        else:
+            out.append(sequence_hash(one[at : at + size], np.array([0, size]), BASES[1])[: min(size, 1)])
+    return out
+
+
+def set_hash(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    with np.errstate(over="ignore"):
+        return tuple(int(mix(h ^ b).sum(dtype=np.uint64).astype(np.int64)) for b in BASES)
 
 
 def band_keys(h: np.ndarray, band: int) -> np.ndarray:
@@ -94,52 +94,25 @@ def bit_sketch(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def set_table(df: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, n_shingles, s1, s2)``: size and 128-bit hash of each row's set."""
+def set_table(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, s1, s2, keys)``: size, 128-bit hash and join keys of each row's set."""
+    shared = df.sparkSession.sparkContext.broadcast(demoted)  # DEMOTED_BITS or nothing
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = WordTable()
+        words, demoted = WordTable(), shared.value
         for batch in batches:
             texts = texts_of(batch.column(1))
-            size, s1, s2 = (np.zeros(len(texts), np.int64) for _ in range(3))
             for i, j in text_chunks(texts):
-                bounds, h1, h2 = shingle_sets(texts[i:j], n, words)
-                size[i:j] = np.diff(bounds)
-                for out, h in ((s1, h1), (s2, h2)):
-                    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64)))
-                    out[i:j] = signed(mix(total[bounds[1:]] - total[bounds[:-1]]))
-            yield pa.record_batch([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2)], ["doc_id", "n_shingles", "s1", "s2"])
-
-    return df.mapInArrow(build, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint")
-
-
-def key_table(df: DataFrame, n: int, hot: dict[tuple[int, int], int]) -> DataFrame:
-    """``(key, doc)`` of the first D + 1 cells of every set, but for later copies of the largest groups of equal sets."""
-    shared = df.sparkSession.sparkContext.broadcast(hot)  # HOT_SETS entries at most
+                sets = shingle_sets(texts[i:j], n, words)
+                hashes = [set_hash(h) for h in sets]
+                keys = [signed(prefix_keys(h, demoted)) if len(h) else np.empty(0, np.int64) for h in sets]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
+                columns = [batch.column(0)[i:j], pa.array([len(h) for h in sets], pa.int64()), *[pa.array([h[c] for h in hashes], pa.int64()) for c in (0, 1)]]
+                yield pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))], ["doc_id", "n_shingles", "s1", "s2", "keys"])
 
-    def build(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        words, hot = WordTable(), shared.value
-        for batch in batches:
-            docs, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
-            for i, j in text_chunks(texts):
-                bounds, h1, h2 = shingle_sets(texts[i:j], n, words)
-                mixed = [np.concatenate(([np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64))) for h in (h1, h2)]
-                s1, s2 = (signed(mix(t[bounds[1:]] - t[bounds[:-1]])) for t in mixed)
-                keys, whose = [], []
-                for k in range(j - i):
-                    a, b = bounds[k], bounds[k + 1]
-                    if a == b or hot and hot.get((int(s1[k]), int(s2[k])), docs[i + k]) != docs[i + k]:
-                        continue
-                    keys.append(prefix_keys(h1[a:b]))
-                    whose.append(np.full(len(keys[-1]), docs[i + k], np.int64))
-                if keys:
-                    yield pa.record_batch([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(whose))], ["key", "doc"])
-
-    return df.mapInArrow(build, "key bigint, doc bigint")
+    return df.mapInArrow(build, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>")
 
 
 def repeated(keys: DataFrame) -> DataFrame:
@@ -173,8 +146,7 @@ def sketches(df: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch.column(1))
             for i, j in text_chunks(texts):
-                bounds, h1, _ = shingle_sets(texts[i:j], n, words)
-                sets = [h1[bounds[k] : bounds[k + 1]] for k in range(j - i)]
+                sets = shingle_sets(texts[i:j], n, words)
                 yield pa.record_batch([batch.column(0)[i:j], pa.array([bit_sketch(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc", "sketch", "shingles"])
 
     return df.mapInArrow(build, "doc bigint, sketch binary, shingles binary")
@@ -184,8 +156,10 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.greatest(a, b) * 3 <= F.least(a, b) * 4
 
 
-def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The linked among ``pairs(a, b)``: sketches first, then shingles."""
+def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked among ``pairs(a, b)``: sizes and sketches first, then shingles, of the documents in pairs."""
+    ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ends")
+    held = keep(sketches(docs.join(small_side(ends), F.col("doc_id") == F.col("doc"), "left_semi"), n), "sketches")
 
     def close(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -218,89 +192,65 @@ def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return keep(whole.mapInArrow(same, "a bigint, b bigint").distinct(), "links")
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, most: int = 8, levels: int = 3) -> DataFrame:
+def demote(keys: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+    table = np.zeros(DEMOTED_BITS // 8, np.uint8) if table is None else table.copy()
+    at = keys.view(np.uint64) % np.uint64(DEMOTED_BITS)
+    np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return table
+
+
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, most: int = 8, levels: int = 2) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``df``."""
     if percent != 75:
         raise ValueError("bands and prefixes are laid out for a similarity of 75 %")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = keep(set_table(docs, n), "sets")
+    table = keep(set_table(docs, n), "sets")
+    sets = table.select("doc_id", "n_shingles", "s1", "s2")
     filled = sets.filter("n_shingles > 0 and doc_id is not null")
-    groups = keep(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "groups")
-    crowd = groups.filter(F.col("copies") > HOT_COPIES).orderBy(F.col("copies").desc(), "s1", "s2").limit(HOT_SETS).collect()
-    members = filled.join(groups.select("s1", "s2", "first"), ["s1", "s2"]).select("doc_id", "first")
-    equal = members.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    firsts = keep(members.distinct(), "firsts")
-
-    keys = keep(repeated(key_table(docs.filter("doc_id is not null"), n, {(r["s1"], r["s2"]): r["first"] for r in crowd})), "keys")
-    shared = keys.join(firsts.withColumnRenamed("doc_id", "doc"), "doc").select("key", F.col("first").alias("doc")).distinct()
-    shared = keep(shared.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1").drop("_n"), "shared")
-    candidates = keep(shared.select("doc").distinct(), "candidates")
-    held = keep(sketches(docs.join(small_side(candidates), F.col("doc_id") == F.col("doc"), "left_semi"), n), "sketches")
-
-    links, done = equal, None
-    part = candidates.select("doc", F.col("doc").alias("part"))
-
-    def advance(pairs: DataFrame) -> None:
-        nonlocal links, done, part
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = keep(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = links.unionByName(verify(pairs, held, percent))
-        found = connected_components(links)
-        part = keep(candidates.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("part")), "parts")
-
-    def open_keys(rows: DataFrame) -> DataFrame:
-        """Rows of the keys that still join several components, with the number of those."""
-        now = rows.join(part, "doc")
-        parts = now.groupBy("key", "part").agg(F.count("*").alias("_c")).groupBy("key").agg(F.count("*").alias("parts")).filter("parts > 1")
-        return keep(now.join(parts, "key"), "open")
-
-    def hub_pairs(rows: DataFrame, seed: int) -> DataFrame:
-        order = F.struct(F.xxhash64(F.lit(seed), "part"), F.col("doc"), F.col("part")) if seed else F.struct(F.col("doc").alias("_o"), F.col("doc"), F.col("part"))
-        hubs = rows.groupBy("key").agg(F.min(order).alias("_hub"))
-        return rows.join(hubs, "key").filter(F.col("part") != F.col("_hub.part")).select(F.col("doc").alias("a"), F.col("_hub.doc").alias("b"))
-
-    def across(rows: DataFrame) -> DataFrame:
-        left, right = rows.select("key", F.col("doc").alias("a"), F.col("part").alias("pa")), rows.select("key", F.col("doc").alias("b"), F.col("part").alias("pb"))
-        return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).select("a", "b").distinct()
-
-    rows = shared
-    for level in range(levels + 1):
-        advance(hub_pairs(rows.join(part, "doc"), seed=0))
-        rest = open_keys(rows)
-        if rest.filter(F.col("parts") > most).limit(1).count():
-            advance(hub_pairs(rest.filter(F.col("parts") > most), seed=level + 1))
-            rest = open_keys(rows)
-        last = level == levels
-        advance(across(rest if last else rest.filter(F.col("parts") <= most)))
-        crowded = rest.filter(F.col("parts") > most)
-        top = [] if last else crowded.groupBy("key").agg(F.max("parts").alias("parts")).orderBy(F.col("parts").desc(), "key").limit(DEMOTED_KEYS).select("key").toPandas()["key"].to_numpy(np.int64)
+    first = filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    later = keep(filled.join(first, ["s1", "s2"]).filter("doc_id <> first").select("doc_id", "s1", "first").distinct(), "later")
+    links = later.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+
+    def rows_of(sets: DataFrame) -> DataFrame:
+        """Repeated ``(key, doc)`` of sets with keys, but for later copies of equal sets."""
+        alone = sets.filter("n_shingles > 0 and doc_id is not null").join(small_side(later.select("doc_id", "s1")), ["doc_id", "s1"], "left_anti")
+        return keep(repeated(alone.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))).distinct(), "keys")
+
+    def across(rows: DataFrame, apart: Column) -> DataFrame:
+        left, right = (rows.select("key", F.struct("doc", *[c for c in rows.columns if c == "part"]).alias(c)) for c in "ab")
+        return left.join(right, "key").filter((F.col("a.doc") < F.col("b.doc")) & apart).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+
+    rows, demoted, pairs, level = rows_of(table), None, None, 0
+    while True:
+        counts = keep(rows.groupBy("key").agg(F.count("*").alias("docs")).filter("docs > 1"), "counts")
+        few = across(rows.join(counts.filter(F.col("docs") <= most), "key").select("key", "doc"), F.lit(True))
+        pairs = few if pairs is None else pairs.unionByName(few)
+        crowded = counts.filter(F.col("docs") > most)
+        top = crowded.orderBy(F.col("docs").desc(), "key").limit(DEMOTED_KEYS).select("key").toPandas()["key"].to_numpy(np.int64) if level < levels else []
         if not len(top):
             break
-        again = keep(crowded.select("doc").distinct(), "crowded")
-        rows = keep(_demoted_keys(held.join(small_side(again), "doc", "left_semi"), top), "shared")
-    found = connected_components(links)
+        level += 1
+        demoted = demote(top, demoted)
+        again = keep(rows.join(crowded, "key", "left_semi").select("doc").distinct(), "crowded")
+        rows = rows_of(set_table(docs.join(small_side(again), F.col("doc_id") == F.col("doc"), "left_semi"), n, demoted))
+    rows = keep(rows.join(crowded, "key", "left_semi"), "crowd")  # groups of near copies, and sets made of little else than shared passages
+    hubs = rows.groupBy("key").agg(F.min("doc").alias("hub"))
+    pairs = pairs.unionByName(rows.join(hubs, "key").filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    pairs = keep(pairs.distinct(), "pairs")
+    links = links.unionByName(verify(pairs, docs, n, percent))
+    found = keep(connected_components(links), "parts")
+    if rows.limit(1).count():
+        rest = rows.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("part"))
+        apart = rest.groupBy("key", "part").agg(F.count("*").alias("_n")).groupBy("key").agg(F.count("*").alias("_parts")).filter("_parts > 1").select("key")
+        rest = across(rest.join(apart, "key"), F.col("a.part") != F.col("b.part")).distinct()
+        rest = keep(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = verify(rest, docs, n, percent)
+        if more.limit(1).count():
+            found = connected_components(links.unionByName(more))
     out = sets.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _demoted_keys(held: DataFrame, top: np.ndarray) -> DataFrame:
-    table = np.zeros(DEMOTED_BITS // 8, np.uint8)
-    at = top.view(np.uint64) % np.uint64(DEMOTED_BITS)
-    np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-    shared = held.sparkSession.sparkContext.broadcast(table)  # DEMOTED_BITS, fixed
-
-    def build(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            docs = batch.column(0).to_numpy()
-            keys = [prefix_keys(np.frombuffer(s, np.uint64), shared.value) for s in batch.column(1).to_pylist()]
-            yield pa.record_batch([pa.array(signed(np.concatenate(keys) if keys else np.empty(0, np.uint64))), pa.array(np.repeat(docs, [len(k) for k in keys]))], ["key", "doc"])
-
-    return repeated(held.select("doc", "shingles").mapInArrow(build, "key bigint, doc bigint").distinct())
-
-
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``df`` without the documents whose component has a smaller id; rows without an id stay."""
     found = link(df, id_col, text_col, **how)

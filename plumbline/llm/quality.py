@@ -44,7 +44,7 @@ def features(texts: list[bytes], words: WordTable) -> tuple[np.ndarray, np.ndarr
     """``(text number, feature)``, distinct and sorted; ASCII letters compare without case."""
     split = [t.lower().split() for t in texts]
     sizes = np.array([len(s) for s in split], np.int64)
-    hashes, _ = words.hashes([w for s in split for w in s])
+    hashes = words.hashes([w for s in split for w in s])
     owner = np.repeat(np.arange(len(texts)), sizes)
     with np.errstate(over="ignore"):
         pair = (hashes[:-1] * BASES[0] + hashes[1:]) * BASES[1]
@@ -154,12 +154,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, se
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)`` for whole texts."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # two arrays of FEATURES numbers
+    parts = (model.ratio, model.weight, model.bias, model.slope, model.shift)
+    shared = df.sparkSession.sparkContext.broadcast(parts)  # two arrays of FEATURES numbers
 
     def predict(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, model = WordTable(), shared.value
+        words, model = WordTable(), Model(*shared.value)
         for batch in batches:
             texts, out = texts_of(batch.column(1)), []
             for i, j in text_chunks(texts):
