@@ -4,7 +4,7 @@
 * ``running_offset`` is a prefix sum inside groups of any size: groups are cut into hash
   ranges, so that no task holds a whole group.
 * ``connected_components`` labels components by alternating large-star and small-star steps.
-* ``WordTable`` and ``rolling`` hash word sequences in NumPy.
+* ``word_hashes`` and ``rolling`` hash word sequences in NumPy.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker holds as arrays at a time (a longer text is one chunk of its own).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -97,23 +98,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-class WordTable:
-    """64-bit hashes of words, cached up to a bound and then started afresh."""
-
-    def __init__(self, limit: int = 600_000):
-        self.limit, self.known = limit, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 #: Odd multipliers of the two rolling hashes.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -150,19 +134,6 @@ def rolling(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
             power, width = power * power, width * 2
 
 
-def text_chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK_BYTES."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or b"") > CHUNK_BYTES:
-            yield at, i
-            at = i
-            size = 0
-        size += len(t or b"")
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is the empty text."""
     import pyarrow as pa
@@ -196,8 +167,49 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def word_hashes(texts: list[bytes], words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(sizes, hashes, begin)``: words of each text, the hashes of all in order, and each text's first word."""
-    split = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    return sizes, words.hashes([w for s in split for w in s]), np.concatenate(([0], np.cumsum(sizes)))
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes with ASCII letters in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+@cache
+def _table() -> np.ndarray:
+    """Random 64-bit values of (place modulo 64, byte): words hash by tabulation."""
+    return mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * BASES[0])
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(sizes, hashes, begin)``: words of each text, 64-bit hashes of all in order, and each text's first word."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    if lower:
+        data = LOWER[data]
+    space = SPACE[data]
+    at = np.flatnonzero(~space)
+    first = np.ones(len(at), bool)
+    first[1:] = np.diff(at) > 1
+    begin = np.flatnonzero(first)
+    start = at[begin]
+    lengths = np.diff(np.append(begin, len(at)))
+    place = at - np.repeat(start, lengths)
+    values = _table()[((place & 63) << 8) | data[at]]
+    far = place > 63
+    with np.errstate(over="ignore"):
+        if far.any():
+            values[far] *= (2 * (place[far] >> 6) + 1).astype(np.uint64)
+        hashes = mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64) * BASES[1]) if len(begin) else np.empty(0, np.uint64)
+    bounds = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+    return np.diff(bounds), hashes, bounds
+
+
+def chunks(column) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of an Arrow string column of about CHUNK_BYTES, with their texts in UTF-8; null is the empty text."""
+    import pyarrow.compute as pc
+
+    at = 0
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK_BYTES, "right")) + at)
+        yield at, upto, texts_of(column.slice(at, upto - at))
+        at = upto

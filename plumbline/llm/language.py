@@ -19,24 +19,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, text_chunks, texts_of
+from plumbline.llm.common import LOWER, SPACE, chunks, mix
 
 BUCKETS = 1 << 16
 #: Lengths of the n-grams in bytes, and the overlapping n-grams that count as one independent draw.
 SIZES, EVIDENCE = (3,), 1.5
 UNKNOWN = "und"
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``(text number, bucket)`` of every n-gram (of SIZES bytes) of texts; digits and white space are one border each."""
     joined = np.frombuffer(b" " + b" \x00 ".join(texts) + b" ", np.uint8)
     ends = np.cumsum([len(t) + 3 for t in texts])
-    codes = _LOWER[joined]
-    plain = _SPACE[codes] | ((codes >= 48) & (codes < 58)) | (codes == 0)
+    codes = LOWER[joined]
+    plain = SPACE[codes] | ((codes >= 48) & (codes < 58)) | (codes == 0)
     codes = np.where(plain, 32, codes).astype(np.uint64)
     keep = ~(plain & np.concatenate(([False], plain[:-1])))  # runs of borders count once
     at = np.flatnonzero(keep)
@@ -66,9 +62,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
 
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for i, j in text_chunks(texts):
-                owner, bucket = grams(texts[i:j])
+            langs = batch.column(0).to_pylist()
+            for i, j, texts in chunks(batch.column(1)):
+                owner, bucket = grams(texts)
                 names = sorted(set(langs[i:j]))
                 code = np.array([names.index(x) for x in langs[i:j]])
                 for k, name in enumerate(names):
@@ -130,10 +126,9 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "
         letter = regex.compile(r"\p{L}")
         table = shared.value
         for batch in batches:
-            texts = texts_of(batch.column(batch.num_columns - 1))
-            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for i, j in text_chunks(texts) if names else ():
-                owner, bucket = grams(texts[i:j])
+            langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            for i, j, texts in chunks(batch.column(batch.num_columns - 1)) if names else ():
+                owner, bucket = grams(texts)
                 code, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
                 owner, bucket = code // BUCKETS, code % BUCKETS
                 bounds = np.searchsorted(owner, np.arange(j - i + 1))
@@ -141,7 +136,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "
                 scaled = np.exp(logs - logs.max(1, keepdims=True)) if len(logs) else logs
                 for k in range(i, j):
                     a, b = bounds[k - i], bounds[k - i + 1]
-                    if b > a and letter.search(texts[k].decode("utf-8")):
+                    if b > a and letter.search(texts[k - i].decode("utf-8")):
                         top, scores[k] = infer(scaled[a:b], count[a:b] / EVIDENCE, penalty)
                         langs[k] = names[top]
             columns = [batch.column(c) for c in range(batch.num_columns - 1)]

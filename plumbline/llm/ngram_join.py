@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, WordTable, connected_components, keep, mix, rolling, sequence_hash, signed, small_side, text_chunks, texts_of, word_hashes
+from plumbline.llm.common import BASES, chunks, connected_components, keep, mix, rolling, sequence_hash, signed, small_side, word_hashes
 
 #: Upper bounds of size bands; the cells of a band are four times its bound.
 BANDS = np.array([4, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824], np.int64)
@@ -37,9 +37,9 @@ SKETCH_BITS = 2048
 DEMOTED_BITS, DEMOTED_KEYS = 1 << 24, 1 << 20
 
 
-def shingle_sets(texts: list[bytes], n: int, words: WordTable) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    sizes, one, begin = word_hashes([t.lower() for t in texts], words)
+    sizes, one, begin = word_hashes(texts, lower=True)
     windows = rolling(one, n, BASES[0])
     out = []
     for k, size in enumerate(sizes.tolist()):
@@ -101,11 +101,10 @@ def set_table(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataF
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, demoted = WordTable(), shared.value
+        demoted = shared.value
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for i, j in text_chunks(texts):
-                sets = shingle_sets(texts[i:j], n, words)
+            for i, j, texts in chunks(batch.column(1)):
+                sets = shingle_sets(texts, n)
                 hashes = [set_hash(h) for h in sets]
                 keys = [signed(prefix_keys(h, demoted)) if len(h) else np.empty(0, np.int64) for h in sets]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
@@ -142,11 +141,9 @@ def sketches(df: DataFrame, n: int) -> DataFrame:
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = WordTable()
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for i, j in text_chunks(texts):
-                sets = shingle_sets(texts[i:j], n, words)
+            for i, j, texts in chunks(batch.column(1)):
+                sets = shingle_sets(texts, n)
                 yield pa.record_batch([batch.column(0)[i:j], pa.array([bit_sketch(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc", "sketch", "shingles"])
 
     return df.mapInArrow(build, "doc bigint, sketch binary, shingles binary")

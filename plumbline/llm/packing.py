@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import count_at_most, hash_bits, keep, running_offset, text_chunks, texts_of
+from plumbline.llm.common import chunks, count_at_most, hash_bits, keep, running_offset
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Encoded words that a worker remembers before it starts afresh.
@@ -206,9 +206,9 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col:
         words = WordIds(vocabulary)
         for batch in batches:
             rows = ([], [], [], [], [])
-            docs, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for i, j in text_chunks(texts):
-                for doc, ids in zip(docs[i:j], words.encode(texts[i:j]), strict=True):
+            docs = batch.column(0).to_pylist()
+            for i, j, texts in chunks(batch.column(1)):
+                for doc, ids in zip(docs[i:j], words.encode(texts), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

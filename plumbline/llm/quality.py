@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, WordTable, text_chunks, texts_of
+from plumbline.llm.common import BASES, chunks, word_hashes
 
 FEATURES = 1 << 20
 
@@ -40,11 +40,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
 
 
-def features(texts: list[bytes], words: WordTable) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``(text number, feature)``, distinct and sorted; ASCII letters compare without case."""
-    split = [t.lower().split() for t in texts]
-    sizes = np.array([len(s) for s in split], np.int64)
-    hashes = words.hashes([w for s in split for w in s])
+    sizes, hashes, _ = word_hashes(texts, lower=True)
     owner = np.repeat(np.arange(len(texts)), sizes)
     with np.errstate(over="ignore"):
         pair = (hashes[:-1] * BASES[0] + hashes[1:]) * BASES[1]
@@ -61,11 +59,10 @@ def _features_of(df: DataFrame) -> DataFrame:
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words = WordTable()
         for batch in batches:
-            texts, lists = texts_of(batch.column(2)), []
-            for i, j in text_chunks(texts):
-                owner, feature = features(texts[i:j], words)
+            lists = []
+            for i, j, texts in chunks(batch.column(2)):
+                owner, feature = features(texts)
                 lists += np.split(feature.astype(np.int32), np.searchsorted(owner, np.arange(1, j - i)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
 
@@ -160,11 +157,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def predict(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, model = WordTable(), Model(*shared.value)
+        model = Model(*shared.value)
         for batch in batches:
-            texts, out = texts_of(batch.column(1)), []
-            for i, j in text_chunks(texts):
-                owner, feature = features(texts[i:j], words)
+            out = []
+            for i, j, texts in chunks(batch.column(1)):
+                owner, feature = features(texts)
                 out.append(model.scores(owner, feature, j - i))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "score"])
 
