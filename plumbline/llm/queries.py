@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, language, lines, mixing, ngram_join, packing, quality, sharding
+from plumbline.llm import fingerprints, language, lines, mixing, ngram_join, packing, quality, sharding, substrings
 
 SHARDS = 40
 
@@ -39,6 +39,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", lines.url_host(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
     kept = lines.drop_boilerplate(pages, "host", ratio=0.1, min_pages=3)
@@ -68,7 +73,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_mixing, op4_packing, op6_line_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_fingerprints)
+    f.__name__: f for f in (op1_sharding, op2_mixing, op4_packing, op5_substring_dedup, op6_line_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_fingerprints)
 }
 
 _OP6 = r"""
@@ -105,4 +110,17 @@ SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) A
 FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": _OP6, "op7_ngram_jaccard_join": _OP7}
+_OP5 = r"""
+WITH word AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM word, unnest(range(1, len(w) - 18)) AS t(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again, unnest(range(0, 20)) AS t(j)),
+gone_of AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+left_over AS (SELECT word.doc_id, len(w) AS n, len(coalesce(g, [])) AS r, w, g FROM word LEFT JOIN gone_of USING (doc_id)),
+each AS (SELECT doc_id, i, w[i] AS x FROM word, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT each.doc_id, string_agg(x, ' ' ORDER BY each.i) AS s FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND each.i = gone.i GROUP BY each.doc_id)
+SELECT l.doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM left_over l LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op6_line_dedup": _OP6, "op7_ngram_jaccard_join": _OP7}
