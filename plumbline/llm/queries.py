@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fingerprints, language, lines, mixing, ngram_join, packing, quality, sharding, substrings
+from plumbline.llm import embeddings, fingerprints, language, lines, mixing, ngram_join, packing, quality, sharding, substrings
 
 SHARDS = 40
 
@@ -35,6 +35,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -73,7 +77,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_mixing, op4_packing, op5_substring_dedup, op6_line_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_fingerprints)
+    f.__name__: f for f in (op1_sharding, op2_mixing, op3_embedding_near_dedup, op4_packing, op5_substring_dedup, op6_line_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_fingerprints)
 }
 
 _OP6 = r"""
@@ -123,4 +127,15 @@ SELECT l.doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, s
 FROM left_over l LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op6_line_dedup": _OP6, "op7_ngram_jaccard_join": _OP7}
+_OP3 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.vec_id),
+part AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
+SELECT part.vec_id, (SELECT count(*) FROM link WHERE link.a = part.vec_id) AS n_links, component_id, component_id = part.vec_id AS kept FROM part
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": _OP3, "op5_substring_dedup": _OP5, "op6_line_dedup": _OP6, "op7_ngram_jaccard_join": _OP7}
