@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Patterns of the kinds of personal data (fixed values).
 PATTERNS = {
@@ -14,7 +15,7 @@ PATTERNS = {
     "phone": r"(?<!\d)(?:\+?1[\s.\-]?)?(?:\(\d{3}\)|\d{3})[\s.\-]\d{3}[\s.\-]\d{4}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
 }
-SPANS = "array<struct<pii_type:string,start:int,end:int>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def has(text: Column, kind: str) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as a Unicode-aware splitter sees it, including the four ASCII separators (fixed values).
 WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -25,11 +27,20 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int, separator: str = " ") -> Column:
     """Contiguous n-grams joined by ``separator``; none if there are fewer than n tokens."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), separator))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), separator))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def truncate_words(text: Column, most: int) -> Column:
@@ -58,13 +69,13 @@ def type_token_ratio(text: Column) -> Column:
     return share(F.size(F.array_distinct(w)), F.size(w))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def zlib_bits(text):
     """Bits of the zlib-compressed UTF-8 text at the default level."""
     return text.map(lambda t: 8 * len(zlib.compress((t or "").encode())))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compressibility(text):
     """1 minus compressed over plain bytes."""
     return text.map(lambda t: 1 - len(zlib.compress((t or "").encode(), 6)) / max(1, len((t or "").encode())))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,23 +89,20 @@ def stratified_spearman(df: DataFrame, x: str, y: str, bin_col: str = "bin", lea
 
 
 def cubic_residuals(df: DataFrame, y: str, c: str, out: str) -> DataFrame:
-    """Residuals of y on 1, c, c^2, c^3 by Gram-Schmidt on standardised c: one aggregate a step, absent directions skipped."""
-    def step(df: DataFrame, target: str, basis: list[str]) -> DataFrame:
-        for b in basis:
-            sums = df.agg(F.sum(F.col(b) * F.col(b)).alias("_bb"), F.sum(F.col(target) * F.col(b)).alias("_tb"))
-            slope = F.when(F.col("_bb") > 1e-9, F.col("_tb") / F.when(F.col("_bb") > 1e-9, F.col("_bb"))).otherwise(F.lit(0.0))
-            df = df.crossJoin(F.broadcast(sums)).withColumn(target, F.col(target) - slope * F.col(b)).drop("_bb", "_tb")
-        return df
-
-    moments = df.agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"))
-    z = (F.col(c) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
-    df = df.crossJoin(F.broadcast(moments)).withColumn("_1", F.lit(1.0)).withColumn("_z1", z).withColumn("_z2", z * z).withColumn("_z3", z * z * z).drop("_m", "_s")
-    basis = ["_1"]
-    for name in ("_z1", "_z2", "_z3"):
-        df = step(df, name, basis)
-        basis.append(name)
-    df = step(df.withColumn(out, F.col(y).cast("double")), out, basis)
-    return df.drop("_1", "_z1", "_z2", "_z3")
+    """Residuals of y on 1, z, z^2, z^3 with z the standardised c: two one-row aggregates, then a projection.
+
+    The 4 by 4 normal equations are solved on the driver; directions that the data lack (constant c, few distinct values) count for nothing.
+    """
+    m, s = df.agg(F.avg(c), F.stddev_pop(c)).first()
+    z = (F.col(c) - F.lit(m or 0.0)) / F.lit(s or 1.0)
+    powers = [F.lit(1.0), z, z * z, z * z * z]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    got = df.agg(*[F.sum(powers[i] * powers[j]) for i, j in pairs], *[F.sum(p * F.col(y)) for p in powers]).first()
+    normal = np.zeros((4, 4))
+    for (i, j), v in zip(pairs, got, strict=False):
+        normal[i, j] = normal[j, i] = v or 0.0
+    beta = np.linalg.pinv(normal, rcond=1e-12, hermitian=True) @ np.array([v or 0.0 for v in got[len(pairs) :]])
+    return df.withColumn(out, F.col(y).cast("double") - sum((p * float(b) for p, b in zip(powers, beta, strict=True)), F.lit(0.0)))
 
 
 def mediation(df: DataFrame, d: str, m: str, y: str) -> DataFrame:
