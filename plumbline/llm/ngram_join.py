@@ -135,8 +135,8 @@ def repeated(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, "key bigint, doc bigint")
 
 
-def sketches(df: DataFrame, n: int) -> DataFrame:
-    """``(doc, sketch, shingles)`` of candidate documents; shingles as packed sorted hashes."""
+def candidates(df: DataFrame, n: int, whole: bool) -> DataFrame:
+    """``(doc, size, data)`` of candidate documents: their bit sketch, or with ``whole`` their packed sorted shingle hashes."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -144,9 +144,10 @@ def sketches(df: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for i, j, texts in chunks(batch.column(1)):
                 sets = shingle_sets(texts, n)
-                yield pa.record_batch([batch.column(0)[i:j], pa.array([bit_sketch(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc", "sketch", "shingles"])
+                data = [h.tobytes() if whole else bit_sketch(h) for h in sets]
+                yield pa.record_batch([batch.column(0)[i:j], pa.array([len(h) for h in sets], pa.int64()), pa.array(data, pa.binary())], ["doc", "size", "data"])
 
-    return df.mapInArrow(build, "doc bigint, sketch binary, shingles binary")
+    return df.mapInArrow(build, "doc bigint, size bigint, data binary")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -155,8 +156,14 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The linked among ``pairs(a, b)``: sizes and sketches first, then shingles, of the documents in pairs."""
-    ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ends")
-    held = keep(sketches(docs.join(small_side(ends), F.col("doc_id") == F.col("doc"), "left_semi"), n), "sketches")
+
+    def beside(pairs: DataFrame, whole: bool) -> DataFrame:
+        """``(a, b, a_data, b_data, a_size, b_size)``, with sizes that a link allows."""
+        ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ends")
+        held = keep(candidates(docs.join(small_side(ends), F.col("doc_id") == F.col("doc"), "left_semi"), n, whole), "candidates")
+        side = lambda c: held.select(F.col("doc").alias(c), F.col("data").alias(f"{c}_data"), F.col("size").alias(f"{c}_size"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes_fit(F.col("a_size"), F.col("b_size")))
+        return both.select("a", "b", "a_data", "b_data", "a_size", "b_size")
 
     def close(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -182,11 +189,8 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                 ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c, field: held.select(F.col("doc").alias(c), F.col(field).alias(f"{c}_{field}"), (F.octet_length("shingles") / 8).cast("long").alias(f"{c}_n"))
-    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").filter(_sizes_fit(F.col("a_n"), F.col("b_n")))
-    near = near.select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(close, "a bigint, b bigint").distinct()
-    whole = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "a_shingles", "b_shingles")
-    return keep(whole.mapInArrow(same, "a bigint, b bigint").distinct(), "links")
+    near = keep(beside(pairs, whole=False).mapInArrow(close, "a bigint, b bigint").distinct(), "near")
+    return keep(beside(near, whole=True).mapInArrow(same, "a bigint, b bigint").distinct(), "links")
 
 
 def demote(keys: np.ndarray, table: np.ndarray | None) -> np.ndarray:
