@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, chunks, connected_components, keep, mix, rolling, sequence_hash, signed, small_side, word_hashes
+from plumbline.llm.common import BASES, chunks, connected_components, discard, keep, mix, rolling, sequence_hash, signed, small_side, word_hashes
 
 #: Upper bounds of size bands; the cells of a band are four times its bound.
 BANDS = np.array([4, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824], np.int64)
@@ -200,13 +200,13 @@ def demote(keys: np.ndarray, table: np.ndarray | None) -> np.ndarray:
     return table
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, most: int = 8, levels: int = 2) -> DataFrame:
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, most: int = 8, levels: int = 2, rounds: int = 2) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``df``."""
     if percent != 75:
         raise ValueError("bands and prefixes are laid out for a similarity of 75 %")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = keep(set_table(docs, n), "sets")
-    sets = table.select("doc_id", "n_shingles", "s1", "s2")
+    sets = keep(table.select("doc_id", "n_shingles", "s1", "s2"), "sets")
     filled = sets.filter("n_shingles > 0 and doc_id is not null")
     first = filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     later = keep(filled.join(first, ["s1", "s2"]).filter("doc_id <> first").select("doc_id", "s1", "first").distinct(), "later")
@@ -222,6 +222,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         return left.join(right, "key").filter((F.col("a.doc") < F.col("b.doc")) & apart).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
 
     rows, demoted, pairs, level = rows_of(table), None, None, 0
+    discard(table)  # its keys are most of what is kept
     while True:
         counts = keep(rows.groupBy("key").agg(F.count("*").alias("docs")).filter("docs > 1"), "counts")
         few = across(rows.join(counts.filter(F.col("docs") <= most), "key").select("key", "doc"), F.lit(True))
@@ -234,20 +235,36 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         demoted = demote(top, demoted)
         again = keep(rows.join(crowded, "key", "left_semi").select("doc").distinct(), "crowded")
         rows = rows_of(set_table(docs.join(small_side(again), F.col("doc_id") == F.col("doc"), "left_semi"), n, demoted))
-    rows = keep(rows.join(crowded, "key", "left_semi"), "crowd")  # groups of near copies, and sets made of little else than shared passages
+    # Keys of the same documents, such as those of a passage, say the same: one of each kind stays.
+    kinds = rows.join(crowded, "key", "left_semi").groupBy("key").agg(*[F.bit_xor(F.xxhash64(F.lit(i), "doc")).alias(f"_x{i}") for i in (0, 1)], F.count("*").alias("_n"))
+    kinds = kinds.groupBy("_x0", "_x1", "_n").agg(F.min("key").alias("key")).select("key")
+    rows = keep(rows.join(kinds, "key", "left_semi"), "crowd")  # groups of near copies, and sets made of little else than shared passages
     hubs = rows.groupBy("key").agg(F.min("doc").alias("hub"))
     pairs = pairs.unionByName(rows.join(hubs, "key").filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
     pairs = keep(pairs.distinct(), "pairs")
     links = links.unionByName(verify(pairs, docs, n, percent))
-    found = keep(connected_components(links), "parts")
-    if rows.limit(1).count():
+    found, before = keep(connected_components(links), "parts"), None
+    for turn in range(rounds + 1):
         rest = rows.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("part"))
         apart = rest.groupBy("key", "part").agg(F.count("*").alias("_n")).groupBy("key").agg(F.count("*").alias("_parts")).filter("_parts > 1").select("key")
-        rest = across(rest.join(apart, "key"), F.col("a.part") != F.col("b.part")).distinct()
-        rest = keep(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = verify(rest, docs, n, percent)
-        if more.limit(1).count():
-            found = connected_components(links.unionByName(more))
+        rest = keep(rest.join(apart, "key", "left_semi"), "open")
+        held = rest.count()
+        if not held:
+            break
+        last = turn == rounds or before is not None and held > 0.8 * before
+        before = held
+        if last:
+            more = across(rest, F.col("a.part") != F.col("b.part"))
+        else:  # another hub of each key, from a component drawn by hash
+            hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "part").alias("h"), "part", "doc")).alias("hub"))
+            more = rest.join(hubs, "key").filter(F.col("part") != F.col("hub.part")).select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"))
+        more = keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        new = verify(more, docs, n, percent)
+        if new.limit(1).count():
+            links, pairs = links.unionByName(new), pairs.unionByName(more)
+            found = keep(connected_components(links), "parts")
+        if last:
+            break
     out = sets.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
