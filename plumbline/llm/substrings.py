@@ -112,12 +112,12 @@ def _by_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
-def _beside(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Documents joined to the spans of their text: broadcast while the counted spans are few, else by a shuffle of the text."""
+def _beside(docs: DataFrame, rows: DataFrame, how: str, small: bool = False) -> DataFrame:
+    """Documents joined to the spans of their text by a shuffle of the text; with ``small``, broadcast while the counted spans are few."""
     lists = keep(_by_text(rows), "spans").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), "spans")
-    held = lists.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    small = small and lists.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_PATHS
     lists = lists.groupBy("_doc").agg(F.collect_list(F.struct("_key", "spans")).alias("texts"))
-    return docs.join(F.broadcast(lists) if held <= BROADCAST_PATHS else lists, F.col("doc") == F.col("_doc"), how).select("doc", "text", "texts")
+    return docs.join(F.broadcast(lists) if small else lists, F.col("doc") == F.col("_doc"), how).select("doc", "text", "texts")
 
 
 def _spans_of(entry, key: int) -> list[tuple[int, int]]:
@@ -148,7 +148,7 @@ def edge_table(docs: DataFrame, opened: DataFrame, k: int) -> DataFrame:
                 columns = (signed(rolling(hashes, k, BASES[0])[at]), signed(rolling(hashes, k, BASES[1])[at]), ids[i:j][owner], keys[owner], (at - begin[owner]).astype(np.int32))
                 yield pa.record_batch([pa.array(c) for c in columns], ["e1", "e2", "doc", "text_key", "at"])
 
-    return _beside(docs, opened, "inner").mapInArrow(build, "e1 bigint, e2 bigint, doc bigint, text_key int, at int")
+    return _beside(docs, opened, "inner", small=True).mapInArrow(build, "e1 bigint, e2 bigint, doc bigint, text_key int, at int")
 
 
 def repeated_spans(docs: DataFrame, k: int = 20, seed: int = 6) -> DataFrame:
