@@ -28,7 +28,7 @@ from plumbline.llm.common import chunks, count_at_most, hash_bits, keep, running
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Encoded words that a worker remembers before it starts afresh.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
