@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import keep
 
-_TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: ASCII white space.
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def line_key(line: Column) -> Column:
-    return F.regexp_replace(line, _TRIM, "")
+    return F.btrim(line, F.lit(BLANK))
 
 
 def url_host(url: Column) -> Column:
@@ -61,10 +62,12 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     else:
         salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = df.withColumn("_page_salt", F.pmod(F.xxhash64(F.col(text_col)), F.lit(salts))).join(salted, same & (F.col("_page_salt") == F.col("_salt")), "left")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.filter(split, lambda x: (line_key(x) == "") | ~F.array_contains("_lines", F.xxhash64(line_key(x))))
+    # A column of its own: the lines of a page are filtered once.
     plain = F.col("_lines").isNull() | F.col(text_col).isNull()
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_lines", F.xxhash64(line_key(x))))
+    joined = joined.withColumn("_kept", F.when(~plain, kept))
+    breaks = F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     return joined.select(
-        *[F.when(plain, F.col(f"`{c}`")).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns],
-        F.when(plain, F.lit(0)).otherwise(F.size(split) - F.size(kept)).cast("long").alias("_n_dropped"),
+        *[F.when(F.col("_kept").isNull(), F.col(f"`{c}`")).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns],
+        F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(breaks + 1 - F.size("_kept")).cast("long").alias("_n_dropped"),
     )
