@@ -149,37 +149,75 @@ def plan(histogram: np.ndarray, capacity: int, bins: int = 32, most: int = 4) ->
     return out
 
 
+#: Fixed value: how the vocabulary's splitter parts a word; the alternatives stand in its order.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of Latin, Greek and Cyrillic without white space, where all Unicode tables agree on letters and numbers.
+SETTLED = r"[\x00-\x08\x0e-\x1b\x21-\x84\x86-\x9f\xa1-\u052f]+"
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
 class WordIds:
     """Packed little-endian ids of white-space words, remembered in two generations of CACHE_WORDS.
 
     The vocabulary drops white space and its splits never cross it, so a text's ids are those of its
-    words in order. New words are encoded together, in one call, and told apart by their offsets.
+    words in order. Words of settled letters are split here and merged by rank, a space marking the end of a part (a token's
+    id is its rank); others are encoded together by the tokenizer itself and told apart by their offsets.
     """
 
     def __init__(self, path: str):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.model.get_vocab_size(), bool)
-        self.ends[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
+        byte, ranks = byte_of(), {}
+        for word, i in self.model.get_vocab(with_added_tokens=False).items():
+            if not word.startswith("<|"):
+                ranks[bytes(byte[c] for c in word.removesuffix("</w>")) + (b" " if word.endswith("</w>") else b"")] = i
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[i for w, i in ranks.items() if len(w) > 1 and w.endswith(b" ")]] = True
+        self.merger = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.parts, self.settled = regex.compile(PARTS), regex.compile(SETTLED)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Plain words are told apart by the ids that end a word, others by their offsets."""
-        plain = [w for w in new if w.isalpha()]
-        for words, ascii_only in ((plain, True), ([w for w in new if not w.isalpha()], False)):
-            text = [w.decode("utf-8") for w in words]
-            got = self.model.encode(" ".join(text), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            if ascii_only:
-                cut = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)) * 4
+    def _merge(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """Ids of settled words in order, and the byte where each word's begin, and the end."""
+        counts, parts = [], []
+        for word in self.model.normalizer.normalize_str(" ".join(words)).split(" "):
+            if word.isalpha():
+                parts.append(word)
+                counts.append(1)
             else:
-                begin = np.cumsum([0, *[len(w) + 1 for w in text]])
-                owner = np.searchsorted(begin, np.fromiter((o[0] for o in got.offsets), np.int64, len(ids)), "right") - 1
-                cut = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
-            packed = ids.tobytes()
-            self.young.update(zip(words, [packed[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], strict=True))
+                found = self.parts.findall(word)
+                parts += found
+                counts.append(len(found))
+        ids = np.array(self.merger.encode_ordinary(" ".join(parts) + " "), "<u4")
+        bounds = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        return ids.tobytes(), (bounds[np.cumsum([0, *counts])] * 4).tolist()
+
+    def _offsets(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """The same of any words."""
+        got = self.model.encode(" ".join(words), add_special_tokens=False)
+        begin = np.cumsum([0, *[len(w) + 1 for w in words]])
+        owner = np.searchsorted(begin, np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids)), "right") - 1
+        return np.array(got.ids, "<u4").tobytes(), (np.searchsorted(owner, np.arange(len(words) + 1)) * 4).tolist()
+
+    def _learn(self, new: list[bytes]) -> None:
+        groups: tuple[list[str], list[str]] = ([], [])
+        for word in new:
+            text = word.decode("utf-8")
+            groups["<|" in text or not self.settled.fullmatch(text)].append(text)
+        for words, ids_of in zip(groups, (self._merge, self._offsets), strict=True):
+            if words:
+                packed, cut = ids_of(words)
+                self.young.update((w.encode("utf-8"), packed[i:j]) for w, i, j in zip(words, cut[:-1], cut[1:], strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """ASCII letters are lower-cased first, as the vocabulary does, unless a special token could be spelled."""
