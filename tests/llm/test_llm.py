@@ -89,6 +89,20 @@ def test_near_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_word_ids():
+    """Every word alone and whole texts give the tokenizer's own ids, in and outside settled scripts."""
+    import random
+
+    words = packing.WordIds(vocabulary())
+    draw = random.Random(5)
+    letters = "abcdeisthn'19.,-!é\u0301ÉßİΣσжЖ\u00a0日本ๆ\u2003"
+    texts = ["".join(draw.choice(letters + " \n") for _ in range(draw.randint(0, 60))) for _ in range(3000)]
+    texts += ["don't STOP", "a<|endoftext|>b <|END", "x" * 5000, "é" * 3000, "\x1c a\x1db \x85c", *[w.removesuffix("</w>") for w in words.model.get_vocab()]]
+    got = words.encode([t.encode() for t in texts])
+    for text, ids in zip(texts, got, strict=True):
+        assert list(np.frombuffer(ids, "<u4")) == words.model.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(documents, empty):
     from tokenizers import Tokenizer
 
