@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, chunks, keep, mix, rolling, signed, word_hashes
+from plumbline.llm.common import BASES, chunks, discard, keep, mix, rolling, signed, word_hashes
 
 LAST = (1 << 63) - 1
 #: Path rows (16 bytes each) of a side that may be broadcast instead of shuffling the text.
@@ -160,16 +160,20 @@ def repeated_spans(docs: DataFrame, k: int = 20, seed: int = 6) -> DataFrame:
     whole = rows.join(classes, ["seed", "path", "windows"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     branching = classes.groupBy("seed").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed")
     opened = keep(classes.join(branching, "seed", "left_semi").select("first.doc", "first.text_key", "first.start", "windows").distinct(), "opened")
-    edges = keep(edge_table(docs, opened, k).distinct(), "edges")
+    # Edges of repeated rows come twice, at the same place: none is later than the other.
+    edges = keep(edge_table(docs, opened, k), "edges")
     least = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("_n")).filter("_n > 1")
     later = edges.join(least, ["e1", "e2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return whole.select("doc", "text_key", "start", "windows").unionByName(later.select("doc", "text_key", F.col("at").alias("start"), F.lit(1).alias("windows")))
+    spans = keep(whole.select("doc", "text_key", "start", "windows").unionByName(later.select("doc", "text_key", F.col("at").alias("start"), F.lit(1).alias("windows"))), "repeats")
+    for used in (rows, classes, opened, edges):
+        discard(used)
+    return spans
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)``, one row per row: the words that stay, joined by one space."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
-    spans = keep(repeated_spans(docs, k), "repeats")
+    spans = repeated_spans(docs, k)
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
