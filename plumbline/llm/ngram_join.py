@@ -12,8 +12,9 @@ on the shingles themselves.
 Equal sets are collapsed first. Keys of up to ``most`` sets give all their pairs. More crowded keys are
 demoted: the sets that hold them choose their D + 1 cells anew, demoted cells last, which keeps the guarantee for pairs of such sets
 (a linked pair that met in a crowded key has both its sets chosen anew). What is crowded after ``levels`` rounds, groups of near copies above all, is compared
-with one hub a key; then, as only components are asked for, all pairs of a key that are in different components still are compared, whatever their
-number.
+with hubs, the first set of each key: a set meets the hub that shares most of its keys. As only components are asked for, sets whose keys still hold
+several components afterwards are joined once more, now on shingles instead of cells: with crowded shingles last, a linked pair A, B (|A| <= |B|)
+shares one of the first |A| / 7 + 1 of A and |B| / 4 + 1 of B, and enough of both sets comes from there on. This is exact, whatever their number.
 
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text of one to four
 words is one shingle; rows with a null id get no component; rows that share an id are one document with the links of either; an empty table gives an empty
@@ -150,6 +151,52 @@ def candidates(df: DataFrame, n: int, whole: bool) -> DataFrame:
     return df.mapInArrow(build, "doc bigint, size bigint, data binary")
 
 
+def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFrame:
+    """``(doc, part, size, keys)`` of ``df(doc_id, text, part)``: all shingle hashes of each text, or with a table of demoted ones the first that a partner must share."""
+    shared = df.sparkSession.sparkContext.broadcast(demoted)  # DEMOTED_BITS or nothing
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        demoted = shared.value
+        for batch in batches:
+            for i, j, texts in chunks(batch.column(1)):
+                sets = shingle_sets(texts, n)
+                keys = sets
+                if demoted is not None:
+                    keys = []
+                    for h in sets:
+                        late = is_demoted(h, demoted)
+                        keys.append(np.concatenate((h[~late], h[late]))[: len(h) // 4 + 1])
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
+                columns = [batch.column(0)[i:j], batch.column(2)[i:j], pa.array([len(h) for h in sets], pa.int64())]
+                yield pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(keys))))], ["doc", "part", "size", "keys"])
+
+    return df.mapInArrow(build, "doc bigint, part bigint, size bigint, keys array<bigint>")
+
+
+def prefix_pairs(docs: DataFrame, crowd: DataFrame, n: int, most: int) -> DataFrame:
+    """``(a, b)`` of documents of ``crowd(doc, part)`` in different parts that may be linked."""
+    held = docs.join(small_side(crowd), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "part")
+    counts = prefixes(held, n).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") > most)
+    top = counts.orderBy(F.col("docs").desc(), "key").limit(DEMOTED_KEYS).select("key").toPandas()["key"].to_numpy(np.int64)
+    rows = keep(prefixes(held, n, demote(top, None)).select("doc", "part", "size", F.posexplode("keys").alias("at", "key")), "prefixes")
+    left, right = (rows.select("key", F.struct("doc", "part", "size", "at").alias(c)) for c in "ab")
+    ordered = (F.col("a.size") < F.col("b.size")) | (F.col("a.size") == F.col("b.size")) & (F.col("a.doc") < F.col("b.doc"))
+    # From the first shared shingle on, both must hold 3 / 7 of the sum of sizes.
+    room = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) * 7 >= (F.col("a.size") + F.col("b.size")) * 3
+    both = left.filter("a.at <= a.size div 7").join(right, "key").filter(ordered & room & (F.col("a.part") != F.col("b.part")))
+    return both.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b"))
+
+
+def nearest_hub(met: DataFrame) -> DataFrame:
+    """``(a, b)``: each doc of ``met(doc, hub)`` with the hub that it meets in most keys, the smallest of equals."""
+    often = met.groupBy("doc", "hub").agg(F.count("*").alias("_n"))
+    best = often.groupBy("doc").agg(F.max(F.struct("_n", (-F.col("hub")).alias("_hub"))).alias("_best"))
+    hub = -F.col("_best._hub")
+    return best.select(F.least("doc", hub).alias("a"), F.greatest("doc", hub).alias("b")).distinct()
+
+
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.greatest(a, b) * 3 <= F.least(a, b) * 4
 
@@ -217,15 +264,15 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         alone = sets.filter("n_shingles > 0 and doc_id is not null").join(small_side(later.select("doc_id", "s1")), ["doc_id", "s1"], "left_anti")
         return keep(repeated(alone.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))).distinct(), "keys")
 
-    def across(rows: DataFrame, apart: Column) -> DataFrame:
-        left, right = (rows.select("key", F.struct("doc", *[c for c in rows.columns if c == "part"]).alias(c)) for c in "ab")
-        return left.join(right, "key").filter((F.col("a.doc") < F.col("b.doc")) & apart).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+    def across(rows: DataFrame) -> DataFrame:
+        left, right = (rows.select("key", F.col("doc").alias(c)) for c in "ab")
+        return left.join(right, "key").filter("a < b").select("a", "b")
 
     rows, demoted, pairs, level = rows_of(table), None, None, 0
     discard(table)  # its keys are most of what is kept
     while True:
         counts = keep(rows.groupBy("key").agg(F.count("*").alias("docs")).filter("docs > 1"), "counts")
-        few = across(rows.join(counts.filter(F.col("docs") <= most), "key").select("key", "doc"), F.lit(True))
+        few = across(rows.join(counts.filter(F.col("docs") <= most), "key").select("key", "doc"))
         pairs = few if pairs is None else pairs.unionByName(few)
         crowded = counts.filter(F.col("docs") > most)
         top = crowded.orderBy(F.col("docs").desc(), "key").limit(DEMOTED_KEYS).select("key").toPandas()["key"].to_numpy(np.int64) if level < levels else []
@@ -240,7 +287,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     kinds = kinds.groupBy("_x0", "_x1", "_n").agg(F.min("key").alias("key")).select("key")
     rows = keep(rows.join(kinds, "key", "left_semi"), "crowd")  # groups of near copies, and sets made of little else than shared passages
     hubs = rows.groupBy("key").agg(F.min("doc").alias("hub"))
-    pairs = pairs.unionByName(rows.join(hubs, "key").filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    pairs = pairs.unionByName(nearest_hub(rows.join(hubs, "key").filter("doc <> hub").select("doc", "hub")))
     pairs = keep(pairs.distinct(), "pairs")
     links = links.unionByName(verify(pairs, docs, n, percent))
     found, before = keep(connected_components(links), "parts"), None
@@ -254,10 +301,10 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         last = turn == rounds or before is not None and held > 0.8 * before
         before = held
         if last:
-            more = across(rest, F.col("a.part") != F.col("b.part"))
+            more = prefix_pairs(docs, keep(rest.select("doc", "part").distinct(), "crowd"), n, most)
         else:  # another hub of each key, from a component drawn by hash
             hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "part").alias("h"), "part", "doc")).alias("hub"))
-            more = rest.join(hubs, "key").filter(F.col("part") != F.col("hub.part")).select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"))
+            more = nearest_hub(rest.join(hubs, "key").filter(F.col("part") != F.col("hub.part")).select("doc", F.col("hub.doc").alias("hub")))
         more = keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = verify(more, docs, n, percent)
         if new.limit(1).count():
