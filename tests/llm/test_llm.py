@@ -208,6 +208,31 @@ def test_ngram_join_of_a_crowd(spark):
     assert got == jaccard_parts(rows)
 
 
+def test_ngram_join_on_prefixes(spark):
+    """Every key crowded, no hubs after the first: all links between parts come from shingle prefixes, sizes and likeness around the bound."""
+    rng = np.random.default_rng(2)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(90):
+        w = base[: int(rng.integers(80, 121))] if i % 3 else base[int(rng.integers(0, 60)) :]
+        for k in rng.integers(0, len(w), size=int(rng.integers(0, 6))):
+            w = [*w[:k], f"e{i % 7}-{k}", *w[k + 1 :]]
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), most=1, levels=0, rounds=0).collect()}
+    want = jaccard_parts(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 90
+
+
+def test_prefix_pairs(spark):
+    """No linked pair of different parts is missing from the prefix pairs."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"b{j}" if rng.random() > 0.03 else f"e{i}-{j}" for j in range(int(rng.integers(60, 90))))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in ngram_join.prefix_pairs(docs, common.keep(docs.selectExpr("doc_id AS doc", "doc_id AS part"), "crowd"), 5, 8).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked and linked <= got
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(["good", "fine", "well"] if i % 2 else ["bad", "poor", "junk"], 5)) + f" t{i} of the", i % 2) for i in range(300)]
