@@ -8,70 +8,129 @@ one pass of scoring.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.text import characters, zlib_bits
+from plumbline.functions.text import let, zlib_bits
 
 STATS = "token_logprob array<double>, mu array<double>, sigma array<double>"
 
 
-def pairs_of(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """``(id, pos, prev, cur)`` of consecutive characters of the first ``most``."""
-    tokens = F.slice(characters(F.col(text_col)), 1, most)
-    pairs = F.arrays_zip(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("prev"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("cur"))
-    return df.select(id_col, F.posexplode(pairs).alias("pos", "pair")).select(id_col, "pos", F.col("pair.prev").alias("prev"), F.col("pair.cur").alias("cur"))
+#: Characters counted and scored at once in a Python worker; a scored one takes 24 bytes, on its way to the JVM too.
+_COUNTED, _SCORED = 1 << 20, 1 << 16
+
+
+def _chunks(texts: list[str | None], most: int | None, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, code points, lengths)`` of runs of texts; a null text has no characters."""
+    start, held, total = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append((t or "")[:most])
+        total += len(held[-1])
+        if total >= size or i == len(texts) - 1:
+            yield start, np.frombuffer("".join(held).encode("utf-32-le"), np.uint32).astype(np.int64), np.array([len(h) for h in held], np.int64)
+            start, held, total = i + 1, [], 0
+
+
+def _pairs(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Keys of consecutive characters that lie in one text."""
+    inside = np.ones(max(0, len(codes) - 1), bool)
+    ends = np.cumsum(lengths)
+    inside[ends[(ends > 0) & (ends < len(codes))] - 1] = False
+    return ((codes[:-1] << 32) | codes[1:])[inside]
+
+
+def pair_counts(df: DataFrame, text_col: str, most: int | None = None) -> DataFrame:
+    """``(prev, cur, c)``: how often each pair of consecutive characters (code points) occurs."""
+
+    def count(batches):
+        for batch in batches:
+            for _, codes, lengths in _chunks(batch.column(0).to_pylist(), most, _COUNTED):
+                keys, c = np.unique(_pairs(codes, lengths), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(c.astype(np.int64))], ["prev", "cur", "c"])
+
+    return df.select(text_col).mapInArrow(count, "prev long, cur long, c long").groupBy("prev", "cur").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class BigramModel:
-    seen: DataFrame  # prev, cur, lp
-    contexts: DataFrame  # prev, floor (log-probability of an unseen pair), mu, sigma
-    vocabulary: DataFrame  # one row: v
+    """Counts are aggregated on the executors; what is held has one entry a distinct pair or character."""
+
+    pairs: np.ndarray  # sorted keys of seen pairs
+    lp: np.ndarray
+    contexts: np.ndarray  # sorted code points
+    floor: np.ndarray  # log-probability of an unseen pair
+    mu: np.ndarray
+    sigma: np.ndarray
+    flat: float  # log-probability in an unknown context: uniform over the vocabulary
 
     @classmethod
-    def train(cls, corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id", most: int = 256, k: float = 0.5) -> BigramModel:
-        pairs = pairs_of(corpus, id_col, text_col, most).groupBy("prev", "cur").agg(F.count("*").alias("c"))
-        vocabulary = pairs.select(F.explode(F.array("prev", "cur")).alias("t")).agg(F.count_distinct("t").alias("v"))
-        total = pairs.groupBy("prev").agg(F.sum("c").alias("n"))
-        seen = pairs.join(total, "prev").crossJoin(vocabulary)  # one row beside each
-        seen = seen.withColumn("lp", F.log((F.col("c") + k) / (F.col("n") + k * F.col("v"))))
-        sums = seen.groupBy("prev").agg(F.first("n").alias("n"), F.first("v").alias("v"), F.count("*").alias("types"), F.sum("lp").alias("s"), F.sum(F.col("lp") * F.col("lp")).alias("ss"))
-        floor = F.log(F.lit(k) / (F.col("n") + k * F.col("v")))
-        sums = sums.withColumn("floor", floor).withColumn("unseen", F.col("v") - F.col("types"))
-        s, ss = F.col("s") + F.col("unseen") * F.col("floor"), F.col("ss") + F.col("unseen") * F.col("floor") * F.col("floor")
-        mu = s / F.col("v")
-        sigma = F.when(F.col("v") > 1, F.sqrt(F.greatest(F.lit(0.0), (ss - s * mu) / (F.col("v") - 1)))).otherwise(F.lit(0.0))
-        return cls(seen.select("prev", "cur", "lp"), sums.select("prev", "floor", mu.alias("mu"), sigma.alias("sigma")), vocabulary)
-
-    def tokens(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 256) -> DataFrame:
-        """``(id, pos, lp, mu, sigma)``; an unknown context is uniform over the vocabulary."""
-        rows = pairs_of(df, id_col, text_col, most).join(self.seen, ["prev", "cur"], "left").join(self.contexts, "prev", "left").crossJoin(self.vocabulary)
-        flat = -F.log(F.col("v").cast("double"))
-        return rows.select(id_col, "pos", F.coalesce("lp", "floor", flat).alias("lp"), F.coalesce("mu", flat).alias("mu"), F.coalesce("sigma", F.lit(0.0)).alias("sigma"))
-
-    def stats(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 256) -> DataFrame:
-        """``(id, n_tokens, token_logprob, mu, sigma)``; texts of fewer than two tokens are unscorable and absent."""
-        rows = self.tokens(df, id_col, text_col, most).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "lp", "mu", "sigma"))).alias("t"))
-        return rows.select(id_col, F.size("t").alias("n_tokens"), F.col("t.lp").alias("token_logprob"), F.col("t.mu").alias("mu"), F.col("t.sigma").alias("sigma"))
-
-    def loglik(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4096) -> DataFrame:
-        return self.tokens(df, id_col, text_col, most).groupBy(id_col).agg(F.sum("lp").alias("loglik"))
+    def train(cls, corpus: DataFrame, text_col: str = "text", most: int | None = None, k: float = 0.5) -> BigramModel:
+        """Of whole texts, unless ``most`` characters are asked for."""
+        rows = pair_counts(corpus, text_col, most).toArrow()
+        prev, cur, c = (rows.column(i).to_numpy() for i in range(3))
+        order = np.argsort(keys := (prev << 32) | cur)
+        keys, prev, c = keys[order], prev[order], c[order].astype(float)
+        v = len(np.union1d(prev, cur))
+        contexts, at, types = np.unique(prev, return_inverse=True, return_counts=True)
+        n = np.bincount(at, c, len(contexts))
+        lp = np.log((c + k) / (n[at] + k * v))
+        floor = np.log(k / (n + k * v))
+        s = np.bincount(at, lp, len(contexts)) + (v - types) * floor
+        ss = np.bincount(at, lp * lp, len(contexts)) + (v - types) * floor * floor
+        mu = s / max(v, 1)
+        sigma = np.sqrt(np.maximum(0.0, (ss - s * mu) / max(v - 1, 1))) if v > 1 else np.zeros(len(contexts))
+        return cls(keys, lp, contexts, floor, mu, sigma, -float(np.log(v)) if v else float("nan"))
+
+    def score(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability, mean and deviation of each pair."""
+        if not len(self.pairs):
+            return np.full(len(keys), self.flat), np.full(len(keys), self.flat), np.zeros(len(keys))
+        prev = keys >> 32
+        context = np.minimum(np.searchsorted(self.contexts, prev), len(self.contexts) - 1)
+        known = self.contexts[context] == prev
+        pair = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        lp = np.where(self.pairs[pair] == keys, self.lp[pair], np.where(known, self.floor[context], self.flat))
+        return lp, np.where(known, self.mu[context], self.flat), np.where(known, self.sigma[context], 0.0)
+
+    def stats(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """``(id, *keep, n_tokens, token_logprob, mu, sigma)`` of whole texts, unless ``most`` characters are asked for; texts of fewer than two characters are unscorable and absent."""
+        model, held = self, [id_col, *keep]
+
+        def run(batches):
+            for batch in batches:
+                kept = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(held))], held)
+                for start, codes, lengths in _chunks(batch.column(len(held)).to_pylist(), most, _SCORED):
+                    rows = np.flatnonzero(lengths >= 2)
+                    if not len(rows):
+                        continue
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths[rows] - 1)]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in model.score(_pairs(codes, lengths))]
+                    own = kept.take(pa.array(rows + start))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array((lengths[rows] - 1).astype(np.int32)), *lists], [*held, "n_tokens", "token_logprob", "mu", "sigma"])
+
+        one = df.select(*held, F.col(text_col).alias("_text"))
+        schema = T.StructType([*one.schema.fields[:-1], T.StructField("n_tokens", T.IntegerType()), *T.StructType.fromDDL(STATS).fields])
+        return one.mapInArrow(run, schema)
+
+    def loglik(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+        return self.stats(df, id_col, text_col, most).select(id_col, F.aggregate("token_logprob", F.lit(0.0), lambda s, x: s + x).alias("loglik"))
 
 
 def mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+    return let(values, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
 
 
 def bottom(values: Column, percent: float) -> Column:
     """The smallest ``max(1, ceil(percent / 100 * n))`` values."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
-    return F.slice(F.array_sort(values), F.lit(1), F.greatest(F.lit(1), F.ceil(F.lit(percent) / 100 * F.size(values)).cast("int")))
+    return let(F.sort_array(values), lambda v: F.slice(v, F.lit(1), F.greatest(F.lit(1), F.ceil(F.lit(percent) / 100 * F.size(v)).cast("int"))))
 
 
 def loss() -> Column:
@@ -87,7 +146,7 @@ def min_k(percent: float = 20) -> Column:
 
 
 def min_k_plus_plus(percent: float = 20) -> Column:
-    z = F.transform(F.arrays_zip("token_logprob", "mu", "sigma"), lambda t: (t["token_logprob"] - t["mu"]) / (t["sigma"] + 1e-6))
+    z = F.zip_with(F.zip_with("token_logprob", "mu", lambda x, m: x - m), "sigma", lambda d, s: d / (s + 1e-6))
     return mean(bottom(z, percent))
 
 
@@ -110,7 +169,10 @@ def detector(name: str) -> Column:
 def scores(stats: DataFrame, names: tuple[str, ...] = DEFAULT_SUITE, keep: tuple[str, ...] = ()) -> DataFrame:
     if "token_logprob" not in stats.columns:
         raise ValueError("scores need token statistics: run a scorer first")
-    return stats.select(*keep, *[detector(n).alias(n) for n in names])
+    if not {"loss", "perplexity"} <= set(names):
+        return stats.select(*keep, *[detector(n).alias(n) for n in names])
+    once = stats.select(*keep, *[detector(n).alias(n) for n in names if n != "perplexity"])
+    return once.withColumn("perplexity", -F.exp(-F.col("loss"))).select(*keep, *names)
 
 
 def mock_stats(text_col: str = "text", member_col: str | None = None, signal: float = 1.0, vocabulary: int = 50304) -> Column:

@@ -289,10 +289,10 @@ score AS (SELECT doc_id, any_value(n) AS n_tokens, avg(lp) AS loss, avg(lp) FILT
   avg(z) FILTER (rz <= greatest(1, ceil(20.0 / 100 * n))) AS min_20_plusplus FROM z GROUP BY doc_id)"""
 
 
-def _scores(spark, sf, most: int = 256) -> DataFrame:
+def _scores(spark, sf) -> DataFrame:
     model, arms = _model(spark, sf)
-    stat = model.stats(arms, most=most)
-    return scoring.scores(stat, ("loss", "perplexity", "min_20_prob", "min_20_plusplus"), ("doc_id", "n_tokens")).join(arms.select("doc_id", "member", "source"), "doc_id")
+    stat = model.stats(arms, keep=("member", "source"))
+    return scoring.scores(stat, ("loss", "perplexity", "min_20_prob", "min_20_plusplus"), ("doc_id", "n_tokens", "member", "source"))
 
 
 @query(f"WITH {_LM} SELECT doc_id, n_tokens::INT AS n_tokens, round(loss, 6) AS loss, round(-exp(-loss), 5) AS perplexity, round(min_20_prob, 6) AS min_20_prob, round(min_20_plusplus, 5) AS min_20_plusplus FROM score")
