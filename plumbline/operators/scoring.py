@@ -150,9 +150,10 @@ def min_k_plus_plus(percent: float = 20) -> Column:
     return mean(bottom(z, percent))
 
 
-def zlib_ratio(text_col: str = "text") -> Column:
-    """Log-likelihood over compressed bits; needs the text beside the statistics."""
-    return F.aggregate("token_logprob", F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), zlib_bits(F.col(text_col)))
+def zlib_ratio(text_col: str = "text", bits_col: str | None = None) -> Column:
+    """Log-likelihood over compressed bits; needs the text, or its bits, beside the statistics."""
+    bits = F.col(bits_col) if bits_col else zlib_bits(F.col(text_col))
+    return F.aggregate("token_logprob", F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), bits)
 
 
 #: Detectors by name; higher means more member-like.

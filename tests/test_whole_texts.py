@@ -67,3 +67,16 @@ def bits(t):
     import zlib
 
     return 8 * len(zlib.compress(t.encode()))
+
+
+def test_zlib_ratio_sums_the_text_it_compresses(spark, tmp_path):
+    from plumbline.plans import queries
+
+    texts = [prose(i, 200 + 150 * i) for i in range(16)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    member = {r["doc_id"] for r in queries._arms(spark, str(tmp_path)).filter("member = 1").collect()}
+    score = brute_model([t for i, t in enumerate(texts) if i in member])
+    got = {r["doc_id"]: r for r in queries.t9_t10_zlib_scores(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(16)) and 0 < len(member) < 16
+    for i, t in enumerate(texts):
+        assert got[i]["bits"] == bits(t) and got[i]["zlib_ratio"] == pytest.approx(sum(score(a, b)[0] for a, b in zip(t, t[1:])) / bits(t))
