@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import scoring
+from plumbline.operators import order_test, scoring
 
 
 def prose(seed, n, letters="abcde é😀\n"):
@@ -80,3 +80,26 @@ def test_zlib_ratio_sums_the_text_it_compresses(spark, tmp_path):
     assert set(got) == set(range(16)) and 0 < len(member) < 16
     for i, t in enumerate(texts):
         assert got[i]["bits"] == bits(t) and got[i]["zlib_ratio"] == pytest.approx(sum(score(a, b)[0] for a, b in zip(t, t[1:])) / bits(t))
+
+
+def test_order_test_of_whole_conversations(spark):
+    rows = [(1, i, prose(i, 30)) for i in range(6)] + [(2, i, prose(i, 700)) for i in range(12)]  # the second is longer than 4096 characters
+    rows += [(3, 0, ""), (3, 1, prose(7, 20)), (3, 2, ""), (3, 3, ""), (3, 4, "q"), (3, 5, None), (4, 0, ""), (4, 1, ""), (5, 0, "alone"), (6, 0, ""), (6, 1, ""), (6, 2, ""), (7, 0, "x"), (7, 1, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate([prose(1, 3000), "ab\n\ncd\n" * 30])], "doc_id long, text string")
+    model = scoring.BigramModel.train(corpus)
+    scorer = lambda df: model.loglik(df, "key", "text").withColumn("loglik", F.round("loglik", 6))
+    want = {r["conv_id"]: r for r in order_test.permutation_test(turns, scorer, "conv_id", "turn", permutations=60, seed=7).collect()}
+    got = {r["conv_id"]: r for r in order_test.bigram_permutation_test(turns, model, "conv_id", "turn", permutations=60, seed=7).collect()}
+    assert set(got) == set(want) == {1, 2, 3, 6}
+    for g, r in got.items():
+        for c in ("p_value", "canonical_loglik", "null_mean", "null_std"):
+            assert r[c] == pytest.approx(want[g][c], abs=1e-5), (g, c)
+    score, whole = brute_model([prose(1, 3000), "ab\n\ncd\n" * 30]), "\n".join(t for g, _, t in rows if g == 2)
+    assert len(whole) > 4096 and got[2]["canonical_loglik"] == pytest.approx(sum(score(a, b)[0] for a, b in zip(whole, whole[1:])))
+
+
+def test_registered_order_test_can_fall_below_five_per_cent():
+    from plumbline.plans import queries
+
+    assert queries.ORDER_PERMUTATIONS >= 500
