@@ -1,13 +1,15 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs [native].
 
 A paragraph is a piece of up to PIECE_WORDS words of one line; each is hashed to a wide vector
-(LANES lanes of signed bytes) and a document's fingerprint is the lane-wise sum modulo 2^16. The sum does not depend
+(LANES lanes of odd numbers from -255 to 255, whose mean is 0: sums of distinct pieces do not drift) and a document's fingerprint is the lane-wise sum modulo 2^32. The sum does not depend
 on order, and pieces are inserted or deleted by adding or subtracting their vectors (``combine``).
 Equal multisets have equal fingerprints.
 
 The expected square of a lane of a sum of n distinct pieces is n times a lane's variance, so
 the squared length of the difference of two fingerprints estimates the size of the symmetric difference;
 ``likeness`` is 1 minus that over the sum of both sizes, estimated the same way, cut to [0, 1].
+A lane of fewer than 2^23 pieces cannot leave the signed range, even if all are the same; sums of distinct pieces leave it only
+from about 10^13 pieces on. Beyond either, likeness means nothing.
 
 Defined cases: a null text is the empty text, without pieces (fingerprint all zero); two empty
 texts have likeness 1; rows with a null id come last in descending order; rows that share an id are ordered by text; a single
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import count_at_most, keep
 
-PIECE_WORDS, LANES, MODULUS = 8, 64, 1 << 16
-#: Variance of a byte spread evenly over -128..127, about its expected square.
-_VARIANCE = (256**2 - 1) / 12 + 0.25
+PIECE_WORDS, LANES, MODULUS = 8, 64, 1 << 32
+#: Hexadecimal digits of a lane.
+WIDTH = 8
 _PIECE = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B\x0C]+[^\x20\x09-\x0D]+){{0,{PIECE_WORDS - 1}}}"
 
 
@@ -34,8 +36,8 @@ def pieces(text: Column) -> Column:
 def lanes(text: Column) -> Column:
     """The fingerprint as an array of LANES integers from 0 to MODULUS - 1.
 
-    Eight 64-bit hashes of a piece hold eight lanes each. Lanes are summed four to a number, 16 bits apart, with an offset that keeps every lane positive;
-    the offset goes when the sums are taken apart.
+    Eight 64-bit hashes of a piece hold eight lanes each. Lanes are summed four to a number, 16 bits apart, as bytes from 0 to 255;
+    they become odd numbers about 0 when the sums are taken apart.
     """
     halves = LANES // 4
     low = 0x00FF00FF00FF00FF
@@ -54,7 +56,7 @@ def lanes(text: Column) -> Column:
     whole = F.array(*[F.lit(0).cast("long")] * LANES)
     return F.transform(
         F.aggregate(packed, whole, lambda acc, s: F.array(*[acc[4 * i + j] + spread(s[i], j) for i in range(halves) for j in range(4)])),
-        lambda v: F.pmod(v - F.size("_pieces").cast("long") * 128, F.lit(MODULUS)),
+        lambda v: F.pmod(v * 2 - F.size("_pieces").cast("long") * 255, F.lit(MODULUS)),
     )
 
 
@@ -64,7 +66,7 @@ def with_lanes(df: DataFrame, text: Column, out: str) -> DataFrame:
 
 def encode(vector: Column) -> Column:
     """Fixed-width lower-case hexadecimal."""
-    return F.lower(F.array_join(F.transform(vector, lambda v: F.lpad(F.hex(v), 4, "0")), ""))
+    return F.lower(F.array_join(F.transform(vector, lambda v: F.lpad(F.hex(v), WIDTH, "0")), ""))
 
 
 def combine(one: Column, two: Column, sign: int = 1) -> Column:

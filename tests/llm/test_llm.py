@@ -287,3 +287,18 @@ def test_pipeline(spark, documents):
             assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, (_, c) in parts.items() if i == c}
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, "")
     assert packed.filter("piece = 0").count() == kept.count()
+
+
+def test_likeness_of_long_texts(spark):
+    whole = "\n".join(f"line {i}" for i in range(40_000))
+    third = "\n".join(f"line {i}" if i >= 13_333 else f"other {i}" for i in range(40_000))
+    apart = "\n".join(f"else {i}" for i in range(40_000))
+    again = "the same line\n" * 2_000
+    rows = spark.createDataFrame([(whole, third, apart, again, "the same line\n" * 1_000)], "a string, b string, c string, d string, e string")
+    for c in "abcde":
+        rows = fingerprints.with_lanes(rows, F.col(c), f"v{c}")
+    like = lambda x, y: fingerprints.likeness(F.col(f"v{x}"), F.col(f"v{y}"))
+    got = rows.select(like("a", "b").alias("third"), like("a", "c").alias("apart"), like("d", "e").alias("half"), fingerprints.encode(F.col("va")).alias("hex"), "va").first()
+    assert abs(got["third"] - 2 / 3) < 0.2 and got["apart"] < 0.4
+    assert got["half"] == pytest.approx(1 - 1 / 5)  # one piece n or n / 2 times: 1 - (n / 2)^2 / (n^2 + (n / 2)^2)
+    assert [int(got["hex"][i : i + 8], 16) for i in range(0, 512, 8)] == got["va"] and len(got["hex"]) == 512
