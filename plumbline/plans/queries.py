@@ -818,5 +818,5 @@ def _family_sql() -> str:
 
 
 @query(f"WITH {AN} SELECT measure, round(rho, 6) AS rho, round(partial, 6) AS partial, n, abs(partial) > 0.05 AS survives FROM ({_family_sql()})")
-def c18_c21_c25_control_table(spark, sf):
+def c2_control_table(spark, sf):
     return _r(_family(spark, sf).withColumn("survives", F.abs("partial") > 0.05), "rho", "partial", digits=6)
