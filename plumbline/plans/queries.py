@@ -14,7 +14,7 @@ from plumbline.sources import readers
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Replicates of resampling queries; the operators' callers choose their own.
-REPLICATES = 40
+REPLICATES = 200
 SEED = 7
 
 
