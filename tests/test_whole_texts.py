@@ -116,3 +116,13 @@ def test_registered_replicates_are_those_of_driver_queries():
     from plumbline.plans import queries
 
     assert queries.REPLICATES >= 200
+
+
+def test_line_scan_returns_every_line(spark, tmp_path):
+    from plumbline.plans import queries
+
+    texts = ["\n".join("" if j % 5 == 0 else "  " if j % 7 == 0 else f"{i} {j}" for j in range(90)) for i in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, j + 1, line) for i, t in enumerate(texts) for j, line in enumerate(t.split("\n")) if line.strip(" ")}
+    got = [tuple(r) for r in queries.s7_line_scan(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 500 and set(got) == want
