@@ -5,15 +5,16 @@
   ranges, so that no task holds a whole group.
 * ``connected_components`` labels components by alternating large-star and small-star steps.
 * ``word_hashes`` and ``rolling`` hash word sequences in NumPy.
+* ``plain`` puts a table's columns under internal names, so that no column of the caller's can clash with one of an operator's own.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Text bytes that a Python worker holds as arrays at a time (a longer text is one chunk of its own).
-CHUNK_BYTES = 1_000_000
+#: Text bytes that a Python worker holds as arrays at a time (a longer text is one chunk of its own); an array of numbers takes eight times as many.
+CHUNK_BYTES = 250_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is named."""
+    """The shared folder named by the cluster; a private one only where none is named and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -50,7 +53,20 @@ def discard(kept: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hash_bits(rows: int, rows_per_bucket: int = 50_000, most: int = 20) -> int:
+def plain(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... in order, and these names of the columns ``named`` (found without regard to case)."""
+    given = [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{k}" for k in range(len(given))]), [f"c{given.index(n.lower())}" for n in named]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added while another column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def hash_bits(rows: int, rows_per_bucket: int = 1000, most: int = 20) -> int:
     """Bits of a hash range so that a bucket of evenly hashed rows holds about ``rows_per_bucket``."""
     return min(most, max(2, math.ceil(math.log2(max(1, rows) / rows_per_bucket + 1))))
 
@@ -96,7 +112,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = keep(small.filter("a <> b").distinct(), "edges")
+        last, now = now, keep(small.filter("a <> b").distinct(), "edges")
+        discard(last)
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if (tuple(seen)) == mark:
             break
@@ -108,7 +125,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 #: Odd multipliers of the two rolling hashes.
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -183,33 +200,38 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@cache
-def _table() -> np.ndarray:
-    """Random 64-bit values of (place modulo 64, byte): words hash by tabulation."""
-    return mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * BASES[0])
+def word_hashes(texts: list[bytes], lower: bool = False, kinds: tuple[int, ...] = (0,)) -> tuple:
+    """``(sizes, hashes of each kind, ..., begin)``: words of each text, 64-bit hashes of all in order, and each text's first word.
 
-
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(sizes, hashes, begin)``: words of each text, 64-bit hashes of all in order, and each text's first word."""
+    Kinds 0 and 1 are independent hashes of the whole word. Stretches of 64 bytes are hashed by tabulation, with a random number for each
+    (place in the stretch, byte); the stretches of a longer word are mixed one by one with their place before they are added.
+    """
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     if lower:
         data = LOWER[data]
-    space = SPACE[data]
-    at = np.flatnonzero(~space)
+    at = np.flatnonzero(~SPACE[data])
     first = np.ones(len(at), bool)
     first[1:] = np.diff(at) > 1
     begin = np.flatnonzero(first)
     start = at[begin]
     lengths = np.diff(np.append(begin, len(at)))
-    place = at - np.repeat(start, lengths)
-    values = _table()[((place & 63) << 8) | data[at]]
-    far = place > 63
-    with np.errstate(over="ignore"):
-        if far.any():
-            values[far] *= (2 * (place[far] >> 6) + 1).astype(np.uint64)
-        hashes = mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64) * BASES[1]) if len(begin) else np.empty(0, np.uint64)
+    place = (at - np.repeat(start, lengths)) & 63
+    code = (place << 8) | data[at]
+    pieces = np.flatnonzero(place == 0)
+    stretches = (lengths + 63) >> 6
+    long = stretches > 1
+    out = []
+    for kind in kinds:
+        table = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * BASES[kind] + mix(BASES[1 - kind : 2 - kind]))
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(table[code], pieces) if len(pieces) else np.empty(0, np.uint64)
+            sized = lengths.astype(np.uint64) * BASES[1 - kind]
+            one = sums[np.cumsum(stretches) - stretches]
+            if long.any():
+                one[long] = sequence_hash(sums[np.repeat(long, stretches)], np.concatenate(([0], np.cumsum(stretches[long]))), BASES[kind])
+            out.append(mix(one + sized))
     bounds = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
-    return np.diff(bounds), hashes, bounds
+    return np.diff(bounds), *out, bounds
 
 
 def chunks(column) -> Iterator[tuple[int, int, list[bytes]]]:

@@ -7,7 +7,7 @@ principle a linked pair shares one of the first D + 1 filled cells of either sid
 cells are the join keys; a set emits them for its size band and for the next band if partners reach into it.
 
 Candidates are pruned by a bit sketch (parities of SKETCH_BITS hashed bits: its Hamming distance, too, is a lower bound of d) and verified
-on the shingles themselves.
+on their whole sets of shingles, told apart by a second, independent hash of 64 bits over whole words. Sets count as equal by both hashes, 128 bits.
 
 Equal sets are collapsed first. Keys of up to ``most`` sets give all their pairs. More crowded keys are
 demoted: the sets that hold them choose their D + 1 cells anew, demoted cells last, which keeps the guarantee for pairs of such sets
@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, chunks, connected_components, discard, keep, mix, rolling, sequence_hash, signed, small_side, word_hashes
+from plumbline.llm.common import BASES, chunks, connected_components, discard, keep, mix, plain, rolling, sequence_hash, signed, small_side, word_hashes
 
 #: Upper bounds of size bands; the cells of a band are four times its bound.
 BANDS = np.array([4, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824], np.int64)
@@ -38,25 +38,27 @@ SKETCH_BITS = 2048
 DEMOTED_BITS, DEMOTED_KEYS = 1 << 24, 1 << 20
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text."""
-    sizes, one, begin = word_hashes(texts, lower=True)
-    windows = rolling(one, n, BASES[0])
+def shingle_sets(texts: list[bytes], n: int, kinds: tuple[int, ...] = (0,)) -> list[tuple[np.ndarray, ...]]:
+    """Distinct 64-bit shingle hashes of each text, sorted by the first kind; other kinds hash the same shingles apart from it."""
+    sizes, *one, begin = word_hashes(texts, lower=True, kinds=kinds)
+    windows = [rolling(h, n, BASES[k]) for h, k in zip(one, kinds, strict=True)]
     out = []
     for k, size in enumerate(sizes.tolist()):
         at = int(begin[k])
         if size >= n:
-            h = np.sort(windows[at : at + size - n + 1])
-            out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+            first = windows[0][at : at + size - n + 1]
+            order = np.argsort(first) if len(kinds) > 1 else None
+            h = first[order] if len(kinds) > 1 else np.sort(first)
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            out.append((h[new], *[w[at : at + size - n + 1][order[new]] for w in windows[1:]]))
         else:
-            out.append(sequence_hash(one[at : at + size], np.array([0, size]), BASES[1])[: min(size, 1)])
+            out.append(tuple(sequence_hash(h[at : at + size], np.array([0, size]), BASES[1 - c])[: min(size, 1)] for h, c in zip(one, kinds, strict=True)))
     return out
 
 
-def set_hash(h: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    with np.errstate(over="ignore"):
-        return tuple(int(mix(h ^ b).sum(dtype=np.uint64).astype(np.int64)) for b in BASES)
+def set_hash(h: np.ndarray) -> int:
+    """64 bits of a set; with the sets of both kinds, 128."""
+    return int(mix(h).sum(dtype=np.uint64).astype(np.int64))
 
 
 def band_keys(h: np.ndarray, band: int) -> np.ndarray:
@@ -105,8 +107,8 @@ def set_table(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataF
         demoted = shared.value
         for batch in batches:
             for i, j, texts in chunks(batch.column(1)):
-                sets = shingle_sets(texts, n)
-                hashes = [set_hash(h) for h in sets]
+                both = shingle_sets(texts, n, (0, 1))
+                sets, hashes = [h for h, _ in both], [(set_hash(h), set_hash(g)) for h, g in both]
                 keys = [signed(prefix_keys(h, demoted)) if len(h) else np.empty(0, np.int64) for h in sets]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
                 columns = [batch.column(0)[i:j], pa.array([len(h) for h in sets], pa.int64()), *[pa.array([h[c] for h in hashes], pa.int64()) for c in (0, 1)]]
@@ -137,18 +139,21 @@ def repeated(keys: DataFrame) -> DataFrame:
 
 
 def candidates(df: DataFrame, n: int, whole: bool) -> DataFrame:
-    """``(doc, size, data)`` of candidate documents: their bit sketch, or with ``whole`` their packed sorted shingle hashes."""
+    """``(doc, size, data)`` of candidate documents: their bit sketch, or with ``whole`` their shingles, by the hash that keys and sketches do not use."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for i, j, texts in chunks(batch.column(1)):
-                sets = shingle_sets(texts, n)
-                data = [h.tobytes() if whole else bit_sketch(h) for h in sets]
-                yield pa.record_batch([batch.column(0)[i:j], pa.array([len(h) for h in sets], pa.int64()), pa.array(data, pa.binary())], ["doc", "size", "data"])
+                sets = [h for (h,) in shingle_sets(texts, n, (int(whole),))]
+                if whole:
+                    data = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(signed(np.concatenate(sets))))
+                else:
+                    data = pa.array([bit_sketch(h) for h in sets], pa.binary())
+                yield pa.record_batch([batch.column(0)[i:j], pa.array([len(h) for h in sets], pa.int64()), data], ["doc", "size", "data"])
 
-    return df.mapInArrow(build, "doc bigint, size bigint, data binary")
+    return df.mapInArrow(build, f"doc bigint, size bigint, data {'array<bigint>' if whole else 'binary'}")
 
 
 def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFrame:
@@ -161,7 +166,7 @@ def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFr
         demoted = shared.value
         for batch in batches:
             for i, j, texts in chunks(batch.column(1)):
-                sets = shingle_sets(texts, n)
+                sets = [h for (h,) in shingle_sets(texts, n)]
                 keys = sets
                 if demoted is not None:
                     keys = []
@@ -204,10 +209,13 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The linked among ``pairs(a, b)``: sizes and sketches first, then shingles, of the documents in pairs."""
 
+    used = []
+
     def beside(pairs: DataFrame, whole: bool) -> DataFrame:
         """``(a, b, a_data, b_data, a_size, b_size)``, with sizes that a link allows."""
         ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ends")
         held = keep(candidates(docs.join(small_side(ends), F.col("doc_id") == F.col("doc"), "left_semi"), n, whole), "candidates")
+        used.extend((ends, held))
         side = lambda c: held.select(F.col("doc").alias(c), F.col("data").alias(f"{c}_data"), F.col("size").alias(f"{c}_size"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes_fit(F.col("a_size"), F.col("b_size")))
         return both.select("a", "b", "a_data", "b_data", "a_size", "b_size")
@@ -223,21 +231,14 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
             # |A ∆ B| <= (1 - p) / (1 + p) (|A| + |B|) for a similarity of p
             yield batch.select([0, 1]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * total))
 
-    def same(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
     near = keep(beside(pairs, whole=False).mapInArrow(close, "a bigint, b bigint").distinct(), "near")
-    return keep(beside(near, whole=True).mapInArrow(same, "a bigint, b bigint").distinct(), "links")
+    # 100 |A ∩ B| >= p |A ∪ B|, one pair of sets at a time
+    common = F.size(F.array_intersect("a_data", "b_data"))
+    same = beside(near, whole=True).filter((common > 0) & (common * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent))
+    links = keep(same.select("a", "b").distinct(), "links")
+    for table in (*used, near):
+        discard(table)
+    return links
 
 
 def demote(keys: np.ndarray, table: np.ndarray | None) -> np.ndarray:
@@ -318,6 +319,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``df`` without the documents whose component has a smaller id; rows without an id stay."""
-    found = link(df, id_col, text_col, **how)
-    gone = keep(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return df.join(small_side(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    rows, (doc, text) = plain(df, id_col, text_col)
+    found = link(rows, doc, text, **how)
+    gone = keep(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return rows.join(small_side(gone), F.col(doc) == F.col("gone"), "left_anti").toDF(*df.columns)
