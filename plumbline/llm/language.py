@@ -2,7 +2,7 @@
 
 A language is a distribution over hashed byte n-grams (words with their borders, lower case), counted
 over every training document. A text is a mixture of languages: expectation-maximisation finds its
-proportions from n-gram likelihoods; languages are then dropped one at a time, weakest first, while that
+proportions from n-gram likelihoods; languages are then dropped, weakest first, while that
 raises the likelihood penalised by ``penalty`` for each language. The text is given the
 language of largest proportion, and that proportion is its score.
 
@@ -13,10 +13,11 @@ every text is ``und``; repeated rows count as often as they stand; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER, SPACE, chunks, mix
@@ -58,8 +59,6 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     """``(languages, log-likelihoods[language, bucket])``; counts are summed per task and language before they are shuffled."""
 
     def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -85,7 +84,11 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
 
 
 def infer(likelihood: np.ndarray, counts: np.ndarray, penalty: float, rounds: int = 12) -> tuple[int, float]:
-    """Language number and proportion of one text; ``likelihood[n-gram, language]``, scaled by row."""
+    """Language number and proportion of one text; ``likelihood[n-gram, language]``, scaled by row.
+
+    After the first fit the weakest languages go together as far as all of them are worth less than one penalty: without set S the likelihood falls at most by
+    ``N log(1 - share of S) - sum of counts x log(1 - responsibility of S)``. One fit over all languages is enough then, however many there are.
+    """
 
     def fit(chosen: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
         p = likelihood[:, chosen]
@@ -102,6 +105,15 @@ def infer(likelihood: np.ndarray, counts: np.ndarray, penalty: float, rounds: in
 
     chosen = np.arange(likelihood.shape[1])
     share, value = fit(chosen, np.full(len(chosen), 1 / len(chosen)))
+    order = np.argsort(share, kind="stable")[:-1]
+    if len(order):
+        weight = likelihood[:, order] * share[order]
+        gone = np.cumsum(weight, 1) / (likelihood @ share)[:, None]
+        lost = counts.sum() * np.log1p(-np.minimum(np.cumsum(share[order]), 1 - 1e-12)) - counts @ np.log1p(-np.minimum(gone, 1 - 1e-12))
+        keep = np.setdiff1d(chosen, order[: int((lost <= penalty).cumprod().sum())])
+        if len(keep) < len(chosen):
+            share, value = fit(keep, share[keep] / share[keep].sum())
+            chosen = keep
     while len(chosen) > 1:
         rest = np.delete(np.arange(len(chosen)), int(share.argmin()))
         start = np.maximum(share[rest], 1e-6)
@@ -113,36 +125,34 @@ def infer(likelihood: np.ndarray, counts: np.ndarray, penalty: float, rounds: in
     return int(chosen[top]), float(min(1.0, share[top]))
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, keep: list[str] | None = None) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` or, with ``keep``, those columns of ``df`` and ``lang_pred``, ``score``."""
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
+    """``(doc_id, lang_pred, score)``, one row per row."""
+    found = tagger(df.sparkSession, model, penalty)(F.col(text_col))
+    return df.select(F.col(id_col).alias("doc_id"), found.alias("found")).select("doc_id", "found.lang_pred", "found.score")
+
+
+def tagger(spark: SparkSession, model: tuple[list[str], np.ndarray], penalty: float = 12.0) -> Callable[[Column], Column]:
+    """A function from a text column to ``(lang_pred, score)``. Only texts go to Python and only labels come back; other columns stay where they are."""
     names, table = model
-    shared = df.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # languages x BUCKETS, fixed
-    held = keep or [id_col]
+    shared = spark.sparkContext.broadcast(table.astype(np.float32))  # languages x BUCKETS, fixed
 
-    def predict(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
         letter = regex.compile(r"\p{L}")
         table = shared.value
-        for batch in batches:
-            langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            for i, j, texts in chunks(batch.column(batch.num_columns - 1)) if names else ():
+        for column in columns:
+            langs, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+            for i, j, texts in chunks(column) if names else ():
                 owner, bucket = grams(texts)
                 code, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
-                owner, bucket = code // BUCKETS, code % BUCKETS
-                bounds = np.searchsorted(owner, np.arange(j - i + 1))
-                logs = table[:, bucket].T.astype(np.float64)
-                scaled = np.exp(logs - logs.max(1, keepdims=True)) if len(logs) else logs
+                bounds = np.searchsorted(code, np.arange(j - i + 1) * BUCKETS)
                 for k in range(i, j):
                     a, b = bounds[k - i], bounds[k - i + 1]
                     if b > a and letter.search(texts[k - i].decode("utf-8")):
-                        top, scores[k] = infer(scaled[a:b], count[a:b] / EVIDENCE, penalty)
+                        logs = table[:, code[a:b] % BUCKETS].T.astype(np.float64)  # of one text: at most BUCKETS n-grams x languages
+                        top, scores[k] = infer(np.exp(logs - logs.max(1, keepdims=True)), count[a:b] / EVIDENCE, penalty)
                         langs[k] = names[top]
-            columns = [batch.column(c) for c in range(batch.num_columns - 1)]
-            yield pa.record_batch([*columns, pa.array(langs, pa.string()), pa.array(scores)], [f"c{c}" for c in range(len(columns) + 2)])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
-    schema = df.select(*[F.col(f"`{c}`") for c in held]).schema
-    fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(schema))
-    out = df.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text_col}`").alias("_text")).mapInArrow(predict, f"{fields}, c{len(held)} string, c{len(held) + 1} double")
-    return out.toDF(*(held if keep else ["doc_id"]), "lang_pred", "score")
+    return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()  # evaluated once, whatever reads it

@@ -10,7 +10,7 @@ are range-sorted by position.
 
 Defined cases: a null or blank text has size 0, is taken 0 times and has no position; the null
 source is a source of its own, last in order; repeated rows count as often as they stand; an empty
-table gives an empty result. Ties of the hash are ordered by id, then text.
+table gives an empty result. Ties of the hash are ordered by id, then text. Other columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, hash_bits, keep, running_offset
+from plumbline.llm.common import WORD, hash_bits, keep, plain, running_offset
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: int = 3, slopes: tuple[float, ...] = (-1.0, 0.0, 1.0)) -> DataFrame:
@@ -56,8 +56,9 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         F.xxhash64(F.lit(seed), F.col(text_col)).alias("text_hash"),
     )
     slim = keep(slim.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")), "mix")
-    bits = hash_bits(slim.count() // 4)
-    goals = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), most_repeats=most_repeats, **targets)
+    sizes = keep(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    bits = hash_bits(sizes.agg(F.max("rows")).first()[0] or 0)
+    goals = source_targets(sizes.select("source", "source_size"), most_repeats=most_repeats, **targets)
     goals = goals.select(F.col("source").alias("_source"), "source_size", "target", "slope")
     placed = running_offset(slim, ["source"], "_h", ["doc_id", "text_hash"], F.col("size"), "_before", bits)
     placed = placed.join(goals, F.col("source").eqNullSafe(F.col("_source")))
@@ -83,15 +84,15 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The training stream with ``df``'s columns: whole documents, one row for each copy, sorted by position.
 
     The copy that crosses its source's target stays if at least half of it is inside. Rows that
-    agree in id, text and source are one row of the plan repeated; each stands as often as it was planned.
+    agree in id, text and source are one row of the plan repeated; each stands as often as it was planned. Texts are shuffled twice:
+    to their row of the plan, which also numbers repeated rows, and into order.
     """
-    plan = plan_mix(df, id_col, text_col, source_col, **how)
-    chosen = plan.withColumn("_copies", F.filter("copies", lambda c: c["words"] * 2 >= F.col("size"))).filter(F.size("_copies") > 0)
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy(F.lit(0)))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("_copies.position").alias("_positions")).withColumn("_nth", nth)
-    seed = how.get("seed", 17)
-    same = Window.partitionBy(F.col(id_col), F.col("_text_hash"), F.col(source_col)).orderBy(F.lit(0))
-    rows = df.withColumn("_text_hash", F.xxhash64(F.lit(seed), F.col(text_col))).withColumn("_row", F.row_number().over(same))
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_row") == F.col("_nth"))
-    out = rows.join(chosen, match).withColumn("_position", F.explode("_positions"))
-    return out.orderBy("_position", id_col).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows, (doc, text, source) = plain(df, id_col, text_col, source_col)
+    plan = plan_mix(rows, doc, text, source, **how)
+    key = [F.xxhash64(F.lit(i), "doc_id", "text_hash", F.col("source").isNull(), "source").alias(f"_k{i}") for i in (0, 1)]
+    whole = F.transform(F.filter("copies", lambda c: c["words"] * 2 >= F.col("size")), lambda c: c["position"])
+    chosen = plan.select(*key, whole.alias("_positions")).groupBy("_k0", "_k1").agg(F.collect_list("_positions").alias("_lists"))
+    hashed = rows.withColumns({"doc_id": F.col(doc), "text_hash": F.xxhash64(F.lit(how.get("seed", 17)), F.col(text)), "source": F.col(source)}).select(*rows.columns, *key)
+    nth = F.row_number().over(Window.partitionBy("_k0", "_k1").orderBy(F.lit(0)))
+    placed = hashed.withColumn("_nth", nth).join(chosen, ["_k0", "_k1"]).select(*rows.columns, F.explode(F.get("_lists", F.col("_nth") - 1)).alias("_position"))
+    return placed.orderBy("_position", doc).select(*rows.columns).toDF(*df.columns)

@@ -51,7 +51,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", lines.url_host(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
     kept = lines.drop_boilerplate(pages, "host", ratio=0.1, min_pages=3)
-    return kept.select("page_id", "host", F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("page_id", "host", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,9 +167,9 @@ def test_periodic_text(spark):
 def test_lines(spark):
     rows = [(i, "h", f"nav\nunique {i}\n{'rare' if i < 2 else 'x' + str(i)}") for i in range(6)] + [(9, None, "nav\nother"), (10, "h", None), (11, "h", ""), (11, "h", "")]
     df = spark.createDataFrame(rows, "page_id long, host string, text string")
-    got = {r["page_id"]: (r["text"], r["_n_dropped"]) for r in lines.drop_boilerplate(df, "host", ratio=0.3, min_pages=3).collect()}
+    got = {r["page_id"]: (r["text"], r["n_dropped"]) for r in lines.drop_boilerplate(df, "host", ratio=0.3, min_pages=3).collect()}
     assert got[0] == ("unique 0\nrare", 1) and got[9] == ("nav\nother", 0) and got[10] == (None, 0) and got[11] == ("", 0)
-    salted = lines.drop_boilerplate(df, "host", ratio=0.3, min_pages=3, broadcast_lines=-1, salts=3)
+    salted = lines.drop_boilerplate(df, "host", ratio=0.3, min_pages=3, broadcast_lines=-1, pages_a_salt=2)
     assert sorted(map(str, salted.collect())) == sorted(map(str, lines.drop_boilerplate(df, "host", ratio=0.3, min_pages=3).collect()))
 
 
