@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import language, lines, mixing, ngram_join, packing
-from plumbline.llm.common import keep
+from plumbline.llm.common import free_name, keep
 from plumbline.llm.queries import vocabulary
 
 #: A line on more than this share of a source's documents is boilerplate.
@@ -23,10 +23,14 @@ def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; ``lang`` becomes the predicted one."""
-    model = language.train(docs)
-    found = language.identify(docs, model, keep=docs.columns).filter(F.col("lang_pred") != language.UNKNOWN)
-    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose language can be told: those without a letter go, and ``lang`` becomes the predicted language.
+
+    The model is trained on the given languages of the same documents, so a prediction corrects a label that disagrees with its text.
+    """
+    found = free_name("found", docs.columns)
+    tagged = docs.withColumn(found, language.tagger(spark, language.train(docs))(F.col("text")))
+    told = tagged.filter(F.col(f"{found}.lang_pred") != language.UNKNOWN)
+    return told.select(*[F.col(f"{found}.lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
