@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,32 @@ def ngrams(tokens: Column, n: int, separator: str = " ") -> Column:
     return let(tokens, of)
 
 
+def detokenise(tokens: Column, separator: str = " ") -> Column:
+    """Text of word tokens (of characters with an empty separator)."""
+    return F.array_join(tokens, separator)
+
+
+def subwords(vocabulary: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """``(tokenise, detokenise)`` by a tokenizer file that every worker can read: texts to ids without special tokens, and ids to text without special tokens."""
+
+    def model():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(vocabulary)
+
+    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = model()
+        for column in columns:
+            yield pa.array([None if t is None else found.encode(t, add_special_tokens=False).ids for t in column.to_pylist()], pa.list_(pa.int32()))
+
+    def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = model()
+        for column in columns:
+            yield pa.array([None if ids is None else found.decode(ids, skip_special_tokens=True) for ids in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(encode, "array<int>"), F.arrow_udf(decode, "string")
+
+
 def truncate_words(text: Column, most: int) -> Column:
     return F.array_join(F.slice(words(text), 1, most), " ")
 
@@ -51,9 +78,13 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+#: The characters of WHITE, for trimming (fixed values).
+WHITE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def repeated_lines(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), lambda x: F.regexp_replace(x, rf"^{WHITE}|{WHITE}$", "")), lambda x: x != "")
-    return F.when(F.size(lines) > 0, 1 - F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(F.lit(0.0))
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), lambda x: F.btrim(x, F.lit(WHITE_CHARACTERS))), lambda x: x != "")
+    return let(lines, lambda v: F.when(F.size(v) > 0, 1 - F.size(F.array_distinct(v)) / F.size(v)).otherwise(F.lit(0.0)))
 
 
 def digit_share(text: Column) -> Column:
@@ -61,12 +92,12 @@ def digit_share(text: Column) -> Column:
 
 
 def punctuation_share(text: Column) -> Column:
-    return share(F.regexp_count(text, F.lit(r"(?U)[^\p{L}\p{N}\s]")), F.length(text))
+    # letters, numbers and Unicode white space, by their classes
+    return share(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\p{Z}\t-\r\x85]")), F.length(text))
 
 
 def type_token_ratio(text: Column) -> Column:
-    w = words(text)
-    return share(F.size(F.array_distinct(w)), F.size(w))
+    return let(words(text), lambda w: share(F.size(F.array_distinct(w)), F.size(w)))
 
 
 @F.pandas_udf(T.LongType())

@@ -20,29 +20,31 @@ def grams_of(df: DataFrame, id_col: str, n: int, text_col: str = "text", tokeniz
     return df.select(id_col, F.explode(ngrams(tokenizer(F.col(text_col)), n, separator)).alias("gram"))
 
 
-def build_index(corpus: DataFrame | Iterable[DataFrame], n: int, text_col: str = "text", tokenizer: Tokenizer = words) -> DataFrame:
+def build_index(corpus: DataFrame | Iterable[DataFrame], n: int, text_col: str = "text", tokenizer: Tokenizer = words, separator: str = " ") -> DataFrame:
     """Distinct n-grams of one or several corpora."""
     parts = [corpus] if isinstance(corpus, DataFrame) else list(corpus)
     if not parts:
         raise ValueError("an index needs a corpus")
-    tables = [c.select(F.explode(ngrams(tokenizer(F.col(text_col)), n)).alias("gram")) for c in parts]
+    tables = [c.select(F.explode(ngrams(tokenizer(F.col(text_col)), n, separator)).alias("gram")) for c in parts]
     return reduce(DataFrame.unionByName, tables).distinct()
 
 
-def index_size(corpus: DataFrame, n: int) -> DataFrame:
-    return build_index(corpus, n).agg(F.count("*").alias("n_grams"))
+def index_size(corpus: DataFrame, n: int, text_col: str = "text", tokenizer: Tokenizer = words, separator: str = " ") -> DataFrame:
+    """Number of distinct n-grams, counted by two 64-bit hashes of each: the n-grams themselves are not shuffled."""
+    hashes = F.transform(ngrams(tokenizer(F.col(text_col)), n, separator), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
+    return corpus.select(F.explode(hashes).alias("h")).select("h.*").distinct().agg(F.count("*").alias("n_grams"))
 
 
-def overlap(items: DataFrame, corpus: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text", tokenizer: Tokenizer = words) -> DataFrame:
+def overlap(items: DataFrame, corpus: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text", tokenizer: Tokenizer = words, separator: str = " ") -> DataFrame:
     """``(id, score)``: the share of an item's n-grams, with multiplicity, that the corpus has; 0 without n-grams.
 
     The items' distinct n-grams, if they are few by count, go to the corpus rather than the corpus's n-grams
     through a shuffle: most corpus n-grams are dropped where they are made.
     """
-    grams = grams_of(items, id_col, n, text_col, tokenizer)
+    grams = grams_of(items, id_col, n, text_col, tokenizer, separator)
     wanted = grams.select("gram").distinct()
     small = wanted.count() <= BROADCAST_GRAMS
-    made = corpus.select(F.explode(ngrams(tokenizer(F.col(text_col)), n)).alias("gram"))
+    made = corpus.select(F.explode(ngrams(tokenizer(F.col(text_col)), n, separator)).alias("gram"))
     found = made.join(F.broadcast(wanted) if small else wanted, "gram", "left_semi").distinct().withColumn("_hit", F.lit(1))
     score = grams.join(F.broadcast(found) if small else found, "gram", "left").groupBy(id_col).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("score"))
     return items.select(id_col).join(score, id_col, "left").select(id_col, F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import words
@@ -65,3 +68,36 @@ def fraction_bucket(value: Column) -> Column:
 def summary(df: DataFrame) -> DataFrame:
     one = F.col("extracted").cast("int")
     return df.agg(F.count("*").alias("n_items"), F.coalesce(F.avg(one), F.lit(0.0)).alias("rate"), F.coalesce(F.avg("frac_extracted"), F.lit(0.0)).alias("mean_fraction"), F.median("frac_extracted").alias("median_fraction"))
+
+
+def cached_selection(spark: SparkSession, root: str, parameters: dict, select: Callable[[], DataFrame]) -> DataFrame:
+    """A selection written once under a name made of all its parameters, and read from there afterwards: a resumed run scores the same items."""
+    name = "_".join(f"{k}-{quote(str(v), safe='')}" for k, v in sorted(parameters.items()))
+    path = f"{root}/selection_{name}"
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    select().write.mode("overwrite").parquet(path)  # complete once its commit marker is there
+    return spark.read.parquet(path)
+
+
+def resumable(items: DataFrame, path: str, generator: Callable[[], Callable[[DataFrame], DataFrame]], id_col: str, keep: tuple[str, ...] = (), restart: bool = False) -> DataFrame:
+    """Outcomes of all ``items(id, prefix, suffix)``, of which only those not yet at ``path`` are generated; ``generator()`` is called only if there are any.
+
+    Rows are keyed by id, so one that was written twice counts once.
+    """
+    spark = items.sparkSession
+    done = None
+    if not restart:
+        try:
+            done = spark.read.parquet(path)
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    todo = items if done is None else items.join(done.select(id_col), id_col, "left_anti")
+    if done is None or todo.limit(1).count():
+        found = outcomes(generator()(todo)).select(id_col, *keep, "matched_tokens", "extracted", "frac_extracted")
+        found.write.mode("overwrite" if done is None else "append").parquet(path)
+    return spark.read.parquet(path).dropDuplicates([id_col])

@@ -23,6 +23,15 @@ def sample(df: DataFrame, most: int, seed: int, id_col: str) -> DataFrame:
     return df.orderBy(shuffled(seed, id_col), id_col).limit(most)
 
 
+def places(df: DataFrame, seed: int, id_col: str, out: str = "place") -> DataFrame:
+    """Add each row's place, from 1, in a seeded shuffle: counted by the hash's first two digits, then inside them."""
+    hashed = df.withColumn("_h", shuffled(seed, id_col)).withColumn("_two", F.substring("_h", 1, 2))
+    before = Window.orderBy("_two").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
+    base = hashed.groupBy("_two").agg(F.count("*").alias("_n")).select("_two", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_two").orderBy("_h", id_col))
+    return hashed.withColumn("_inside", inside).join(F.broadcast(base), "_two").withColumn(out, (F.col("_base") + F.col("_inside")).cast("long")).drop("_h", "_two", "_inside", "_base")
+
+
 def split(df: DataFrame, seed: int, id_col: str) -> DataFrame:
     """Add ``member``: 1 for about half of the rows, by hash."""
     first = F.conv(F.substring(shuffled(seed, id_col), 1, 1), 16, 10).cast("int")

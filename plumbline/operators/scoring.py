@@ -118,8 +118,30 @@ class BigramModel:
         schema = T.StructType([*one.schema.fields[:-1], T.StructField("n_tokens", T.IntegerType()), *T.StructType.fromDDL(STATS).fields])
         return one.mapInArrow(run, schema)
 
+    def scores(self, df: DataFrame, names: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", most: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """``(id, *keep, n_tokens, *names)``: detectors of ``BY_ARRAY`` computed where the text is scored, so that no token statistic leaves the worker."""
+        model, held = self, [id_col, *keep]
+        detectors = [BY_ARRAY[n] for n in names]
+
+        def run(batches):
+            for batch in batches:
+                kept = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(held))], held)
+                for start, codes, lengths in _chunks(batch.column(len(held)).to_pylist(), most, _COUNTED):
+                    rows = np.flatnonzero(lengths >= 2)
+                    if not len(rows):
+                        continue
+                    lp, mu, sigma = model.score(_pairs(codes, lengths))
+                    at = np.concatenate([[0], np.cumsum(lengths[rows] - 1)])
+                    found = [[d(lp[a:b], mu[a:b], sigma[a:b]) for d in detectors] for a, b in zip(at[:-1], at[1:], strict=True)]
+                    own = kept.take(pa.array(rows + start))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array((lengths[rows] - 1).astype(np.int32)), *[pa.array(c, pa.float64()) for c in zip(*found, strict=True)]], [*held, "n_tokens", *names])
+
+        one = df.select(*held, F.col(text_col).alias("_text"))
+        schema = T.StructType([*one.schema.fields[:-1], T.StructField("n_tokens", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+        return one.mapInArrow(run, schema)
+
     def loglik(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
-        return self.stats(df, id_col, text_col, most).select(id_col, F.aggregate("token_logprob", F.lit(0.0), lambda s, x: s + x).alias("loglik"))
+        return self.scores(df, ("loglik",), id_col, text_col, most).select(id_col, "loglik")
 
 
 def mean(values: Column) -> Column:
@@ -156,8 +178,31 @@ def zlib_ratio(text_col: str = "text", bits_col: str | None = None) -> Column:
     return F.aggregate("token_logprob", F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), bits)
 
 
+def _lowest(percent: float) -> Callable[[np.ndarray], float]:
+    """Mean of the smallest ``max(1, ceil(percent / 100 * n))`` values."""
+
+    def of(values: np.ndarray) -> float:
+        k = max(1, int(np.ceil(percent / 100 * len(values))))
+        return float(np.partition(values, k - 1)[:k].mean())
+
+    return of
+
+
+#: The same detectors as functions of the arrays (log-probability, mean, deviation) of one text.
+BY_ARRAY: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], float]] = {
+    "loss": lambda lp, mu, sigma: float(lp.mean()),
+    "perplexity": lambda lp, mu, sigma: float(-np.exp(-lp.mean())),
+    "min_10_prob": lambda lp, mu, sigma: _lowest(10)(lp),
+    "min_20_prob": lambda lp, mu, sigma: _lowest(20)(lp),
+    "min_20_plusplus": lambda lp, mu, sigma: _lowest(20)((lp - mu) / (sigma + 1e-6)),
+    "mu_mean": lambda lp, mu, sigma: float(mu.mean()),
+    "sigma_mean": lambda lp, mu, sigma: float(sigma.mean()),
+    "loglik": lambda lp, mu, sigma: float(lp.sum()),
+}
+
+
 #: Detectors by name; higher means more member-like.
-DETECTORS: dict[str, Callable[[], Column]] = {"loss": loss, "perplexity": perplexity, "min_20_prob": min_k, "min_20_plusplus": min_k_plus_plus, "zlib_ratio": zlib_ratio}
+DETECTORS: dict[str, Callable[[], Column]] = {"loss": loss, "perplexity": perplexity, "min_20_prob": min_k, "min_10_prob": lambda: min_k(10), "min_20_plusplus": min_k_plus_plus, "zlib_ratio": zlib_ratio}
 DEFAULT_SUITE = ("loss", "min_20_prob", "min_20_plusplus", "zlib_ratio")
 
 

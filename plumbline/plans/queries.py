@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import pii, text
-from plumbline.operators import contamination, extraction, order_test, ranks, sampling, scoring, stats
+from plumbline.operators import contamination, controls, extraction, order_test, ranks, sampling, scoring, stats
 from plumbline.sources import readers
+from plumbline.sources.kept import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,7 +44,7 @@ def _docs(spark, sf):
 def _analysis(spark, sf) -> DataFrame:
     """One row a labelled document: the inputs of ranks and statistics."""
     d = _docs(spark, sf).select("doc_id", "lang", "source", "n_chars", F.size(text.words(F.col("text"))).cast("long").alias("n_words"), text.type_token_ratio(F.col("text")).alias("ttr"))
-    return d.join(_table(spark, sf, "labels"), "doc_id")
+    return keep(d.join(_table(spark, sf, "labels"), "doc_id"), "analysis")
 
 
 def _arms(spark, sf) -> DataFrame:
@@ -96,7 +97,7 @@ def s6_prompt_scan(spark, sf):
     return _table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("text"))
 
 
-@query("SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i) WHERE trim(string_split(text, chr(10))[i]) <> '' ORDER BY doc_id, i LIMIT 500")
+@query("SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i) WHERE trim(string_split(text, chr(10))[i]) <> ''")
 def s7_line_scan(spark, sf):
     lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter(F.trim("line") != "")
     return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
@@ -115,10 +116,23 @@ def k3_last_wins_compaction(spark, sf):
     return sampling.last_wins(_table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
+@query(f"""WITH {AN}, e AS (SELECT min(n_chars)::DOUBLE lo, (max(n_chars) - min(n_chars)) / 30.0::DOUBLE AS w FROM an),
+b AS (SELECT quality, least(29, floor((n_chars - lo) / w)::INT) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(w) AS w FROM an, e GROUP BY ALL)
+SELECT quality, bin, n, round(lo + bin * w, 6) AS low, round(n / (sum(n) OVER (PARTITION BY quality) * w), 12) AS density FROM b""")
+def k5_density_by_class(spark, sf):
+    return _r(_r(ranks.histogram(_analysis(spark, sf), "n_chars", 30, ["quality"]), "low", digits=6), "density", digits=12)
+
+
+@query(f"""WITH {AN}, g AS (SELECT n_words AS t, sum(quality) AS p, sum(1 - quality) AS n FROM an GROUP BY 1), c AS (SELECT sum(p) OVER (ORDER BY t DESC) AS tp, sum(n) OVER (ORDER BY t DESC) AS fp FROM g UNION ALL SELECT 0, 0),
+s AS (SELECT sum(quality) AS pos, sum(1 - quality) AS neg FROM an) SELECT round(greatest(0.001, fp / neg), 9) AS x, round(max(greatest(0.001, tp / pos)), 9) AS y FROM c, s GROUP BY 1""")
+def k5_roc_points(spark, sf):
+    return _r(ranks.roc_points(ranks.roc(_analysis(spark, sf), "n_words", "quality"), 1e-3), "x", "y")
+
+
 @query(f"""WITH {AN}, e AS (SELECT min(n_chars)::DOUBLE lo, max(n_chars)::DOUBLE hi FROM an)
 SELECT least(24, floor((n_chars - lo) / ((hi - lo) / 25))::INT) AS bin, count(*) AS n, round(any_value(lo + least(24, floor((n_chars - lo) / ((hi - lo) / 25))::INT) * ((hi - lo) / 25)), 6) AS low FROM an, e GROUP BY 1""")
 def m11_score_histogram(spark, sf):
-    return _r(ranks.histogram(_analysis(spark, sf), "n_chars", 25), "low", digits=6)
+    return _r(ranks.histogram(_analysis(spark, sf), "n_chars", 25).drop("density"), "low", digits=6)
 
 
 # Projections and filters
@@ -206,9 +220,8 @@ def j6_labelled_union(spark, sf):
 
 @query(f"WITH {AN} SELECT count(*) AS pairs, sum(CASE WHEN a.ttr < b.ttr THEN 1 ELSE 0 END)::BIGINT AS rising FROM an a JOIN an b ON a.doc_id < b.doc_id AND a.lang = b.lang")
 def j8_ordered_pairs(spark, sf):
-    a = _analysis(spark, sf).select("doc_id", "lang", "ttr")
-    b = a.select(F.col("doc_id").alias("other"), "lang", F.col("ttr").alias("ttr2"))
-    return a.join(b, "lang").filter("doc_id < other").agg(F.count("*").alias("pairs"), F.sum((F.col("ttr") < F.col("ttr2")).cast("long")).alias("rising"))
+    out = stats.ordered_pairs(_analysis(spark, sf), "doc_id", "ttr", ["lang"])
+    return out.agg(F.sum("pairs").cast("long").alias("pairs"), F.sum("rising").cast("long").alias("rising"))
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {HASH}, doc_id LIMIT 100")
@@ -259,8 +272,7 @@ def a6_pool_by_domain(spark, sf):
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {HASH}, doc_id) AS place FROM benchmark_ids".replace("benchmark_ids", "(SELECT item_id AS doc_id FROM benchmark)"))
 def a7_shuffle(spark, sf):
-    items = _table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return items.select("doc_id", F.row_number().over(Window.orderBy(sampling.shuffled(SEED, "doc_id"), "doc_id")).cast("long").alias("place"))
+    return sampling.places(_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), SEED, "doc_id")
 
 
 # Token statistics and detectors
@@ -271,9 +283,9 @@ def _model(spark, sf) -> tuple[scoring.BigramModel, DataFrame]:
     return scoring.BigramModel.train(arms.filter("member = 1")), arms
 
 
-_CHARS = "list_filter(string_split(text, ''), lambda x: x <> '')[1:{n}]"
+_CHARS = "list_filter(string_split(text, ''), lambda x: x <> '')"
 _LM = f"""{ARMS},
-pairs AS (SELECT doc_id, i - 1 AS pos, c[i] AS prev, c[i + 1] AS cur FROM (SELECT doc_id, {_CHARS.format(n=256)} AS c FROM documents), unnest(range(1, len(c))) AS t(i)),
+pairs AS (SELECT doc_id, i - 1 AS pos, c[i] AS prev, c[i + 1] AS cur FROM (SELECT doc_id, {_CHARS} AS c FROM documents), unnest(range(1, len(c))) AS t(i)),
 cnt AS (SELECT prev, cur, count(*) AS c FROM pairs JOIN arms USING (doc_id) WHERE member = 1 GROUP BY ALL),
 voc AS (SELECT count(DISTINCT t) AS v FROM (SELECT prev AS t FROM cnt UNION ALL SELECT cur FROM cnt)),
 tot AS (SELECT prev, sum(c) AS n, count(*) AS types FROM cnt GROUP BY prev),
@@ -285,14 +297,13 @@ tok AS (SELECT p.doc_id, p.pos, coalesce(s.lp, c.floor, -ln(voc.v::DOUBLE)) AS l
   FROM pairs p LEFT JOIN seen s ON p.prev = s.prev AND p.cur = s.cur LEFT JOIN ctx c ON p.prev = c.prev, voc),
 z AS (SELECT doc_id, lp, mu, sigma, (lp - mu) / (sigma + 1e-6) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY lp) AS rl,
   row_number() OVER (PARTITION BY doc_id ORDER BY (lp - mu) / (sigma + 1e-6)) AS rz, count(*) OVER (PARTITION BY doc_id) AS n FROM tok),
-score AS (SELECT doc_id, any_value(n) AS n_tokens, avg(lp) AS loss, avg(lp) FILTER (rl <= greatest(1, ceil(20.0 / 100 * n))) AS min_20_prob,
+score AS (SELECT doc_id, any_value(n) AS n_tokens, avg(lp) AS loss, avg(lp) FILTER (rl <= greatest(1, ceil(20.0 / 100 * n))) AS min_20_prob, avg(lp) FILTER (rl <= greatest(1, ceil(10.0 / 100 * n))) AS min_10_prob,
   avg(z) FILTER (rz <= greatest(1, ceil(20.0 / 100 * n))) AS min_20_plusplus FROM z GROUP BY doc_id)"""
 
 
 def _scores(spark, sf) -> DataFrame:
     model, arms = _model(spark, sf)
-    stat = model.stats(arms, keep=("member", "source"))
-    return scoring.scores(stat, ("loss", "perplexity", "min_20_prob", "min_20_plusplus"), ("doc_id", "n_tokens", "member", "source"))
+    return model.scores(arms, ("loss", "perplexity", "min_20_prob", "min_20_plusplus"), keep=("member", "source"))
 
 
 @query(f"WITH {_LM} SELECT doc_id, n_tokens::INT AS n_tokens, round(loss, 6) AS loss, round(-exp(-loss), 5) AS perplexity, round(min_20_prob, 6) AS min_20_prob, round(min_20_plusplus, 5) AS min_20_plusplus FROM score")
@@ -304,7 +315,7 @@ def t4_t8_membership_scores(spark, sf):
 @query(f"WITH {_LM} SELECT doc_id, round(any_value(mu_mean), 6) AS mu_mean, round(any_value(sigma_mean), 5) AS sigma_mean FROM (SELECT doc_id, avg(mu) OVER (PARTITION BY doc_id) AS mu_mean, avg(sigma) OVER (PARTITION BY doc_id) AS sigma_mean FROM tok) GROUP BY doc_id")
 def t1_token_statistics(spark, sf):
     model, arms = _model(spark, sf)
-    s = model.stats(arms).select("doc_id", scoring.mean(F.col("mu")).alias("mu_mean"), scoring.mean(F.col("sigma")).alias("sigma_mean"))
+    s = model.scores(arms, ("mu_mean", "sigma_mean")).select("doc_id", "mu_mean", "sigma_mean")
     return _r(_r(s, "mu_mean", digits=6), "sigma_mean", digits=5)
 
 
@@ -319,14 +330,14 @@ def t3_mock_scores(spark, sf):
 def t9_t10_zlib_scores(spark, sf):
     model, arms = _model(spark, sf)
     # Bits come first: rows that wait for a Python function should not hold their token statistics.
-    stat = model.stats(arms.select("doc_id", "text", text.zlib_bits(F.col("text")).alias("bits")), keep=("bits",))
-    return stat.select("doc_id", "bits", scoring.zlib_ratio(bits_col="bits").alias("zlib_ratio"))
+    stat = model.scores(arms.select("doc_id", "text", text.zlib_bits(F.col("text")).alias("bits")), ("loglik",), keep=("bits",))
+    return stat.select("doc_id", "bits", (F.col("loglik") / F.greatest(F.lit(1), "bits")).alias("zlib_ratio"))
 
 
 @query(f"WITH {_LM} SELECT doc_id, count(*)::INT AS n_tokens, round(avg(lp), 6) AS prefix_loss FROM tok WHERE pos < 31 GROUP BY doc_id")
 def t14_prefix_only_scores(spark, sf):
     model, arms = _model(spark, sf)
-    return _r(scoring.scores(model.stats(arms, most=32), ("loss",), ("doc_id", "n_tokens")).withColumnRenamed("loss", "prefix_loss"), "prefix_loss", digits=6)
+    return _r(model.scores(arms, ("loss",), most=32).withColumnRenamed("loss", "prefix_loss"), "prefix_loss", digits=6)
 
 
 @query(f"""WITH {_LM}, long AS (UNPIVOT (SELECT doc_id, member, round(loss, 9) AS loss, round(min_20_prob, 9) AS min_20_prob FROM score JOIN arms USING (doc_id)) ON loss, min_20_prob INTO NAME detector VALUE s),
@@ -402,21 +413,20 @@ def n8_separation(spark, sf):
 
 # Order-permutation test
 
-#: Permutations of the queries, as in the reference; the SQL states a smaller job: 19 of them, 8 words a turn, 256 and 4096 characters.
+#: Permutations of the queries, as in the reference.
 ORDER_PERMUTATIONS = 1000
-_PERMS = 19
-_TURN = f"array_to_string(({WORDS})[1:8], ' ')"
-
-
-def _order(label: str) -> str:
-    return f"""{ARMS}, base AS (SELECT i, c[i] AS prev, c[i + 1] AS cur FROM (SELECT list_filter(string_split(text, ''), lambda x: x <> '')[1:256] AS c FROM arms WHERE member = 1), unnest(range(1, len(c))) AS t(i)),
-cnt AS (SELECT prev, cur, count(*) AS c FROM base GROUP BY ALL), voc AS (SELECT count(DISTINCT t) AS v FROM (SELECT prev AS t FROM cnt UNION ALL SELECT cur FROM cnt)),
-tot AS (SELECT prev, sum(c)::DOUBLE AS n FROM cnt GROUP BY prev), seen AS (SELECT prev, cur, ln((c + 0.5::DOUBLE) / (n + 0.5::DOUBLE * v)) AS lp FROM cnt JOIN tot USING (prev), voc),
-ctx AS (SELECT prev, ln(0.5::DOUBLE / (n + 0.5::DOUBLE * v)) AS floor FROM tot, voc),
-ex AS (SELECT conv_id, turn, {_TURN} AS t FROM conversations), many AS (SELECT conv_id, turn, t, r FROM ex, unnest(range(0, {_PERMS} + 1)) AS u(r)),
-joined AS (SELECT conv_id, r, string_agg(t, chr(10) ORDER BY CASE WHEN r = 0 THEN lpad(turn::VARCHAR, 20, '0') ELSE md5('7|' || r || '|' || conv_id || '|' || turn) END, turn) AS text, count(*) AS k FROM many GROUP BY ALL HAVING k >= 2),
-pr AS (SELECT conv_id, r, c[i] AS prev, c[i + 1] AS cur FROM (SELECT conv_id, r, list_filter(string_split(text, ''), lambda x: x <> '')[1:4096] AS c FROM joined), unnest(range(1, len(c))) AS t(i)),
-ll AS (SELECT conv_id, r, round(sum(coalesce(s.lp, c.floor, -ln(v::DOUBLE))), 6) AS loglik FROM pr LEFT JOIN seen s USING (prev, cur) LEFT JOIN ctx c ON pr.prev = c.prev, voc GROUP BY ALL),
+
+
+def _order() -> str:
+    """Whole turns, joined by line feeds. An ordering's log-likelihood is the sum over its turns of what they have inside, and over its joints of (last character, line feed, first character)."""
+    return f"""{_LM}, lp AS (SELECT prev, cur, lp FROM seen), turn AS (SELECT conv_id, turn, text AS t, list_filter(string_split(text, ''), lambda x: x <> '') AS c FROM conversations),
+big AS (SELECT conv_id FROM turn GROUP BY conv_id HAVING count(*) >= 2),
+inn AS (SELECT conv_id, sum(coalesce(s.lp, x.floor, -ln(voc.v::DOUBLE))) AS inside FROM (SELECT conv_id, c[i] AS prev, c[i + 1] AS cur FROM turn, unnest(range(1, len(c))) AS u(i)) p LEFT JOIN seen s USING (prev, cur) LEFT JOIN ctx x ON x.prev = p.prev, voc GROUP BY conv_id),
+many AS (SELECT conv_id, c[1] AS a, c[len(c)] AS z, r, row_number() OVER (PARTITION BY conv_id, r ORDER BY CASE WHEN r = 0 THEN lpad(turn::VARCHAR, 20, '0') ELSE md5('7|' || r || '|' || conv_id || '|' || turn) END, turn) AS k
+  FROM turn JOIN big USING (conv_id), unnest(range(0, {ORDER_PERMUTATIONS} + 1)) AS u(r)),
+joint AS (SELECT x.conv_id, x.r, x.z AS prev, y.a AS cur FROM many x JOIN many y ON x.conv_id = y.conv_id AND x.r = y.r AND y.k = x.k + 1),
+edge AS (SELECT conv_id, r, prev, chr(10) AS cur FROM joint UNION ALL SELECT conv_id, r, chr(10), cur FROM joint),
+ll AS (SELECT e.conv_id, r, round(any_value(inside) + sum(coalesce(s.lp, x.floor, -ln(voc.v::DOUBLE))), 6) AS loglik FROM edge e LEFT JOIN seen s USING (prev, cur) LEFT JOIN ctx x ON x.prev = e.prev JOIN inn ON inn.conv_id = e.conv_id, voc GROUP BY e.conv_id, r),
 res AS (SELECT n.conv_id, (1 + sum((n.loglik >= c.loglik)::INT)) / (count(*) + 1) AS p_value, any_value(c.loglik) AS canonical_loglik, avg(n.loglik) AS null_mean, stddev_pop(n.loglik) AS null_std
   FROM ll n JOIN ll c ON n.conv_id = c.conv_id AND c.r = 0 WHERE n.r > 0 GROUP BY n.conv_id)"""
 
@@ -427,12 +437,12 @@ def _order_result(spark, sf) -> DataFrame:
     return order_test.bigram_permutation_test(turns, model, "conv_id", "turn", permutations=ORDER_PERMUTATIONS, seed=SEED)
 
 
-@query(f"WITH {_order('')} SELECT conv_id, round(p_value, 6) AS p_value, round(canonical_loglik, 4) AS canonical_loglik, round(null_mean, 4) AS null_mean, round(null_std, 4) AS null_std FROM res")
+@query(f"WITH {_order()} SELECT conv_id, round(p_value, 6) AS p_value, round(canonical_loglik, 4) AS canonical_loglik, round(null_mean, 4) AS null_mean, round(null_std, 4) AS null_std FROM res")
 def o1_o3_order_test(spark, sf):
     return _r(_r(_order_result(spark, sf), "p_value", digits=6), "canonical_loglik", "null_mean", "null_std", digits=4)
 
 
-@query(f"WITH {_order('')} SELECT CASE WHEN conv_id % 2 = 0 THEN 'contaminated' ELSE 'control' END AS arm, count(*) AS n_groups, round(avg(p_value), 6) AS mean_p, (count(*) FILTER (p_value < 0.1))::BIGINT AS n_small FROM res GROUP BY 1")
+@query(f"WITH {_order()} SELECT CASE WHEN conv_id % 2 = 0 THEN 'contaminated' ELSE 'control' END AS arm, count(*) AS n_groups, round(avg(p_value), 6) AS mean_p, (count(*) FILTER (p_value < 0.1))::BIGINT AS n_small FROM res GROUP BY 1")
 def o4_order_test_by_arm(spark, sf):
     arm = F.when(F.col("conv_id") % 2 == 0, "contaminated").otherwise("control")
     out = _order_result(spark, sf).groupBy(arm.alias("arm")).agg(F.count("*").alias("n_groups"), F.avg("p_value").alias("mean_p"), F.sum((F.col("p_value") < 0.1).cast("long")).alias("n_small"))
@@ -447,7 +457,7 @@ def _extracted(spark, sf) -> DataFrame:
     table = extraction.most_likely_next(arms.filter("member = 1"))
     prefix, suffix = extraction.split_at(F.col("w"), 10, 5)
     items = arms.filter(F.size("w") >= 15).select("doc_id", "source", "member", prefix.alias("prefix"), suffix.alias("suffix"))
-    return extraction.outcomes(extraction.generate(items, table, 5))
+    return keep(extraction.outcomes(extraction.generate(items, keep(table, "next"), 5)), "extracted")
 
 
 _EX = f"""{ARMS}, w AS (SELECT doc_id, source, member, {WORDS} AS w FROM arms),
@@ -478,13 +488,20 @@ def m12_matched_histogram(spark, sf):
 
 
 @query(f"""WITH {_EX}, r AS (SELECT member, matched_tokens, {RANK('matched_tokens')} AS rk FROM ex)
-SELECT member, count(*) AS n, (count(*) FILTER (matched_tokens >= 5))::BIGINT AS exact, round(avg(matched_tokens), 9) AS mean_tokens, round(median(matched_tokens), 9) AS median_tokens,
-(count(*) FILTER (matched_tokens >= 3))::BIGINT AS at_least_3, round(avg(rk), 6) AS mean_rank FROM r GROUP BY member""")
+SELECT member, count(*) AS n, (count(*) FILTER (matched_tokens >= 5))::BIGINT AS exact, round(avg(matched_tokens), 9) AS mean_tokens, round(median(matched_tokens), 9) AS median_tokens, round(avg(matched_tokens / 5), 9) AS mean_fraction,
+(count(*) FILTER (matched_tokens >= 5))::BIGINT AS at_least_5, (count(*) FILTER (matched_tokens >= 3))::BIGINT AS at_least_3, round(avg(rk), 6) AS mean_rank FROM r GROUP BY member""")
 def c17_two_arm_comparison(spark, sf):
     m = F.col("matched_tokens")
+    reached = lambda n: F.sum((m >= n).cast("long"))
     out = ranks.average_rank(_extracted(spark, sf), "matched_tokens", "rk").groupBy("member").agg(
-        F.count("*").alias("n"), F.sum((m >= 5).cast("long")).alias("exact"), F.avg(m).alias("mean_tokens"), F.median(m).alias("median_tokens"), F.sum((m >= 3).cast("long")).alias("at_least_3"), F.avg("rk").alias("mean_rank"))
-    return _r(_r(out, "mean_tokens", "median_tokens"), "mean_rank", digits=6)
+        F.count("*").alias("n"), F.sum(F.col("extracted").cast("long")).alias("exact"), F.avg(m).alias("mean_tokens"), F.median(m).alias("median_tokens"), F.avg("frac_extracted").alias("mean_fraction"),
+        reached(3).alias("at_least_3"), reached(5).alias("at_least_5"), F.avg("rk").alias("mean_rank"))
+    return _r(_r(out, "mean_tokens", "median_tokens", "mean_fraction"), "mean_rank", digits=6)
+
+
+@query(f"WITH {_EX} SELECT source, count(*) FILTER (member = 1) AS n_members, round(avg(matched_tokens) FILTER (member = 1), 9) AS member_mean, round(avg(matched_tokens) FILTER (member = 0), 9) AS other_mean, round(avg(matched_tokens) FILTER (member = 1) - avg(matched_tokens) FILTER (member = 0), 9) AS delta FROM ex GROUP BY source HAVING count(*) FILTER (member = 1) >= 8 AND count(*) FILTER (member = 0) > 0")
+def c17_domain_delta(spark, sf):
+    return _r(controls.domain_delta(_extracted(spark, sf), "source", "matched_tokens", "member"), "member_mean", "other_mean", "delta")
 
 
 @query(f"WITH {_EX}, m AS (SELECT source, count(*) AS n, avg(matched_tokens) AS mean FROM ex WHERE member = 1 GROUP BY source HAVING count(*) >= 8), o AS (SELECT source, avg(matched_tokens) AS mean FROM ex WHERE member = 0 GROUP BY source) SELECT source, n, round(m.mean, 9) AS member_mean, round(coalesce(o.mean, 0), 9) AS other_mean FROM m LEFT JOIN o USING (source)")
@@ -522,13 +539,37 @@ def i5_pii_type_counts(spark, sf):
     return _docs(spark, sf).select(F.explode(pii.types(F.col("text"))).alias("pii_type")).groupBy("pii_type").agg(F.count("*").alias("n_docs"))
 
 
-@query(f"""WITH s AS (SELECT substr(text, 1 + length(text) // 2) AS suffix, text AS gen FROM documents), h AS (SELECT len({_types('suffix')}) > 0 AS has, len(list_filter(regexp_extract_all(suffix, '{_EMAIL}'), lambda v: list_contains(regexp_extract_all(gen, '{_EMAIL}'), v))) > 0 AS hit FROM s)
-SELECT (count(*) FILTER (has))::BIGINT AS n_with_pii, (count(*) FILTER (has AND hit))::BIGINT AS n_leaked_email FROM h""")
-def i4_i5_leaks(spark, sf):
-    d = _docs(spark, sf).select(F.expr("substr(text, 1 + length(text) div 2)").alias("suffix"), F.col("text").alias("gen"))
-    email = lambda c: F.regexp_extract_all(F.col(c), F.lit(f"({pii.PATTERNS['email']})"), F.lit(1))
-    h = d.select((F.size(pii.types(F.col("suffix"))) > 0).alias("has"), F.arrays_overlap(email("suffix"), email("gen")).alias("hit"), pii.leaked(F.col("suffix"), F.col("gen")).alias("leaked"))
-    return h.agg(F.sum(F.col("has").cast("long")).alias("n_with_pii"), F.sum((F.col("has") & F.col("hit")).cast("long")).alias("n_leaked_email"))
+#: Words of the prefix that is given, and of the continuation that is generated and compared.
+_GIVEN, _CONTINUED = 10, 12
+_SSN_VALUE, _PHONE_VALUE = r"(?:^|[^0-9])([0-9]{3}-[0-9]{2}-[0-9]{4})(?:$|[^0-9])", r"(?:^|[^0-9])((?:\+?1[\s.\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\s.\-][0-9]{3}[\s.\-][0-9]{4})(?:$|[^0-9])"
+_VALUES = f"list_concat(regexp_extract_all({{t}}, '{_EMAIL}'), regexp_extract_all({{t}}, '{_SSN_VALUE}', 1), regexp_extract_all({{t}}, '{_PHONE_VALUE}', 1))".replace("{3}", "{{3}}").replace("{2}", "{{2}}").replace("{4}", "{{4}}").replace("{2,}", "{{2,}}")
+_GENERATED = " ".join(f"LEFT JOIN nxt n{k} ON n{k}.prev = {'g0' if k == 1 else f'n{k - 1}.next'}" for k in range(1, _CONTINUED + 1))
+_LEAK = f"""{ARMS}, w AS (SELECT doc_id, member, {WORDS} AS w FROM arms),
+nxt AS (SELECT prev, next FROM (SELECT w[i] AS prev, w[i + 1] AS next, count(*) AS n FROM w, unnest(range(1, len(w))) AS t(i) WHERE member = 1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, next) = 1),
+item AS (SELECT doc_id, w[{_GIVEN}] AS g0, array_to_string(w[{_GIVEN + 1} : {_GIVEN + _CONTINUED}], ' ') AS suffix FROM w WHERE len(w) > {_GIVEN}),
+gen AS (SELECT item.*, concat_ws(' ', {', '.join(f'n{k}.next' for k in range(1, _CONTINUED + 1))}) AS gen FROM item {_GENERATED}),
+leak AS (SELECT doc_id, {_types('suffix')} AS types, len({_types('suffix')}) > 0 AS has, len(list_intersect({_VALUES.format(t='suffix')}, {_VALUES.format(t='gen')})) > 0 AS leaked FROM gen)"""
+
+
+def _leaks(spark, sf) -> DataFrame:
+    """Items with the kinds of personal data in their true continuation, and whether the generated one holds one of its values."""
+    arms = _arms(spark, sf).withColumn("w", text.words(F.col("text")))
+    table = keep(extraction.most_likely_next(arms.filter("member = 1")), "next")
+    prefix, suffix = extraction.split_at(F.col("w"), _GIVEN, _CONTINUED)
+    items = arms.filter(F.size("w") > _GIVEN).select("doc_id", prefix.alias("prefix"), text.detokenise(suffix).alias("suffix")).filter(F.size(pii.types(F.col("suffix"))) > 0)
+    made = extraction.generate(items, table, _CONTINUED)
+    return made.select("doc_id", pii.types(F.col("suffix")).alias("types"), pii.leaked(F.col("suffix"), text.detokenise(F.col("generated"))).alias("leaked"))
+
+
+@query(f"WITH {_LEAK} SELECT doc_id, array_to_string(types, ',') AS pii_types, leaked FROM leak WHERE has")
+def i4_j7_leaks(spark, sf):
+    return _leaks(spark, sf).select("doc_id", F.array_join("types", ",").alias("pii_types"), "leaked")
+
+
+@query(f"WITH {_LEAK} SELECT (count(*) FILTER (has))::BIGINT AS n_with_pii, (count(*) FILTER (has AND leaked))::BIGINT AS n_leaked, round(CASE WHEN count(*) FILTER (has) > 0 THEN count(*) FILTER (has AND leaked) / count(*) FILTER (has) ELSE 0.0 END, 9) AS leak_rate FROM leak")
+def i5_leak_rate(spark, sf):
+    one = _leaks(spark, sf).agg(F.count("*").alias("n_with_pii"), F.coalesce(F.sum(F.col("leaked").cast("long")), F.lit(0)).alias("n_leaked"))
+    return one.select("n_with_pii", "n_leaked", F.round(F.when(F.col("n_with_pii") > 0, F.col("n_leaked") / F.col("n_with_pii")).otherwise(F.lit(0.0)), 9).alias("leak_rate"))
 
 
 # Features
@@ -613,10 +654,10 @@ def m4_m6_membership_report(spark, sf):
 _DRAWS = "('0x' || substr(md5('7|' || {by}r || '|' || j), 1, 8))::BIGINT"
 
 
-def _resampled_sql(by: str | None) -> str:
+def _resampled_sql(by: str | None, table: str = "an") -> str:
     part, key = (f"PARTITION BY {by} ", f"{by}, ") if by else ("", "")
     draw = _DRAWS.format(by=f"{by} || '|' || " if by else "")
-    return f"""ix AS (SELECT *, row_number() OVER ({part}ORDER BY doc_id) - 1 AS i FROM an), sz AS (SELECT {key}count(*) AS n FROM ix {'GROUP BY ' + by if by else ''}),
+    return f"""ix AS (SELECT *, row_number() OVER ({part}ORDER BY doc_id) - 1 AS i FROM {table}), sz AS (SELECT {key}count(*) AS n FROM ix {'GROUP BY ' + by if by else ''}),
 dr AS (SELECT {key}r, {draw} % n AS i FROM sz, unnest(range(0, {REPLICATES})) AS a(r), unnest(range(0, n)) AS b(j)), rs AS (SELECT r, ix.* FROM dr JOIN ix USING ({key}i))"""
 
 
@@ -625,8 +666,8 @@ a AS (SELECT r, (sum(rk) FILTER (quality = 1) - count(*) FILTER (quality = 1) *
 SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM a""")
 def m7_stratified_bootstrap_auc(spark, sf):
     a = _analysis(spark, sf).select("doc_id", "quality", "n_words")
-    stat = lambda df: ranks.report(df, "n_words", "quality", ["r"]).select("r", F.col("auc").alias("value"))
-    return _r(stats.bootstrap(a, stat, REPLICATES, SEED, by=["quality"], order=["doc_id"]), "low", "high", digits=6)
+    stat = lambda df: ranks.auc(df, "n_words", "quality", ["r"]).withColumnRenamed("auc", "value")
+    return _r(stats.bootstrap(a, stat, REPLICATES, SEED, by=["quality"], order="doc_id"), "low", "high", digits=6)
 
 
 @query(f"""WITH {AN}, r AS (SELECT {RANK('ttr')} AS x, {RANK('n_words')} AS y FROM an) SELECT round({CORR('x', 'y')}, 6) AS rho FROM r""")
@@ -642,7 +683,7 @@ def _spearman_by(df: DataFrame, by: list[str], x: str = "ttr", y: str = "n_words
 SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM a""")
 def m9_m10_paired_bootstrap(spark, sf):
     a = _analysis(spark, sf).select("doc_id", "ttr", "n_words")
-    return _r(stats.bootstrap(a, lambda df: _spearman_by(df, ["r"]), REPLICATES, SEED, order=["doc_id"]), "low", "high", digits=6)
+    return _r(stats.bootstrap(a, lambda df: _spearman_by(df, ["r"]), REPLICATES, SEED, order="doc_id"), "low", "high", digits=6)
 
 
 # Statistics
@@ -675,7 +716,7 @@ pm AS (SELECT a.* EXCLUDE ({column}), b.{column} FROM pa a JOIN pb b ON a.r = b.
 @query(f"""WITH {_R3}, {_permuted_sql('ry', 'r')}, o AS (SELECT {CORR('rx', 'ry')} AS v FROM r), n AS (SELECT r, {CORR('rx', 'ry')} AS v FROM pm GROUP BY r)
 SELECT round(any_value(o.v), 6) AS observed, round((1 + sum((abs(n.v) >= abs(o.v) - 1e-12)::INT)) / (count(*) + 1), 6) AS p FROM n, o""")
 def c6_permutation_spearman(spark, sf):
-    a = stats.indexed(stats.with_ranks(_analysis(spark, sf), ["ttr", "n_words"]).select("doc_id", "r_ttr", "r_n_words"), ["doc_id"])
+    a = stats.indexed(stats.with_ranks(_analysis(spark, sf), ["ttr", "n_words"]).select("doc_id", "r_ttr", "r_n_words"), "doc_id")
     seen = a.agg(stats.pearson("r_ttr", "r_n_words").alias("value"))
     null = stats.permuted(a, "r_n_words", REPLICATES, SEED).groupBy("r").agg(stats.pearson("r_ttr", "r_n_words").alias("value"))
     return _r(stats.p_value(seen, null, "value"), "observed", "p", digits=6)
@@ -687,7 +728,7 @@ _PART = f"({CORR('rx', 'ry')} - {CORR('rx', 'rz')} * {CORR('ry', 'rz')}) / sqrt(
 @query(f"""WITH {_R3}, {_permuted_sql('ry', 'r')}, o AS (SELECT {_PART} AS v FROM r), n AS (SELECT r, {_PART} AS v FROM pm GROUP BY r)
 SELECT round(any_value(o.v), 6) AS observed, round((1 + sum((abs(n.v) >= abs(o.v) - 1e-12)::INT)) / (count(*) + 1), 6) AS p FROM n, o""")
 def c5_permutation_partial(spark, sf):
-    a = stats.indexed(stats.with_ranks(_analysis(spark, sf), ["ttr", "n_words", "n_chars"]).select("doc_id", "r_ttr", "r_n_words", "r_n_chars"), ["doc_id"])
+    a = stats.indexed(stats.with_ranks(_analysis(spark, sf), ["ttr", "n_words", "n_chars"]).select("doc_id", "r_ttr", "r_n_words", "r_n_chars"), "doc_id")
     value = stats.partial(stats.pearson("r_ttr", "r_n_words"), stats.pearson("r_ttr", "r_n_chars"), stats.pearson("r_n_words", "r_n_chars")).alias("value")
     return _r(stats.p_value(a.agg(value), stats.permuted(a, "r_n_words", REPLICATES, SEED).groupBy("r").agg(value), "value"), "observed", "p", digits=6)
 
@@ -722,7 +763,7 @@ SELECT round(any_value(o.v), 6) AS observed, round((1 + sum((abs(n.v) >= abs(o.v
 def c10_stratified_permutation(spark, sf):
     b = stats.bins(_analysis(spark, sf), "n_chars")
     seen = stats.stratified_spearman(b, "ttr", "n_words").withColumnRenamed("rho", "value")
-    a = stats.indexed(stats.with_ranks(b, ["ttr", "n_words"], ["bin"]).select("doc_id", "bin", "r_ttr", "r_n_words"), ["doc_id"])
+    a = stats.indexed(stats.with_ranks(b, ["ttr", "n_words"], ["bin"]).select("doc_id", "bin", "r_ttr", "r_n_words"), "doc_id")
     many = stats.permuted(a, "r_n_words", REPLICATES, SEED, ["bin"]).groupBy("r", "bin").agg(F.count("*").alias("n"), stats.pearson("r_ttr", "r_n_words").alias("rho"), (F.stddev_pop("r_ttr") * F.stddev_pop("r_n_words")).alias("v"))
     null = many.filter("n >= 3 and v > 0").groupBy("r").agg((F.sum(F.col("n") * F.col("rho")) / F.sum("n")).alias("value"))
     return _r(stats.p_value(seen, null, "value"), "observed", "p", digits=6)
@@ -737,8 +778,15 @@ res AS (SELECT doc_id, ttr - t0 - t1 * b1 - t2 * b2 - t3 * b3 AS e1, nc - n0 - n
 
 
 def _residuals(spark, sf) -> DataFrame:
-    a = _analysis(spark, sf).select("doc_id", "ttr", "n_chars", "n_words")
-    return stats.cubic_residuals(stats.cubic_residuals(a, "ttr", "n_words", "e1"), "n_chars", "n_words", "e2")
+    return stats.cubic_residuals(_analysis(spark, sf).select("doc_id", "ttr", "n_chars", "n_words"), ["ttr", "n_chars"], "n_words", ["e1", "e2"])
+
+
+def _cubic_sql(source: str, ys: dict[str, str], control: str, out: str, by: str = "") -> str:
+    """Residuals ``e_<name>`` of each y on a cubic of the control, by orthogonal steps (1, then z, z^2, z^3), inside ``by``."""
+    w = f"OVER (PARTITION BY {by})" if by else "OVER ()"
+    off = lambda y, k: f"{y} - avg({y}) {w}" + "".join(f" - b{i} * coalesce(sum({y} * b{i}) {w} / nullif(sum(b{i} * b{i}) {w}, 0), 0)" for i in range(1, k))
+    return f"""{out}0 AS (SELECT *, ({control} - avg({control}) {w}) / coalesce(nullif(stddev_pop({control}) {w}, 0), 1) AS z FROM {source}), {out}1 AS (SELECT *, {off('z', 1)} AS b1, z * z AS c2, z * z * z AS c3 FROM {out}0),
+{out}2 AS (SELECT *, {off('c2', 2)} AS b2 FROM {out}1), {out}3 AS (SELECT *, {off('c3', 3)} AS b3 FROM {out}2), {out} AS (SELECT *, {', '.join(f'{off(y, 4)} AS e_{name}' for name, y in ys.items())} FROM {out}3)"""
 
 
 @query(f"WITH {_GS} SELECT doc_id, round(e1, 6) AS residual FROM res")
@@ -752,14 +800,15 @@ def c12_cubic_residual_spearman(spark, sf):
     return _r(stats.with_ranks(e, ["e1", "e2"]).agg(stats.pearson("r_e1", "r_e2").alias("rho")), "rho", digits=5)
 
 
-@query(f"""WITH {_GS}, rr AS (SELECT doc_id, {RANK('round(e1, 7)')} AS x, {RANK('round(e2, 4)')} AS y FROM res), {_permuted_sql('y', 'rr')}, o AS (SELECT {CORR('x', 'y')} AS v FROM rr), n AS (SELECT r, {CORR('x', 'y')} AS v FROM pm GROUP BY r)
-SELECT round((1 + sum((abs(n.v) >= abs(o.v) - 1e-12)::INT)) / (count(*) + 1), 6) AS p FROM n, o""")
+_C13 = f"""{AN}, ab AS (SELECT doc_id, ttr, n_chars::DOUBLE AS nc, n_words::DOUBLE AS cw FROM an), {_permuted_sql('nc', 'ab')}, {_cubic_sql('ab', {'x': 'ttr', 'y': 'nc'}, 'cw', 'so')}, {_cubic_sql('pm', {'x': 'ttr', 'y': 'nc'}, 'cw', 'sn', 'r')},
+o AS (SELECT {CORR('x', 'y')} AS v FROM (SELECT {RANK('round(e_x, 7)')} AS x, {RANK('round(e_y, 4)')} AS y FROM so)), n AS (SELECT r, {CORR('x', 'y')} AS v FROM (SELECT r, {RANK('round(e_x, 7)', 'r')} AS x, {RANK('round(e_y, 4)', 'r')} AS y FROM sn) GROUP BY r)"""
+
+
+@query(f"WITH {_C13} SELECT round(any_value(o.v), 5) AS observed, round((1 + sum((abs(n.v) >= abs(o.v) - 1e-12)::INT)) / (count(*) + 1), 6) AS p FROM n, o")
 def c13_cubic_residual_permutation(spark, sf):
-    """Residuals of the permuted side are permuted with it: both are fixed functions of their own row here."""
-    e = _r(_r(_residuals(spark, sf), "e1", digits=7), "e2", digits=4)
-    a = stats.indexed(stats.with_ranks(e, ["e1", "e2"]).select("doc_id", "r_e1", "r_e2"), ["doc_id"])
-    null = stats.permuted(a, "r_e2", REPLICATES, SEED).groupBy("r").agg(stats.pearson("r_e1", "r_e2").alias("value"))
-    return _r(stats.p_value(a.agg(stats.pearson("r_e1", "r_e2").alias("value")), null, "value").select("p"), "p", digits=6)
+    """The outcome itself is permuted and its cubic fitted again in every replicate."""
+    out = stats.cubic_permutation(_analysis(spark, sf), "ttr", "n_chars", "n_words", REPLICATES, SEED, "doc_id", (7, 4))
+    return _r(_r(out, "observed", digits=5), "p", digits=6)
 
 
 @query(f"WITH {AN} SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS z FROM an")
@@ -779,7 +828,7 @@ def c15_rank_mediation(spark, sf):
 @query(f"""WITH {AN}, rr AS (SELECT doc_id, quality, {RANK('n_words')} AS rk FROM an), {_permuted_sql('quality', 'rr')}, o AS (SELECT avg(rk) FILTER (quality = 1) - avg(rk) FILTER (quality = 0) AS v FROM rr),
 n AS (SELECT r, avg(rk) FILTER (quality = 1) - avg(rk) FILTER (quality = 0) AS v FROM pm GROUP BY r) SELECT round(any_value(o.v), 5) AS observed, round((1 + sum((n.v >= o.v)::INT)) / (count(*) + 1), 6) AS p FROM n, o""")
 def c16_rank_sum_permutation(spark, sf):
-    a = stats.indexed(ranks.average_rank(_analysis(spark, sf), "n_words", "rk").select("doc_id", "quality", "rk"), ["doc_id"])
+    a = stats.indexed(ranks.average_rank(_analysis(spark, sf), "n_words", "rk").select("doc_id", "quality", "rk"), "doc_id")
     value = (F.avg(F.when(F.col("quality") == 1, F.col("rk"))) - F.avg(F.when(F.col("quality") == 0, F.col("rk")))).alias("value")
     null = stats.permuted(a, "quality", REPLICATES, SEED).groupBy("r").agg(value)
     return _r(_r(stats.p_value(a.agg(value), null, "value", two_sided=False, tolerance=0.0), "observed", digits=5), "p", digits=6)
@@ -798,25 +847,172 @@ def c23_domain_spearman(spark, sf):
     return _r(r.groupBy("source").agg(F.count("*").alias("n"), stats.pearson("r_ttr", "r_n_words").alias("rho")).filter("n >= 5"), "rho", digits=6)
 
 
-def _family(spark, sf) -> DataFrame:
-    """One row per measure: raw and partial Spearman with quality given length, and how many pairs it has."""
-    a = _analysis(spark, sf).withColumn("q", F.col("quality").cast("double"))
-    parts = []
-    for m in ("ttr", "n_words"):
-        r = stats.with_ranks(a, [m, "q", "n_chars"])
-        rxy, rxz, ryz = stats.pearson(f"r_{m}", "r_q"), stats.pearson(f"r_{m}", "r_n_chars"), stats.pearson("r_q", "r_n_chars")
-        parts.append(r.agg(F.lit(m).alias("measure"), rxy.alias("rho"), stats.partial(rxy, rxz, ryz).alias("partial"), F.count("*").alias("n")))
-    return parts[0].unionByName(parts[1])
+# Report tables: detectors against the extraction outcome, over members
+
+#: Detectors of the report; those after the first are calibrated against loss.
+_DETECTORS = ("loss", "min_20_prob", "min_20_plusplus", "min_10_prob")
+_CALIBRATED = _DETECTORS[1:]
+#: Scores and features are ranked after rounding to so many digits: equal ones tie on every engine.
+_DIGITS = 6
+
+
+def _outcomes(spark, sf) -> DataFrame:
+    """One row a member with an outcome: detectors on its whole text and on its first 32 characters, and what was extracted."""
+    model, arms = _model(spark, sf)
+    whole = _r(model.scores(arms.filter("member = 1"), _DETECTORS).drop("n_tokens"), *_DETECTORS, digits=_DIGITS)
+    prefix = model.scores(arms.filter("member = 1"), _DETECTORS, most=32).drop("n_tokens")
+    prefix = _r(prefix, *_DETECTORS, digits=_DIGITS).withColumnsRenamed({d: f"prefix_{d}" for d in _DETECTORS})
+    out = _extracted(spark, sf).select("doc_id", F.col("frac_extracted").alias("frac"), F.col("extracted").cast("int").alias("extracted"))
+    return keep(whole.join(prefix, "doc_id").join(out, "doc_id"), "outcomes")
+
+
+_LOWEST = "avg({v}) FILTER ({r} <= greatest(1, ceil({k}.0 / 100 * n)))"
+_MEM = f"""{_LM}, {_EX.removeprefix(ARMS + ', ')},
+pz AS (SELECT doc_id, lp, (lp - mu) / (sigma + 1e-6) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY lp) AS rl, row_number() OVER (PARTITION BY doc_id ORDER BY (lp - mu) / (sigma + 1e-6)) AS rz, count(*) OVER (PARTITION BY doc_id) AS n FROM tok WHERE pos < 31),
+pre AS (SELECT doc_id, avg(lp) AS p_loss, {_LOWEST.format(v='lp', r='rl', k=20)} AS p_20, {_LOWEST.format(v='z', r='rz', k=20)} AS p_pp, {_LOWEST.format(v='lp', r='rl', k=10)} AS p_10 FROM pz GROUP BY doc_id),
+mem AS MATERIALIZED (SELECT doc_id, round(loss, 6) AS loss, round(min_20_prob, 6) AS min_20_prob, round(min_20_plusplus, 6) AS min_20_plusplus, round(min_10_prob, 6) AS min_10_prob,
+  round(p_loss, 6) AS prefix_loss, round(p_20, 6) AS prefix_min_20_prob, round(p_pp, 6) AS prefix_min_20_plusplus, round(p_10, 6) AS prefix_min_10_prob, matched_tokens / 5 AS frac, (matched_tokens = 5)::INT AS extracted
+  FROM ex JOIN score USING (doc_id) JOIN pre USING (doc_id) WHERE member = 1)"""
+
+
+def _paren(case: str) -> str:
+    return f"({case})"
+
+
+def _partial_sql(x: str, y: str, z: str) -> str:
+    a, b, c = (_paren(CORR(*p)) for p in ((x, y), (x, z), (y, z)))
+    scale = f"sqrt(greatest(0, (1 - {b} ^ 2) * (1 - {c} ^ 2)))"
+    return f"(CASE WHEN {scale} > 0 THEN ({a} - {b} * {c}) / {scale} ELSE 0.0 END)"
+
+
+def _each(of, detectors=_DETECTORS) -> str:
+    return " UNION ALL ".join(f"SELECT '{d}' AS detector, {of(d)}" for d in detectors)
+
 
+_MEM_DRAWS = f"{_MEM}, {_resampled_sql(None, 'mem')}"
+_RANKED = "rr AS MATERIALIZED (SELECT doc_id, " + ", ".join(f"{RANK(c)} AS r_{c}" for c in (*_DETECTORS, "frac", "extracted", *(f"prefix_{d}" for d in _DETECTORS))) + " FROM mem)"
+_MEM_NULL = f"{_RANKED}, {_permuted_sql('r_frac', 'rr').replace('ix AS', 'iy AS').replace('FROM ix', 'FROM iy').replace('ix.*', 'iy.*')}"
 
-def _family_sql() -> str:
-    one = []
-    for m in ("ttr", "n_words"):
-        cx, cz, yz = (f"({CORR(a, b)})" for a, b in (("rx", "ry"), ("rx", "rz"), ("ry", "rz")))
-        one.append(f"SELECT '{m}' AS measure, {cx} AS rho, ({cx} - {cz} * {yz}) / sqrt((1 - {cz} ^ 2) * (1 - {yz} ^ 2)) AS partial, count(*) AS n FROM (SELECT {RANK(m)} AS rx, {RANK('quality')} AS ry, {RANK('n_chars')} AS rz FROM an)")
-    return " UNION ALL ".join(one)
 
+def _rho_sql(d: str, y: str = "frac") -> str:
+    return f"(SELECT {CORR(f'r_{d}', f'r_{y}')} FROM rr)"
 
-@query(f"WITH {AN} SELECT measure, round(rho, 6) AS rho, round(partial, 6) AS partial, n, abs(partial) > 0.05 AS survives FROM ({_family_sql()})")
-def c2_control_table(spark, sf):
-    return _r(_family(spark, sf).withColumn("survives", F.abs("partial") > 0.05), "rho", "partial", digits=6)
+
+def _ends_sql(value: str, columns: dict[str, str]) -> str:
+    inner = ", ".join(f"{RANK(c, 'r')} AS {name}" for name, c in columns.items())
+    boot = f"(SELECT quantile_cont(v, {{q}}) FROM (SELECT {value} AS v FROM (SELECT r, {inner} FROM rs) GROUP BY r))"
+    return f"round({boot.format(q=0.025)}, 6) AS low, round({boot.format(q=0.975)}, 6) AS high"
+
+
+def _perm_sql(value: str) -> str:
+    return f"(SELECT (1 + sum((abs(v) >= abs((SELECT {value} FROM rr)) - 1e-12)::INT)) / (count(*) + 1) FROM (SELECT {value} AS v FROM pm GROUP BY r))"
+
+
+def _raw_sql(d: str) -> str:
+    tau = f"(SELECT s / sqrt((n - tx)::DOUBLE * (n - ty)::DOUBLE) FROM (SELECT sum(sign(a.{d} - b.{d}) * sign(a.frac - b.frac)) AS s, count(*) AS n, sum((a.{d} = b.{d})::INT) AS tx, sum((a.frac = b.frac)::INT) AS ty FROM mem a JOIN mem b ON a.doc_id < b.doc_id))"
+    return f"round({_rho_sql(d)}, 6) AS rho, {_ends_sql(CORR('x', 'y'), {'x': d, 'y': 'frac'})}, round({tau}, 6) AS tau, round({_perm_sql(CORR(f'r_{d}', 'r_frac'))}, 6) AS p"
+
+
+@query(f"WITH {_MEM_DRAWS}, {_MEM_NULL} {_each(_raw_sql)}")
+def c21_raw_correlations(spark, sf):
+    out = controls.raw_table(_outcomes(spark, sf), list(_DETECTORS), "frac", "doc_id", REPLICATES, SEED)
+    return _r(out, "rho", "low", "high", "tau", "p", digits=6)
+
+
+def _r6_sql(d: str) -> str:
+    part = _partial_sql(f"r_{d}", "r_frac", "r_loss")
+    a, b, c = (_paren(CORR(*p)) for p in ((f"r_{d}", "r_frac"), (f"r_{d}", "r_loss"), ("r_frac", "r_loss")))
+    semi = f"(SELECT CASE WHEN 1 - {b} ^ 2 > 0 THEN ({a} - {b} * {c}) / sqrt(greatest(0, 1 - {b} ^ 2)) ELSE 0.0 END FROM rr)"
+    return f"round((SELECT {part} FROM rr), 6) AS partial, {_ends_sql(_partial_sql('x', 'y', 'l'), {'x': d, 'y': 'frac', 'l': 'loss'})}, {_perm_sql(part)} AS p0, round({semi}, 6) AS semipartial"
+
+
+def _fdr_sql(family: str, name: str = "detector") -> str:
+    return f"fam AS ({family}), fk AS (SELECT *, row_number() OVER (ORDER BY p0, {name}) AS k, count(*) OVER () AS m FROM fam), fq AS (SELECT *, least(1, greatest(0, min(p0 * m / k) OVER (ORDER BY p0 DESC, {name} DESC ROWS UNBOUNDED PRECEDING))) AS q0 FROM fk)"
+
+
+@query(f"WITH {_MEM_DRAWS}, {_MEM_NULL}, {_fdr_sql(_each(_r6_sql, _CALIBRATED))} SELECT detector, partial, low, high, round(p0, 6) AS p, semipartial, round(q0, 6) AS q, q0 <= 0.05 AS reject FROM fq")
+def c22_partial_family(spark, sf):
+    out = controls.partial_family(_outcomes(spark, sf), list(_CALIBRATED), "frac", "loss", "doc_id", REPLICATES, SEED)
+    return _r(out, "partial", "low", "high", "p", "semipartial", "q", digits=6)
+
+
+def _prefix_sql(d: str) -> str:
+    part = "NULL::DOUBLE" if d == "loss" else f"round((SELECT {_partial_sql(f'r_prefix_{d}', 'r_frac', 'r_prefix_loss')} FROM rr), 6)"
+    return f"round({_rho_sql(d)}, 6) AS rho_full, round({_rho_sql(f'prefix_{d}')}, 6) AS rho_prefix, round({_rho_sql(f'prefix_{d}')} - {_rho_sql(d)}, 6) AS change, {part} AS partial_given_prefix_loss"
+
+
+@query(f"WITH {_MEM}, {_RANKED} {_each(_prefix_sql)}")
+def c18_prefix_control(spark, sf):
+    out = controls.prefix_control(_outcomes(spark, sf), list(_DETECTORS), "frac")
+    return _r(out, "rho_full", "rho_prefix", "change", "partial_given_prefix_loss", digits=6)
+
+
+def _headline_sql(d: str) -> str:
+    return f"round({_rho_sql(d)}, 6) AS rho, {_ends_sql(CORR('x', 'y'), {'x': d, 'y': 'frac'})}, round({_rho_sql(d, 'extracted')}, 6) AS rho_extracted"
+
+
+@query(f"WITH {_MEM_DRAWS}, {_RANKED} SELECT *, NOT (low <= 0 AND high >= 0) AS excludes_zero FROM ({_each(_headline_sql)})")
+def c25_headline(spark, sf):
+    out = controls.headline(_outcomes(spark, sf), list(_DETECTORS), "frac", "extracted", "doc_id", REPLICATES, SEED)
+    return _r(out, "rho", "low", "high", "rho_extracted", digits=6)
+
+
+def _hard_sql() -> str:
+    """For each detector: its cubic residuals over the items, over draws (rs) and over permutations of the outcome (pm), and their rank correlations."""
+    ranked = lambda source, by: f"SELECT {by + ', ' if by else ''}{CORR('x', 'y')} AS v FROM (SELECT {by + ', ' if by else ''}{RANK('round(e_x, 6)', by)} AS x, {RANK('round(e_y, 6)', by)} AS y FROM {source}) {'GROUP BY ' + by if by else ''}"
+    tables, rows = [], []
+    for k, d in enumerate(_CALIBRATED):
+        ys = {"x": d, "y": "frac"}
+        tables += [_cubic_sql("mem", ys, "loss", f"ho{k}_"), _cubic_sql("rs", ys, "loss", f"hb{k}_", "r"), _cubic_sql("pm", ys, "loss", f"hp{k}_", "r")]
+        tables += [f"o{k} AS MATERIALIZED ({ranked(f'ho{k}_', '')})", f"b{k} AS ({ranked(f'hb{k}_', 'r')})", f"n{k} AS ({ranked(f'hp{k}_', 'r')})"]
+        p = f"(SELECT (1 + sum((abs(n{k}.v) >= abs(o{k}.v) - 1e-12)::INT)) / (count(*) + 1) FROM n{k}, o{k})"
+        rows.append(f"SELECT '{d}' AS detector, (SELECT v FROM o{k}) AS rho, (SELECT quantile_cont(v, 0.025) FROM b{k}) AS low, (SELECT quantile_cont(v, 0.975) FROM b{k}) AS high, {p} AS p0")
+    return f"{', '.join(tables)}, {_fdr_sql(' UNION ALL '.join(rows))}"
+
+
+_HARD_NULL = _permuted_sql("frac", "mem").replace("ix AS", "iy AS").replace("FROM ix", "FROM iy").replace("ix.*", "iy.*")
+
+
+@query(f"WITH {_MEM_DRAWS}, {_HARD_NULL}, {_hard_sql()} SELECT detector, round(rho, 4) AS rho, round(low, 4) AS low, round(high, 4) AS high, round(p0, 6) AS p, round(q0, 6) AS q, low > 0 AND q0 < 0.05 AS revived FROM fq")
+def c24_hardening_decision(spark, sf):
+    out = controls.hardening(_outcomes(spark, sf), list(_CALIBRATED), "frac", "loss", "doc_id", REPLICATES, SEED, (6, 6))
+    return _r(_r(out, "rho", "low", "high", digits=4), "p", "q", digits=6)
+
+
+@query(f"""WITH {_EX}, rr AS (SELECT doc_id, member, {RANK('matched_tokens')} AS rk FROM ex), {_permuted_sql('member', 'rr')}, o AS (SELECT avg(rk) FILTER (member = 1) - avg(rk) FILTER (member = 0) AS v FROM rr),
+n AS (SELECT r, avg(rk) FILTER (member = 1) - avg(rk) FILTER (member = 0) AS v FROM pm GROUP BY r) SELECT round(any_value(o.v), 5) AS observed, round((1 + sum((n.v >= o.v)::INT)) / (count(*) + 1), 6) AS p FROM n, o""")
+def c17_rank_difference(spark, sf):
+    out = controls.rank_difference(_extracted(spark, sf), "matched_tokens", "member", "doc_id", REPLICATES, SEED)
+    return _r(_r(out, "observed", digits=5), "p", digits=6)
+
+
+_FEATURES = ("repeated_lines", "digit_frac", "punct_frac", "type_token_ratio", "prefix_loss", "word_commonness")
+
+
+def _arm_features(spark, sf) -> DataFrame:
+    t = F.col("text")
+    base = _docs(spark, sf).select("doc_id", text.repeated_lines(t).alias("repeated_lines"), text.digit_share(t).alias("digit_frac"), text.punctuation_share(t).alias("punct_frac"), text.type_token_ratio(t).alias("type_token_ratio"))
+    out = base.join(t14_prefix_only_scores(spark, sf).select("doc_id", "prefix_loss"), "doc_id").join(f6_word_commonness(spark, sf).withColumnRenamed("commonness", "word_commonness"), "doc_id")
+    return _r(out.join(_extracted(spark, sf).select("doc_id", "member", "matched_tokens"), "doc_id"), *_FEATURES, digits=_DIGITS)
+
+
+def _reading_sql() -> str:
+    feature = rf"""fd AS (SELECT doc_id, round(CASE WHEN len(l) > 0 THEN 1 - len(list_distinct(l)) / len(l) ELSE 0.0 END, 6) AS repeated_lines, round(len(regexp_extract_all(text, '\p{{Nd}}')) / greatest(1, length(text)), 6) AS digit_frac,
+ round(len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}\s]')) / greatest(1, length(text)), 6) AS punct_frac, round(len(list_distinct(w)) / greatest(1, len(w)), 6) AS type_token_ratio
+FROM (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: trim(x, chr(32) || chr(9))), lambda x: x <> '') AS l, {WORDS} AS w FROM documents)),
+ct AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+')) AS x FROM documents), cc AS (SELECT x, count(*) AS c FROM ct GROUP BY x), ca AS (SELECT sum(c) AS a FROM cc),
+cm AS (SELECT doc_id, round(coalesce(m, 0.0), 6) AS word_commonness FROM documents LEFT JOIN (SELECT doc_id, avg(ln(c / a)) AS m FROM ct JOIN cc USING (x), ca GROUP BY doc_id) USING (doc_id)),
+pl AS (SELECT doc_id, round(avg(lp), 6) AS prefix_loss FROM tok WHERE pos < 31 GROUP BY doc_id),
+ft AS MATERIALIZED (SELECT doc_id, member, matched_tokens, {', '.join(_FEATURES)} FROM ex JOIN fd USING (doc_id) JOIN cm USING (doc_id) JOIN pl USING (doc_id)),
+rr AS MATERIALIZED (SELECT doc_id, member, {', '.join(f"{RANK(f, 'member')} AS r_{f}" for f in _FEATURES)}, {RANK('matched_tokens', 'member')} AS ry FROM ft), {_permuted_sql('ry', 'rr', 'member')}"""
+    arm = lambda f, k: f"(SELECT round({CORR(f'r_{f}', 'ry')}, 12) FROM rr WHERE member = {k})"
+    p = lambda f, k: f"(SELECT (1 + sum((abs(v) >= abs({arm(f, k)}))::INT)) / (count(*) + 1) FROM (SELECT round({CORR(f'r_{f}', 'ry')}, 12) AS v FROM pm WHERE member = {k} GROUP BY r))"
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, {arm(f, 1)} AS mr, {p(f, 1)} AS mp, {arm(f, 0)} AS nr, {p(f, 0)} AS np" for f in _FEATURES)
+    reading = " ".join(f"WHEN {'' if m else 'NOT '}(mp < 0.05) AND {'' if o else 'NOT '}(np < 0.05) THEN '{said}'" for (m, o), said in controls.READINGS.items())
+    return f"WITH {_LM}, {_EX.removeprefix(ARMS + ', ')}, {feature} SELECT feature, round(mr, 6) AS members_rho, round(mp, 6) AS members_p, round(nr, 6) AS others_rho, round(np, 6) AS others_p, CASE {reading} END AS reading FROM ({rows})"
+
+
+@query(_reading_sql())
+def f9_c6b_two_arm_reading(spark, sf):
+    out = controls.two_arm_reading(_arm_features(spark, sf), list(_FEATURES), "matched_tokens", "member", "doc_id", REPLICATES, SEED)
+    return _r(out, "members_rho", "members_p", "others_rho", "others_p", digits=6)

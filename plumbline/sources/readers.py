@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores (a small file of one row group) is dealt over all cores; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def first_of(readers: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[str, DataFrame]:
@@ -46,14 +52,51 @@ def json_lines(spark: SparkSession, path: str, schema: str, key: str | None = No
 
 
 def synthetic_items(spark: SparkSession, each: int = 50) -> DataFrame:
-    """``(item_id, text, label)``: repeated member texts and random-number texts."""
+    """``(item_id, text, label)``: members and others in turn; the texts are fixed values."""
     draws = np.random.default_rng(0).integers(1_000_000_000, size=each)
-    rows = [(f"m{i}", f"member document number {i} " * 5, 1) for i in range(each)] + [(f"n{i}", f"held-out text with random number {int(d)} " * 5, 0) for i, d in enumerate(draws)]
+    member, other = "member document number {} ", "unseen heldout text {} "
+    rows = [row for i, d in enumerate(draws) for row in ((f"m{i}", member.format(i) * 5, 1), (f"n{i}", other.format(int(d)) * 5, 0))]
     return spark.createDataFrame(rows, "item_id string, text string, label int")
 
 
+def json_results(spark: SparkSession, path: str) -> dict | list:
+    """A JSON document of results, read through Spark from wherever it lies."""
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def _scalar(value: str):
+    """A YAML scalar or flow list of JSON's kinds; anything else is text."""
+    import json
+
+    plain = {"true": True, "false": False, "null": None, "~": None, "": None}
+    value = value.strip()
+    if value.lower() in plain:
+        return plain[value.lower()]
+    if value[0] == "'" and value[-1] == "'" and len(value) > 1:
+        return value[1:-1].replace("''", "'")
+    try:
+        return json.loads(value)
+    except ValueError:
+        return [_scalar(v) for v in value[1:-1].split(",")] if value[0] == "[" and value[-1] == "]" else value
+
+
+def _flat_yaml(raw: str) -> dict:
+    out = {}
+    for line in raw.splitlines():
+        line = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+        if not line or line == "---":
+            continue
+        if line[0] in " -\t" or ":" not in line:
+            raise ValueError(f"settings beyond name: value need the yaml package: {line!r}")
+        name, value = line.split(":", 1)
+        out[name.strip()] = _scalar(value)
+    return out
+
+
 def settings(path: str, given: dict) -> dict:
-    """Settings of a YAML or JSON file over the given ones; dashes in names become underscores."""
+    """Settings of a YAML or JSON file over the given ones; dashes in names become underscores. Without the yaml package only lines ``name: value`` are read."""
     import json
 
     with open(path) as f:
@@ -64,8 +107,7 @@ def settings(path: str, given: dict) -> dict:
         try:
             import yaml
         except ImportError:
-            loaded = dict(line.split(":", 1) for line in raw.splitlines() if ":" in line and not line.lstrip().startswith("#"))
-            loaded = {k.strip(): v.strip() for k, v in loaded.items()}
+            loaded = _flat_yaml(raw)
         else:
             loaded = yaml.safe_load(raw)
     if not isinstance(loaded, dict):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def write_scores(df: DataFrame, path: str, form: str = "json") -> None:
@@ -22,14 +23,11 @@ def append_new(df: DataFrame, path: str, id_col: str, form: str = "parquet") ->
         todo = df
     else:
         todo = df.join(done, id_col, "left_anti")
-    todo = todo.cache()
-    try:
-        n = todo.count()
-        if n:
-            todo.write.mode("append").format(form).save(path)
-    finally:
-        todo.unpersist()
-    return n
+    if not todo.limit(1).count():
+        return 0
+    seen = Observation()
+    todo.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").format(form).save(path)
+    return seen.get["n"]
 
 
 def summary(df: DataFrame, most: int = 10_000) -> str:

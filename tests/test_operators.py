@@ -109,8 +109,8 @@ def test_false_discovery(spark):
 
 def test_cubic_residuals_remove_a_cubic(spark):
     df = spark.createDataFrame([(i, (i / 10) ** 3 - i, float(i), 1.0) for i in range(-20, 21)], "i int, y double, c double, k double")
-    assert max(abs(r["e"]) for r in stats.cubic_residuals(df, "y", "c", "e").collect()) < 1e-8
-    assert abs(sum(r["e"] for r in stats.cubic_residuals(df, "y", "k", "e").collect())) < 1e-6
+    assert max(abs(r["e"]) for r in stats.cubic_residuals(df, ["y"], "c", ["e"]).collect()) < 1e-8
+    assert abs(sum(r["e"] for r in stats.cubic_residuals(df, ["y"], "k", ["e"]).collect())) < 1e-6
 
 
 def test_mediation(spark):

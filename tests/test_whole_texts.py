@@ -105,13 +105,6 @@ def test_registered_order_test_can_fall_below_five_per_cent():
     assert queries.ORDER_PERMUTATIONS >= 500
 
 
-def test_names_claim_no_table_that_is_not_built():
-    from plumbline.plans import queries
-
-    claimed = {part for name in queries.QUERIES for part in name.split("_")}
-    assert not claimed & {"c18", "c21", "c22", "c24", "c25", "f9"} and "c2_control_table" in queries.ORACLE_SQL
-
-
 def test_registered_replicates_are_those_of_driver_queries():
     from plumbline.plans import queries
 
