@@ -1,6 +1,6 @@
 """Shared building blocks of the training-data operators.
 
-* ``keep`` cuts lineage through a Parquet table in the cluster's shared checkpoint folder.
+* ``keep`` cuts lineage through a Parquet table in the cluster's shared checkpoint folder (shared with the rest of the library).
 * ``running_offset`` is a prefix sum inside groups of any size: groups are cut into hash
   ranges, so that no task holds a whole group.
 * ``connected_components`` labels components by alternating large-star and small-star steps.
@@ -11,48 +11,20 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.kept import discard, keep
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker holds as arrays at a time (a longer text is one chunk of its own); an array of numbers takes eight times as many.
 CHUNK_BYTES = 250_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is named and driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from the files."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    kept._kept_path = path
-    return kept
-
-
-def discard(kept: DataFrame) -> None:
-    """Delete a kept table that nothing later reads."""
-    spark = kept.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(kept._kept_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def plain(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
     """``df`` with its columns named c0, c1, ... in order, and these names of the columns ``named`` (found without regard to case)."""
     given = [c.lower() for c in df.columns]
