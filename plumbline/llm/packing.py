@@ -128,8 +128,30 @@ class _Left:
             space -= n
 
 
+#: Shares of the fitted repeats that are tried, the largest first.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25, 0.0)
+
+
 def plan(histogram: np.ndarray, capacity: int, bins: int = 32, most: int = 4) -> list[tuple[list[int], int]]:
-    """``(lengths of a sequence, times)`` covering the histogram exactly."""
+    """``(lengths of a sequence, times)`` covering the histogram exactly.
+
+    The fit knows no rounding: carried out in full it may use up short documents that the residuals need. So it is carried out in several shares, and the plan of fewest
+    sequences is taken, of equals that with the most patterns. Share 0 is best fit alone, which the plan never exceeds.
+    """
+    repeats = pattern_repeats(histogram, capacity, bins, most)
+    least = -(-int(histogram @ np.arange(len(histogram))) // capacity)
+    best, count = [], None
+    for share in SHARES:
+        found = _carried_out(histogram, capacity, bins, [(p, int(n * share)) for p, n in repeats])
+        sequences = sum(times for _, times in found)
+        if count is None or sequences < count:
+            best, count = found, sequences
+        if count == least:
+            break
+    return best
+
+
+def _carried_out(histogram: np.ndarray, capacity: int, bins: int, patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[list[int], int]]:
     left, out = _Left(histogram), []
     width = -(-capacity // bins)
 
@@ -139,7 +161,7 @@ def plan(histogram: np.ndarray, capacity: int, bins: int = 32, most: int = 4) ->
         left.take(chosen, times)
         return times
 
-    for pattern, repeats in pattern_repeats(histogram, capacity, bins, most):
+    for pattern, repeats in patterns:
         while repeats > 0 and (chosen := left.exact(pattern, capacity, width)):
             repeats -= emit(chosen, repeats)
     while left.lengths:
