@@ -1,6 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs [native].
 
-A paragraph is a piece of up to PIECE_WORDS words of one line; each is hashed to a wide vector
+A paragraph is a line, parted where its own words say so: after a word whose last character is a clause mark, or a character below U+0530 whose code point leaves 7 on
+division by 8 (some five words apart), or after MOST_WORDS words without any. What changes in a paragraph so leaves its other pieces as they are. Each piece is hashed to a wide vector
 (LANES lanes of odd numbers from -255 to 255, whose mean is 0: sums of distinct pieces do not drift) and a document's fingerprint is the lane-wise sum modulo 2^32. The sum does not depend
 on order, and pieces are inserted or deleted by adding or subtracting their vectors (``combine``).
 Equal multisets have equal fingerprints.
@@ -12,21 +13,29 @@ A lane of fewer than 2^23 pieces cannot leave the signed range, even if all are
 from about 10^13 pieces on. Beyond either, likeness means nothing.
 
 Defined cases: a null text is the empty text, without pieces (fingerprint all zero); two empty
-texts have likeness 1; rows with a null id come last in descending order; rows that share an id are ordered by text; a single
-row is its own neighbour; an empty table gives an empty result.
+texts have likeness 1; rows with a null id come last in descending order; rows that share an id, or have none, are ordered by a hash of their text, then the text; a single
+row is its own neighbour; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import count_at_most, keep
 
-PIECE_WORDS, LANES, MODULUS = 8, 64, 1 << 32
+MOST_WORDS, LANES, MODULUS = 32, 64, 1 << 32
 #: Hexadecimal digits of a lane.
 WIDTH = 8
-_PIECE = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B\x0C]+[^\x20\x09-\x0D]+){{0,{PIECE_WORDS - 1}}}"
+_WORD, _GAP = r"[^\x20\x09-\x0D]++", r"[\x20\x09\x0B\x0C]++"
+#: Last characters of words that end a piece.
+ENDS = ".,;:!?\u2026\u3002\uff01\uff1f\uff1b" + "".join(chr(c) for c in range(0x27, 0x530, 8))
+_ENDED = rf"(?<=[{re.escape(ENDS)}])|(?=[\x20\x09\x0B\x0C]*+(?:[\x0A\x0D]|\z))"
+_PIECE = rf"{_WORD}(?:{_GAP}{_WORD}){{0,{MOST_WORDS - 1}}}?(?:{_ENDED})|{_WORD}(?:{_GAP}{_WORD}){{{MOST_WORDS - 1}}}"
+#: Ranges cut at quantiles of the ids; each is parted evenly between its ends as far as its rows ask for.
+QUANTILES = 1024
 
 
 def pieces(text: Column) -> Column:
@@ -84,36 +93,46 @@ def likeness(one: Column, two: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - apart / both))
 
 
-def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 20_000) -> DataFrame:
+def _ranges(docs: DataFrame, rows_per_range: int) -> DataFrame:
+    """Add ``_range``, larger for rows that come earlier: quantiles of the ids, even parts of each, and for rows without an id parts of their texts' hashes."""
+    total, named, low, high = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    coarse = max(1, min(QUANTILES, named // rows_per_range))
+    fine = max(1, -(-named // (coarse * rows_per_range)))
+    cuts = []
+    if coarse > 1:
+        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)], 100 * coarse)).first()[0]))
+    part = F.lit(0)
+    if named:
+        at = count_at_most(F.array(*[F.lit(c) for c in cuts]), F.col("doc_id"), bits=11) if cuts else F.lit(0)
+        ends = F.array(*[F.lit(c).cast("double") for c in [low, *cuts, high]])
+        inside = (F.col("doc_id") - F.element_at(ends, F.col("_at") + 1)) / (F.element_at(ends, F.col("_at") + 2) - F.element_at(ends, F.col("_at") + 1) + 1)
+        docs = docs.withColumn("_at", at)
+        part = F.col("_at") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(inside * fine)))
+    bits = max(0, ((total - named) // rows_per_range).bit_length())
+    nameless = -1 - (F.shiftright("_th", 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0))
+    return docs.withColumn("_range", F.when(F.col("doc_id").isNull(), nameless).otherwise(part).cast("long")).drop("_at")
+
+
+def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2000) -> DataFrame:
     """Fingerprints of each text and of its edit with the next document's beginning.
 
-    The next document in descending id order is found inside ranges of ids whose bounds are
-    approximate quantiles of all ids; only a range's first row crosses into its neighbour. The
+    The next document in descending id order is found inside ranges of ids; only a range's first row crosses into its neighbour, and only ids and hashes tell which row that is. The
     text is shuffled once, by range, with its fingerprint beside it.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    stats = docs.agg(F.count("*"), F.count("doc_id")).first()
-    ranges = max(1, min(4096, stats[0] // rows_per_range))
-    cuts = []
-    if ranges > 1 and stats[1]:
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]))
-    rank = count_at_most(F.array(*[F.lit(c) for c in cuts]), F.col("doc_id"), bits=13) if cuts else F.lit(0)
-    docs = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(rank))
-    docs = with_lanes(docs, F.col("text"), "_lanes")
-    down = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    inside = Window.partitionBy("_range").orderBy(*down)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_th", F.xxhash64("text"))
+    docs = _ranges(docs, rows_per_range)
+    # The first row of each range, and the range that comes before it (the first of all follows the last).
+    heads = keep(docs.groupBy("_range").agg(F.min(F.struct((-F.col("doc_id")).alias("id"), F.col("_th").alias("th"))).alias("_head")), "heads")
+    down = Window.orderBy(F.col("_range").desc())  # a row a range
+    before = F.coalesce(F.lag("_range").over(down), F.min("_range").over(Window.partitionBy()))
+    heads = keep(heads.select("_range", before.alias("_to"), F.col("_head.th").alias("_hth"), (-F.col("_head.id")).alias("_hid")), "heads")
+    first = docs.join(F.broadcast(heads) if heads.count() <= 200_000 else heads, ["_range"]).filter((F.col("_th") == F.col("_hth")) & F.col("doc_id").eqNullSafe(F.col("_hid")))
+    first = first.groupBy("_to").agg(F.min("text").alias("text"))
+    edge = keep(with_lanes(first, F.col("text"), "_edge_lanes").select(F.col("_to").alias("_range"), F.col("text").alias("_edge_text"), "_edge_lanes"), "edges")
+
+    inside = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "_th", "text")
     head = lambda c: F.lead(c).over(inside)
-    found = docs.withColumns({"_next_text": head("text"), "_next_lanes": head("_lanes"), "_last": F.lead(F.lit(1)).over(inside).isNull()})
-    # Ranges are few; each gives its first row, and takes the first row of the next range below (the lowest takes the highest).
-    key = F.struct(F.coalesce(-F.col("doc_id"), F.lit(0).cast("long")).alias("k"), F.col("text").alias("text"), F.col("_lanes").alias("lanes"))
-    firsts = keep(docs.groupBy("_range").agg(F.min(key).alias("_first")), "ranges")
-    held = sorted((r[0] for r in firsts.select("_range").collect()), reverse=True)
-    follows = dict(zip(held, [*held[1:], *held[:1]], strict=True))
-    if not held:
-        follows = {0: 0}
-    back = {b: a for a, b in follows.items()}
-    to = F.element_at(F.create_map(*[F.lit(x) for pair in back.items() for x in pair]), F.col("_range"))
-    edge = firsts.select(to.alias("_range"), F.col("_first.text").alias("_edge_text"), F.col("_first.lanes").alias("_edge_lanes"))
+    found = with_lanes(docs, F.col("text"), "_lanes").withColumns({"_next_text": head("text"), "_next_lanes": head("_lanes"), "_last": F.lead(F.lit(1)).over(inside).isNull()})
     found = found.join(edge, "_range", "left")
     cut = F.floor(F.length("text") / 3).cast("int")
     following = F.when(F.col("_last"), F.col("_edge_text")).otherwise(F.col("_next_text"))
@@ -127,5 +146,3 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), encode(F.col("_lanes")).alias("fingerprint"), encode(F.col("_edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("_lanes"), F.col("_edited_lanes")).alias("near_edited"), likeness(F.col("_lanes"), F.col("_follow")).alias("near_next"),
     )
-
-
