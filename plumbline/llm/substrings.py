@@ -176,7 +176,8 @@ def at_sources(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [*source, "said"])
 
     places = spans.select(*source).distinct().toDF("doc", "key", "start", "windows")
-    said = _beside(docs, places, "inner").mapInArrow(read, "source_doc bigint, source_key bigint, source_start int, windows int, said binary").dropDuplicates(source)
+    # Written down, so that both sides of the join are plain shuffles, of which a frequent source can be split.
+    said = keep(_beside(docs, places, "inner").mapInArrow(read, "source_doc bigint, source_key bigint, source_start int, windows int, said binary").dropDuplicates(source), "said")
     return spans.join(said, source).select("doc", "key", "start", "windows", "said")
 
 
