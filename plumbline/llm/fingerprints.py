@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs [native].
 
-A paragraph is a line, parted where its own words say so: after a word whose last character is a clause mark, or a character below U+0100 whose code point leaves 15 on
-division by 16. What changes in a paragraph so leaves its other pieces as they are. Each piece is hashed to a wide vector
+A paragraph is a line, parted where its own words say so: after a word whose last character is a clause mark, or a character below U+0100 whose code point leaves 7 on
+division by 8. What changes in a paragraph so leaves its other pieces as they are. Each piece is hashed to a wide vector
 (LANES lanes of odd numbers from -255 to 255, whose mean is 0: sums of distinct pieces do not drift) and a document's fingerprint is the lane-wise sum modulo 2^32. The sum does not depend
 on order, and pieces are inserted or deleted by adding or subtracting their vectors (``combine``).
 Equal multisets have equal fingerprints.
@@ -30,7 +30,7 @@ LANES, MODULUS = 64, 1 << 32
 #: Hexadecimal digits of a lane.
 WIDTH = 8
 #: Last characters of words that end a piece.
-ENDS = ".,;:!?\u2026\u3002\uff01\uff1f\uff1b" + "".join(chr(c) for c in range(0x2F, 0x100, 16))
+ENDS = ".,;:!?\u2026\u3002\uff01\uff1f\uff1b" + "".join(chr(c) for c in range(0x27, 0x100, 8))
 _SPACE, _BREAK = r"[\x20\x09\x0B\x0C]", r"[\x0A\x0D]"
 #: What parts pieces: the white space around a line's end, or after such a character.
 PARTING = rf"{_SPACE}*+{_BREAK}[\x20\x09-\x0D]*+|(?={_SPACE})(?<=[{re.escape(ENDS)}]){_SPACE}++"

@@ -329,7 +329,7 @@ def test_lanes_in_python(spark, documents):
 
 
 def test_pieces_come_from_their_words(spark):
-    line = prose(3, 400).replace("w1", "go")
+    line = prose(3, 400)
     assert " ".join(pieces_in_python(line)) == line and len(pieces_in_python(line)) > 20
     before, after = Counter(pieces_in_python(line)), Counter(pieces_in_python("new " + line))
     assert sum((before - after).values()) <= 2 and sum((after - before).values()) <= 2
