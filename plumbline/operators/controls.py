@@ -83,15 +83,20 @@ def headline(df: DataFrame, detectors: list[str], outcome: str, extracted: str,
     return table.withColumn("excludes_zero", ~((F.col("low") <= 0) & (F.col("high") >= 0))).select("detector", "rho", "low", "high", "rho_extracted", "excludes_zero")
 
 
+def _long(df: DataFrame, detectors: list[str]) -> DataFrame:
+    """A row a detector, its score as ``_x``."""
+    rest = [c for c in df.columns if c not in detectors]
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("detector"), F.col(d).cast("double").alias("_x")) for d in detectors]))
+    return df.select(*rest, each.alias("_d")).select(*rest, "_d.*")
+
+
 def hardening(df: DataFrame, detectors: list[str], outcome: str, control: str, order: str, replicates: int, seed: int, digits: tuple[int, int] = (9, 9), alpha: float = 0.05) -> DataFrame:
     """``(detector, rho, low, high, p, q, revived)``: rank correlation of what a cubic of the control leaves; revived if the interval lies above 0 and q below ``alpha``."""
-    parts = []
-    for d in detectors:
-        items = stats.indexed(df.select(order, d, outcome, control), order)
-        test = stats.cubic_permutation(items.drop("i"), d, outcome, control, replicates, seed, order, digits)
-        ends = stats.interval(stats.cubic_spearman(_drawn(items, replicates, seed), d, outcome, control, ["r"], digits), "value")
-        parts.append(test.withColumnRenamed("observed", "rho").crossJoin(ends).withColumn("detector", F.lit(d)))
-    table = stats.benjamini_hochberg(keep(reduce(DataFrame.unionByName, parts), "hardening"), "p", "detector", alpha)
+    items = stats.indexed(df.select(order, *detectors, outcome, control), order)
+    rho = lambda rows, by: stats.cubic_spearman(_long(rows, detectors), "_x", outcome, control, ["detector", *by], digits)
+    test = stats.p_value(rho(items, []), rho(stats.permuted(items, outcome, replicates, seed), ["r"]), "value", by=["detector"])
+    ends = stats.interval(rho(_drawn(items, replicates, seed), ["r"]), "value", by=["detector"])
+    table = stats.benjamini_hochberg(keep(test.withColumnRenamed("observed", "rho").join(ends, "detector"), "hardening"), "p", "detector", alpha)
     return table.select("detector", "rho", "low", "high", "p", "q", ((F.col("low") > 0) & (F.col("q") < alpha)).alias("revived"))
 
 

@@ -2,7 +2,8 @@
 
 Rows are first counted by distinct value, and the counts are written down: ranking a column reads its table once, and several
 columns are ranked from one pass. Running counts over the values are built in two levels, also inside each group: values are cut into
-ranges at approximate quantiles, ranges are summed, and each range runs its own window. Only the ranges' totals of a group meet in one task.
+ranges at approximate quantiles, ranges are summed, and each range runs its own window. Only the ranges' totals of a group meet in one task
+(or all of a group that has few distinct values by count).
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.kept import keep
 
-#: Ranges that a group's values are cut into.
-RANGES = 64
+#: Distinct values of a group up to which they are one window, and the ranges that those of larger groups are cut into.
+ONE_WINDOW, RANGES = 10_000, 64
 
 
 def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner", small: bool = False) -> DataFrame:
@@ -32,6 +33,10 @@ def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner"
 def running(counts: DataFrame, value: str, sums: list[str], by: list[str], descending: bool = False) -> DataFrame:
     """Add ``<sum>_upto``: sums over this and all values before it, of rows with the same ``by``; ``counts`` has a row a distinct number."""
     counts = keep(counts, "counts")
+    largest = counts.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= ONE_WINDOW:
+        whole = Window.partitionBy(*by).orderBy(F.col(value).desc() if descending else F.col(value).asc()).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({f"{s}_upto": F.sum(s).over(whole) for s in sums})
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
     at = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ranged = keep(_beside(counts, cuts, by, small=not by).withColumn("_range", at).drop("_cuts"), "ranged")

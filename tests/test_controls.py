@@ -84,7 +84,9 @@ def table(df, key="detector"):
     return {r[key]: r.asDict() for r in df.collect()}
 
 
-def test_grouped_ranks_cross_ranges(spark):
+@pytest.mark.parametrize("one_window", [10_000, 20])
+def test_grouped_ranks_cross_ranges(spark, monkeypatch, one_window):
+    monkeypatch.setattr(ranks, "ONE_WINDOW", one_window)
     rng = np.random.default_rng(1)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), rng.integers(0, 200, 900))] + [(None, 1.0), (None, 2.0), (1, None)]
     df = spark.createDataFrame(rows, "g long, v double")
@@ -98,7 +100,8 @@ def test_grouped_ranks_cross_ranges(spark):
     assert auc == {0: 1.0, 1: 1.0, 2: 1.0}
 
 
-def test_numbers_and_places(spark):
+def test_numbers_and_places(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ONE_WINDOW", 50)
     df = spark.createDataFrame([(i * 2, "x") for i in range(200)] + [(10, "again"), (10, "more")], "id long, t string").repartition(5)
     rows = sorted(stats.indexed(df, "id").collect(), key=lambda r: r["i"])
     assert [r["i"] for r in rows] == list(range(202)) and all(a["id"] <= b["id"] for a, b in zip(rows, rows[1:]))
