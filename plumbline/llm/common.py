@@ -11,10 +11,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.sources.kept import discard, keep
@@ -25,6 +25,43 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 250_000
 
 
+#: Bytes of an Arrow batch on its way to or from Python: rows hold whole texts, of which Spark's own bound would hold 64 MB at a time, on both sides.
+ARROW_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to ARROW_BYTES, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864b")).rstrip("bB")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def release() -> None:
+    """Give memory that arrays took back to the system: Python workers are used again by later stages, and what each has held would add up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(of: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that takes bounded batches and releases its memory at the end of the task."""
+    bound_batches(SparkSession.active())
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from of(batches)
+        finally:
+            release()
+
+    return run
+
+
 def plain(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
     """``df`` with its columns named c0, c1, ... in order, and these names of the columns ``named`` (found without regard to case)."""
     given = [c.lower() for c in df.columns]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, discard, keep, small_side
+from plumbline.llm.common import connected_components, discard, keep, small_side, tidy
 
 #: Filters of a vector on average, and vectors of a filter, where vectors lie evenly.
 FILTERS, ROWS_A_FILTER = 20, 400
@@ -96,7 +96,7 @@ def _filters(vectors: DataFrame, size: int, seed: int, slim: bool) -> DataFrame:
                     yield pa.record_batch(columns, ["label", "dims", "filter", "node", "copies", "vector", "filters"][: len(columns)])
 
     schema = f"label {vectors.schema['label'].dataType.simpleString()}, dims int, filter bigint" + ("" if slim else ", node bigint, copies bigint, vector binary, filters binary")
-    return vectors.select("label", "node", "copies", "vector").mapInArrow(build, schema)
+    return vectors.select("label", "node", "copies", "vector").mapInArrow(tidy(build), schema)
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def _join(vectors: DataFrame, size: int, seed: int, threshold: float) -> DataFra
         if held is not None and len(held["node"]) > 1:
             yield done(held)
 
-    return cut.mapInArrow(meet, "node bigint, links bigint, tied bigint")
+    return cut.mapInArrow(tidy(meet), "node bigint, links bigint, tied bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, seed: int = 5) -> DataFrame:

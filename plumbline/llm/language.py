@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, SPACE, chunks, mix
+from plumbline.llm.common import LOWER, SPACE, bound_batches, chunks, mix, release, tidy
 
 BUCKETS = 1 << 16
 #: Lengths of the n-grams in bytes, and the overlapping n-grams that count as one independent draw.
@@ -74,7 +74,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(values[at])], ["lang", "bucket", "n"])
 
     rows = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col))
-    counted = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toPandas()  # at most BUCKETS rows a language
     names = sorted(got["lang"].unique())
     table = np.full((len(names), BUCKETS), smoothing)
@@ -135,6 +135,7 @@ def tagger(spark: SparkSession, model: tuple[list[str], np.ndarray], penalty: fl
     """A function from a text column to ``(lang_pred, score)``. Only texts go to Python and only labels come back; other columns stay where they are."""
     names, table = model
     shared = spark.sparkContext.broadcast(table.astype(np.float32))  # languages x BUCKETS, fixed
+    bound_batches(spark)
 
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
@@ -154,5 +155,6 @@ def tagger(spark: SparkSession, model: tuple[list[str], np.ndarray], penalty: fl
                         top, scores[k] = infer(np.exp(logs - logs.max(1, keepdims=True)), count[a:b] / EVIDENCE, penalty)
                         langs[k] = names[top]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+        release()
 
     return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()  # evaluated once, whatever reads it

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, chunks, connected_components, discard, keep, mix, plain, rolling, sequence_hash, signed, small_side, word_hashes
+from plumbline.llm.common import BASES, chunks, connected_components, discard, keep, mix, plain, rolling, sequence_hash, signed, small_side, tidy, word_hashes
 
 #: Upper bounds of size bands; the cells of a band are four times its bound.
 BANDS = np.array([4, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824], np.int64)
@@ -114,7 +114,7 @@ def set_table(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataF
                 columns = [batch.column(0)[i:j], pa.array([len(h) for h in sets], pa.int64()), *[pa.array([h[c] for h in hashes], pa.int64()) for c in (0, 1)]]
                 yield pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))], ["doc_id", "n_shingles", "s1", "s2", "keys"])
 
-    return df.mapInArrow(build, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>")
+    return df.mapInArrow(tidy(build), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>")
 
 
 def repeated(keys: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def repeated(keys: DataFrame) -> DataFrame:
         if same and len(key):
             yield pa.record_batch([pa.array(key), pa.array(doc)], ["key", "doc"])
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, "key bigint, doc bigint")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(neighbours), "key bigint, doc bigint")
 
 
 def candidates(df: DataFrame, n: int, whole: bool) -> DataFrame:
@@ -153,7 +153,7 @@ def candidates(df: DataFrame, n: int, whole: bool) -> DataFrame:
                     data = pa.array([bit_sketch(h) for h in sets], pa.binary())
                 yield pa.record_batch([batch.column(0)[i:j], pa.array([len(h) for h in sets], pa.int64()), data], ["doc", "size", "data"])
 
-    return df.mapInArrow(build, f"doc bigint, size bigint, data {'array<bigint>' if whole else 'binary'}")
+    return df.mapInArrow(tidy(build), f"doc bigint, size bigint, data {'array<bigint>' if whole else 'binary'}")
 
 
 def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFrame:
@@ -177,7 +177,7 @@ def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFr
                 columns = [batch.column(0)[i:j], batch.column(2)[i:j], pa.array([len(h) for h in sets], pa.int64())]
                 yield pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(keys))))], ["doc", "part", "size", "keys"])
 
-    return df.mapInArrow(build, "doc bigint, part bigint, size bigint, keys array<bigint>")
+    return df.mapInArrow(tidy(build), "doc bigint, part bigint, size bigint, keys array<bigint>")
 
 
 def prefix_pairs(docs: DataFrame, crowd: DataFrame, n: int, most: int) -> DataFrame:
@@ -231,7 +231,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
             # |A ∆ B| <= (1 - p) / (1 + p) (|A| + |B|) for a similarity of p
             yield batch.select([0, 1]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * total))
 
-    near = keep(beside(pairs, whole=False).mapInArrow(close, "a bigint, b bigint").distinct(), "near")
+    near = keep(beside(pairs, whole=False).mapInArrow(tidy(close), "a bigint, b bigint").distinct(), "near")
     # 100 |A ∩ B| >= p |A ∪ B|, one pair of sets at a time
     common = F.size(F.array_intersect("a_data", "b_data"))
     same = beside(near, whole=True).filter((common > 0) & (common * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, count_at_most, hash_bits, keep, running_offset
+from plumbline.llm.common import chunks, count_at_most, hash_bits, keep, running_offset, tidy
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Encoded words that a worker remembers before it starts afresh.
@@ -276,7 +276,7 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col:
                             out.append(value)
             yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(cut), PIECES)
 
 
 def pack(df: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", separator: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, chunks, word_hashes
+from plumbline.llm.common import BASES, chunks, tidy, word_hashes
 
 FEATURES = 1 << 20
 
@@ -66,7 +66,7 @@ def _features_of(df: DataFrame) -> DataFrame:
                 lists += np.split(feature.astype(np.int32), np.searchsorted(owner, np.arange(1, j - i)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
 
-    return df.mapInArrow(extract, "doc_id bigint, label int, features array<int>")
+    return df.mapInArrow(tidy(extract), "doc_id bigint, label int, features array<int>")
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
@@ -165,4 +165,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 out.append(model.scores(owner, feature, j - i))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "score"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(predict, "doc_id bigint, score double")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(predict), "doc_id bigint, score double")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, chunks, discard, keep, mix, rolling, signed, small_side, word_hashes
+from plumbline.llm.common import BASES, chunks, discard, keep, mix, rolling, signed, small_side, tidy, word_hashes
 
 LAST = (1 << 63) - 1
 #: Spans of a side (some 50 bytes each with their text's keys) that may be broadcast instead of shuffling the text.
@@ -96,7 +96,7 @@ def path_table(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 columns = (signed(seeds), deal(seeds), signed(total), ids[i:j][text], keys[i:j][text], start.astype(np.int32), count.astype(np.int32))
                 yield pa.record_batch([pa.array(c) for c in columns], ["seed", "dealt", "path", "doc", "key", "start", "windows"])
 
-    return docs.mapInArrow(build, "seed bigint, dealt smallint, path bigint, doc bigint, key bigint, start int, windows int")
+    return docs.mapInArrow(tidy(build), "seed bigint, dealt smallint, path bigint, doc bigint, key bigint, start int, windows int")
 
 
 def repeated_seeds(rows: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def repeated_seeds(rows: DataFrame) -> DataFrame:
         if held is not None and (same or held.column(1)[0].as_py()):
             yield held
 
-    return rows.repartition("seed", "dealt").sortWithinPartitions("seed", "dealt").mapInArrow(neighbours, rows.schema).drop("dealt")
+    return rows.repartition("seed", "dealt").sortWithinPartitions("seed", "dealt").mapInArrow(tidy(neighbours), rows.schema).drop("dealt")
 
 
 def _beside(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -151,7 +151,7 @@ def edge_table(docs: DataFrame, opened: DataFrame, k: int) -> DataFrame:
                 columns = (signed(rolling(one, k, BASES[0])[at]), signed(rolling(two, k, BASES[1])[at]), ids[i:j][owner], keys[i:j][owner], (at - begin[owner]).astype(np.int32))
                 yield pa.record_batch([pa.array(c) for c in columns], ["e1", "e2", "doc", "key", "at"])
 
-    return _beside(docs, opened, "inner").mapInArrow(build, "e1 bigint, e2 bigint, doc bigint, key bigint, at int")
+    return _beside(docs, opened, "inner").mapInArrow(tidy(build), "e1 bigint, e2 bigint, doc bigint, key bigint, at int")
 
 
 def _digest(words: list[bytes], start: int, windows: int, k: int) -> bytes:
@@ -177,7 +177,7 @@ def at_sources(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
 
     places = spans.select(*source).distinct().toDF("doc", "key", "start", "windows")
     # Written down, so that both sides of the join are plain shuffles, of which a frequent source can be split.
-    said = keep(_beside(docs, places, "inner").mapInArrow(read, "source_doc bigint, source_key bigint, source_start int, windows int, said binary").dropDuplicates(source), "said")
+    said = keep(_beside(docs, places, "inner").mapInArrow(tidy(read), "source_doc bigint, source_key bigint, source_start int, windows int, said binary").dropDuplicates(source), "said")
     return spans.join(said, source).select("doc", "key", "start", "windows", "said")
 
 
@@ -228,4 +228,4 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         o.append(v)
                 yield pa.record_batch([pa.array(ids[i:j], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return _beside(docs, repeated_spans(docs, k), "left").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return _beside(docs, repeated_spans(docs, k), "left").mapInArrow(tidy(cut), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
