@@ -32,7 +32,7 @@ def append_new(df: DataFrame, path: str, id_col: str, form: str = "parquet") ->
 
 def summary(df: DataFrame, most: int = 10_000) -> str:
     """A small result as JSON text; refuses a large one."""
-    rows = df.limit(most + 1).toJSON().collect()
+    rows = [r[0] for r in df.limit(most + 1).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).collect()]
     if len(rows) > most:
         raise ValueError(f"a summary has at most {most} rows")
     return json.dumps([json.loads(r) for r in rows], indent=2)
