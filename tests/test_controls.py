@@ -292,9 +292,9 @@ def test_cached_selection(spark, tmp_path):
 
 
 def test_settings_and_results(spark, tmp_path):
-    (tmp_path / "a.yaml").write_text("# run\nprefix-len: 32\nname: 'pile''s'\nrate: 0.5\nfast: true\nnone: ~\nsizes: [1, 2]\nplain: text here # note\n")
+    (tmp_path / "a.yaml").write_text("# run\nprefix-len: 32\nname: 'run''s'\nrate: 0.5\nfast: true\nnone: ~\nsizes: [1, 2]\nplain: text here # note\n")
     got = readers.settings(str(tmp_path / "a.yaml"), {"prefix_len": 1, "other": 2})
-    assert got == {"prefix_len": 32, "other": 2, "name": "pile's", "rate": 0.5, "fast": True, "none": None, "sizes": [1, 2], "plain": "text here"}
+    assert got == {"prefix_len": 32, "other": 2, "name": "run's", "rate": 0.5, "fast": True, "none": None, "sizes": [1, 2], "plain": "text here"}
     assert readers._flat_yaml("a: 1\nb: x") == {"a": 1, "b": "x"}
     with pytest.raises(ValueError):
         readers._flat_yaml("a:\n  b: 1")
