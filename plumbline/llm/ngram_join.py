@@ -36,6 +36,8 @@ BANDS = np.array([4, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824], np
 SKETCH_BITS = 2048
 #: Bits of the table of demoted keys, and the keys that go into it at most (the most crowded).
 DEMOTED_BITS, DEMOTED_KEYS = 1 << 24, 1 << 20
+#: References that sets are compared with at most, and their shingles in all.
+FAMILIES, FAMILY_KEYS = 1 << 10, 1 << 20
 
 
 def shingle_sets(texts: list[bytes], n: int, kinds: tuple[int, ...] = (0,)) -> list[tuple[np.ndarray, ...]]:
@@ -156,14 +158,34 @@ def candidates(df: DataFrame, n: int, whole: bool) -> DataFrame:
     return df.mapInArrow(tidy(build), f"doc bigint, size bigint, data {'array<bigint>' if whole else 'binary'}")
 
 
-def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFrame:
-    """``(doc, part, size, keys)`` of ``df(doc_id, text, part)``: all shingle hashes of each text, or with a table of demoted ones the first that a partner must share."""
-    shared = df.sparkSession.sparkContext.broadcast(demoted)  # DEMOTED_BITS or nothing
+def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None, refs: tuple | None = None) -> DataFrame:
+    """``(doc, part, size, keys, ref, delta)`` of ``df(doc_id, text, part)``: all shingle hashes of each text, or with a table of demoted ones the first that a partner must share.
+
+    With ``refs`` (see ``references``) a text gets the reference that has most of its shingles, and the shingles that only one of the two has: those of the text
+    that are not demoted first. A text from which no reference differs by less than its own size gets none.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((demoted, refs))  # DEMOTED_BITS and FAMILY_KEYS, or nothing
+
+    def differ(h: np.ndarray) -> tuple[int | None, np.ndarray]:
+        demoted, (ids, sets, owned, owner) = shared.value
+        at = np.minimum(np.searchsorted(owned, h), len(owned) - 1)
+        held = owner[at[owned[at] == h]]
+        if not len(held):
+            return None, h[:0]
+        best = int(np.bincount(held).argmax())
+        more, less = np.setdiff1d(h, sets[best], True), np.setdiff1d(sets[best], h, True)
+        if len(more) + len(less) >= len(h):
+            return None, h[:0]
+        late = is_demoted(more, demoted)
+        return int(ids[best]), np.concatenate((more[~late], np.sort(np.concatenate((more[late], less)))))
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        demoted = shared.value
+        def lists(of: list[np.ndarray]):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in of]))).astype(np.int32)), pa.array(signed(np.concatenate(of))))
+
+        demoted, refs = shared.value
         for batch in batches:
             for i, j, texts in chunks(batch.column(1)):
                 sets = [h for (h,) in shingle_sets(texts, n)]
@@ -173,24 +195,103 @@ def prefixes(df: DataFrame, n: int, demoted: np.ndarray | None = None) -> DataFr
                     for h in sets:
                         late = is_demoted(h, demoted)
                         keys.append(np.concatenate((h[~late], h[late]))[: len(h) // 4 + 1])
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
-                columns = [batch.column(0)[i:j], batch.column(2)[i:j], pa.array([len(h) for h in sets], pa.int64())]
-                yield pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(keys))))], ["doc", "part", "size", "keys"])
+                apart = [differ(h) if refs else (None, h[:0]) for h in sets]
+                columns = [batch.column(0)[i:j], batch.column(2)[i:j], pa.array([len(h) for h in sets], pa.int64()), lists(keys), pa.array([r for r, _ in apart], pa.int64()), lists([d for _, d in apart])]
+                yield pa.record_batch(columns, ["doc", "part", "size", "keys", "ref", "delta"])
+
+    return df.mapInArrow(tidy(build), "doc bigint, part bigint, size bigint, keys array<bigint>, ref bigint, delta array<bigint>")
+
 
-    return df.mapInArrow(tidy(build), "doc bigint, part bigint, size bigint, keys array<bigint>")
+def references(held: DataFrame, n: int, top: np.ndarray, often: np.ndarray, most: int) -> tuple | None:
+    """``(ids, sets, owned, owner)``: documents with much in common with many others, by falling number of those, their sets, and the first of them that has a shingle.
 
+    Each text names four of its crowded shingles ``top`` (held by ``often`` texts); of the texts that name the same the one with most crowded and fewest other shingles
+    is taken. There are FAMILIES with FAMILY_KEYS shingles in all at most; which are taken changes the work, never the links.
+    """
+    spark = held.sparkSession
+    order = np.argsort(top)
+    shared = spark.sparkContext.broadcast((top[order], often[order]))  # DEMOTED_KEYS at most
 
-def prefix_pairs(docs: DataFrame, crowd: DataFrame, n: int, most: int) -> DataFrame:
-    """``(a, b)`` of documents of ``crowd(doc, part)`` in different parts that may be linked."""
+    def name(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        top, often = shared.value
+        for batch in batches:
+            for i, j, texts in chunks(batch.column(1)):
+                out = []
+                for doc, (h,) in zip(batch.column(0)[i:j].to_pylist(), shingle_sets(texts, n), strict=True):
+                    at = np.minimum(np.searchsorted(top, signed(h)), len(top) - 1)
+                    at = at[top[at] == signed(h)]
+                    at = at[np.lexsort((at, -often[at]))]
+                    out += [(int(top[at[k]]), 8 * len(at) - 7 * len(h), doc) for k in sorted({len(at) * q // 4 for q in range(4)}) if len(at)]
+                yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["key", "score", "doc"])
+
+    named = held.mapInArrow(tidy(name), "key bigint, score bigint, doc bigint").groupBy("key").agg(F.count("*").alias("docs"), F.max(F.struct("score", (-F.col("doc")).alias("doc"))).alias("best"))
+    hubs = named.filter(F.col("docs") > most).groupBy((-F.col("best.doc")).alias("hub")).agg(F.max("docs").alias("docs")).orderBy(F.col("docs").desc(), "hub").limit(FAMILIES).toPandas()["hub"].tolist()
+    sets = prefixes(held.filter(F.col("doc_id").isin(hubs)), n).select("doc", "size", "keys")
+    sizes = dict(sets.select("doc", "size").collect())
+    room = np.cumsum([sizes[d] for d in hubs]) <= FAMILY_KEYS
+    hubs = [d for d, fits in zip(hubs, room, strict=True) if fits]
+    if not hubs:
+        return None
+    found = {r["doc"]: np.sort(np.array(r["keys"], np.int64).view(np.uint64)) for r in sets.filter(F.col("doc").isin(hubs)).collect()}
+    owned, first = np.unique(np.concatenate([found[d] for d in hubs]), return_index=True)
+    return np.array(hubs), [found[d] for d in hubs], owned, np.repeat(np.arange(len(hubs)), [len(found[d]) for d in hubs])[first]
+
+
+def prefix_table(docs: DataFrame, crowd: DataFrame, n: int, most: int, families: bool) -> DataFrame:
+    """``prefixes`` of the documents of ``crowd(doc, part)``, shingles of more than ``most`` of them last, and ``w``: seven times the length of delta less the size."""
     held = docs.join(small_side(crowd), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "part")
     counts = prefixes(held, n).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") > most)
-    top = counts.orderBy(F.col("docs").desc(), "key").limit(DEMOTED_KEYS).select("key").toPandas()["key"].to_numpy(np.int64)
-    rows = keep(prefixes(held, n, demote(top, None)).select("doc", "part", "size", F.posexplode("keys").alias("at", "key")), "prefixes")
-    left, right = (rows.select("key", F.struct("doc", "part", "size", "at").alias(c)) for c in "ab")
+    top = counts.orderBy(F.col("docs").desc(), "key").limit(DEMOTED_KEYS).toPandas()
+    keys = top["key"].to_numpy(np.int64)
+    refs = references(held, n, keys, top["docs"].to_numpy(np.int64), most) if families and len(keys) else None
+    return keep(prefixes(held, n, demote(keys, None), refs).withColumn("w", F.size("delta") * F.lit(7).cast("long") - F.col("size")), "prefixes")
+
+
+def reference_links(table: DataFrame) -> DataFrame:
+    """``(a, b)``: each document of ``prefix_table`` with the one nearest to its reference, if both are so near that they must be linked."""
+    near = table.filter("ref is not null").groupBy("ref").agg(F.min(F.struct("w", "doc", "part")).alias("m"))
+    both = table.join(F.broadcast(near), "ref").filter((F.col("w") + F.col("m.w") <= 0) & (F.col("part") != F.col("m.part")))
+    return both.select(F.least("doc", "m.doc").alias("a"), F.greatest("doc", "m.doc").alias("b"))
+
+
+def delta_pairs(table: DataFrame) -> DataFrame:
+    """``(a, b)`` of documents with the same reference in different parts that may be linked, once ``reference_links`` are in one part.
+
+    With deltas A and B to one reference the sets differ in |A| + |B| - 2 |A & B| shingles, so a link needs 14 |A & B| >= w(A) + w(B). For the nearest document m of a
+    reference, all with w <= -w(m) are in its part, so that the sum is positive for any other pair, and it must share one of the first shingles of its deltas.
+    """
+    near = table.filter("ref is not null").groupBy("ref").agg(F.min(F.struct("w", "doc", "part")).alias("m"))
+    far = table.join(F.broadcast(near), "ref").withColumn("far", F.col("part") != F.col("m.part"))
+    least = far.filter("far").groupBy("ref").agg(F.min("w").alias("least"))
+    bound = F.col("w") + F.when(F.col("far"), F.col("m.w")).otherwise(F.col("least"))
+    reach = F.greatest(F.lit(0), F.size("delta") - F.ceil(bound / 14) + 1).cast("int")
+    rows = far.join(F.broadcast(least), "ref").withColumn("delta_size", F.size("delta")).withColumn("first", F.slice("delta", F.lit(1), F.least(reach, F.size("delta"))))
+    rows = keep(rows.select("ref", "far", "doc", "part", "w", "delta_size", F.posexplode("first").alias("at", "key")), "deltas")
+    left, right = (rows.select("ref", "key", "far", F.struct("doc", "part", "w", (F.col("delta_size") - F.col("at")).alias("rest")).alias(c)) for c in "ab")
+    room = F.least("a.rest", "b.rest") * 14 >= F.col("a.w") + F.col("b.w")
+    both = left.filter("far").drop("far").join(right.drop("far"), ["ref", "key"]).filter(room & (F.col("a.part") != F.col("b.part")))
+    return both.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b"))
+
+
+def prefix_pairs(docs: DataFrame, crowd: DataFrame, n: int, most: int, table: DataFrame | None = None) -> DataFrame:
+    """``(a, b)`` of documents of ``crowd(doc, part)`` in different parts that may be linked; with a ``table`` that has references, those with the same are left to ``delta_pairs``."""
+    table = prefix_table(docs, crowd, n, most, families=False) if table is None else table
+    rows = keep(table.select("doc", "part", "size", "ref", F.posexplode("keys").alias("at", "key")), "prefixes")
+    # The documents of a key's most frequent reference are never compared with each other, so keys that no others hold go.
+    held = rows.groupBy("key", "ref").agg(F.count("*").alias("_n")).groupBy("key")
+    held = held.agg(F.sum("_n").alias("_all"), F.max(F.when(F.col("ref").isNotNull(), F.struct("_n", "ref"))).alias("_most"))
+    held = held.filter((F.col("_all") > 1) & (F.col("_all") > F.coalesce("_most._n", F.lit(0)))).select("key", F.col("_most.ref").alias("_major"))
+    rows = rows.join(held, "key").withColumn("stray", ~F.coalesce(F.col("ref") == F.col("_major"), F.lit(False)))
+    left, right = (rows.select("key", "stray", F.struct("doc", "part", "size", "at", "ref").alias(c)) for c in "ab")
+    left, stray = left.filter("a.at <= a.size div 7"), right.filter("stray").drop("stray")
     ordered = (F.col("a.size") < F.col("b.size")) | (F.col("a.size") == F.col("b.size")) & (F.col("a.doc") < F.col("b.doc"))
     # From the first shared shingle on, both must hold 3 / 7 of the sum of sizes.
     room = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) * 7 >= (F.col("a.size") + F.col("b.size")) * 3
-    both = left.filter("a.at <= a.size div 7").join(right, "key").filter(ordered & room & (F.col("a.part") != F.col("b.part")))
+    open_ = (F.col("a.part") != F.col("b.part")) & F.coalesce(F.col("a.ref") != F.col("b.ref"), F.lit(True))
+    both = left.filter("stray").drop("stray").join(right.drop("stray"), "key").filter(ordered & room & open_)
+    both = both.unionByName(left.filter("not stray").drop("stray").join(stray, "key").filter(ordered & room & open_))
     return both.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b"))
 
 
@@ -271,8 +372,10 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
     rows, demoted, pairs, level = rows_of(table), None, None, 0
     discard(table)  # its keys are most of what is kept
+    levels_kept = [rows]
     while True:
         counts = keep(rows.groupBy("key").agg(F.count("*").alias("docs")).filter("docs > 1"), "counts")
+        levels_kept.append(counts)
         few = across(rows.join(counts.filter(F.col("docs") <= most), "key").select("key", "doc"))
         pairs = few if pairs is None else pairs.unionByName(few)
         crowded = counts.filter(F.col("docs") > most)
@@ -283,6 +386,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         demoted = demote(top, demoted)
         again = keep(rows.join(crowded, "key", "left_semi").select("doc").distinct(), "crowded")
         rows = rows_of(set_table(docs.join(small_side(again), F.col("doc_id") == F.col("doc"), "left_semi"), n, demoted))
+        levels_kept.extend((again, rows))
     # Keys of the same documents, such as those of a passage, say the same: one of each kind stays.
     kinds = rows.join(crowded, "key", "left_semi").groupBy("key").agg(*[F.bit_xor(F.xxhash64(F.lit(i), "doc")).alias(f"_x{i}") for i in (0, 1)], F.count("*").alias("_n"))
     kinds = kinds.groupBy("_x0", "_x1", "_n").agg(F.min("key").alias("key")).select("key")
@@ -290,6 +394,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     hubs = rows.groupBy("key").agg(F.min("doc").alias("hub"))
     pairs = pairs.unionByName(nearest_hub(rows.join(hubs, "key").filter("doc <> hub").select("doc", "hub")))
     pairs = keep(pairs.distinct(), "pairs")
+    for kept in levels_kept:
+        discard(kept)
     links = links.unionByName(verify(pairs, docs, n, percent))
     found, before = keep(connected_components(links), "parts"), None
     for turn in range(rounds + 1):
@@ -302,7 +408,15 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         last = turn == rounds or before is not None and held > 0.8 * before
         before = held
         if last:
-            more = prefix_pairs(docs, keep(rest.select("doc", "part").distinct(), "crowd"), n, most)
+            crowd = keep(rest.select("doc", "part").distinct(), "crowd")
+            near = prefix_table(docs, crowd, n, most, families=True)
+            more = keep(reference_links(near).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+            new = verify(more, docs, n, percent)
+            if new.limit(1).count():
+                links, pairs = links.unionByName(new), pairs.unionByName(more)
+                found = keep(connected_components(links), "parts")
+                near = near.drop("part").join(found, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
+            more = prefix_pairs(docs, crowd, n, most, near).unionByName(delta_pairs(near))
         else:  # another hub of each key, from a component drawn by hash
             hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "part").alias("h"), "part", "doc")).alias("hub"))
             more = nearest_hub(rest.join(hubs, "key").filter(F.col("part") != F.col("hub.part")).select("doc", F.col("hub.doc").alias("hub")))

@@ -233,6 +233,44 @@ def test_prefix_pairs(spark):
     assert linked and linked <= got
 
 
+def test_pairs_of_near_copies_grow_with_the_documents(spark, monkeypatch):
+    """Families of near copies around the bound, many of them linked with none: components as by brute force, from few candidates a document."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for family, (share, n) in enumerate([(0.02, 150), (0.035, 250), (0.05, 100)]):
+        for _ in range(n):
+            rows.append(" ".join(f"f{family}-{k}" if rng.random() > share else f"e{rng.integers(5000)}" for k in range(150)))
+    rows += [" ".join([*(f"f1-{k}" for k in range(40)), *(f"u{i}-{k}" for k in range(8 + i % 9))]) for i in range(60)]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows, strict=True)]
+    made, verify = [], ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, *more: (made.append(pairs.count()), verify(pairs, *more))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    parts = jaccard_parts(rows)
+    assert got == parts and 100 < len({c for _, c in parts.values()}) < 500
+    assert sum(made) < 8 * len(rows), made
+
+
+def test_delta_pairs(spark):
+    """No linked pair of different parts is missing from links to references, delta pairs and pairs across references; one id may stand for two texts."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"b{i % 2}-{j}" if rng.random() > 0.03 else f"e{rng.integers(40)}" for j in range(int(rng.integers(60, 90))))) for i in range(80)]
+    rows += [(200 + i, " ".join([*(f"b0-{j}" for j in range(45)), *(f"b1-{j}" for j in range(i))])) for i in range(0, 21, 3)] + [(0, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    crowd = common.keep(docs.selectExpr("doc_id AS doc", "doc_id AS part").distinct(), "crowd")
+    table = ngram_join.prefix_table(docs, crowd, 5, 8, families=True)
+    assert table.filter("ref is not null").count() > 40
+    near = {tuple(r) for r in ngram_join.reference_links(table).collect()}
+    part = {i: i for i, _ in rows}
+    for _ in part:
+        for a, b in near:
+            part[a] = part[b] = min(part[a], part[b])
+    table = table.drop("part").join(spark.createDataFrame(list(part.items()), "doc long, part long"), "doc")
+    got = {tuple(r) for r in ngram_join.delta_pairs(table).unionByName(ngram_join.prefix_pairs(docs, crowd, 5, 8, table)).collect()}
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for i, t in rows]
+    linked = {(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    assert near and near <= linked and {(a, b) for a, b in linked if part[a] != part[b]} <= got
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(["good", "fine", "well"] if i % 2 else ["bad", "poor", "junk"], 5)) + f" t{i} of the", i % 2) for i in range(300)]
