@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import replicates as carried
 from plumbline.operators import stats
-from plumbline.operators.ranks import _beside, average_rank, with_ranks
+from plumbline.operators.ranks import average_rank, with_ranks
 from plumbline.sources.kept import keep
 
 
@@ -34,14 +35,33 @@ def _drawn(items: DataFrame, replicates: int, seed: int) -> DataFrame:
     return keep(stats.resampled(items, replicates, seed).drop("i"), "resampled")
 
 
+def _drawn_correlations(items: DataFrame, xs: list[str], y: str, z: str | None, replicates: int, seed: int) -> DataFrame:
+    """``(r, detector, value)``: Spearman of each x with y (given z) in each bootstrap replicate."""
+    columns = [*dict.fromkeys([*xs, y, *([z] if z else [])])]
+    if carried.fits(items, columns):
+        return carried.draws(items, columns, replicates, seed, carried.rank_correlations(xs, y, z), [(x,) for x in xs], "detector string")
+    drawn = _drawn(items, replicates, seed)
+    return spearmans(drawn, xs, y, ["r"]) if z is None else partials(drawn, xs, y, z, ["r"])
+
+
+def _permuted_correlations(ranked: DataFrame, xs: list[str], y: str, z: str | None, replicates: int, seed: int) -> DataFrame:
+    """``(r, detector, value)``: the same of columns that are ranks already, y being permuted."""
+    r = lambda x: f"r_{x}"
+    columns = [r(c) for c in dict.fromkeys([*xs, *([z] if z else [])])]
+    if carried.fits(ranked, [r(y), *columns]):
+        of = carried.correlations([r(x) for x in xs], r(z) if z else None)
+        return carried.permutations(ranked, r(y), columns, replicates, seed, of, [(x,) for x in xs], "detector string")
+    each = {x: stats.pearson(r(x), r(y)) if z is None else stats.partial_of(r(x), r(y), r(z)) for x in xs}
+    return _by_name(stats.permuted(ranked, r(y), replicates, seed), ["r"], each)
+
+
 def raw_table(df: DataFrame, detectors: list[str], outcome: str, order: str, replicates: int, seed: int) -> DataFrame:
     """``(detector, rho, low, high, tau, p)``: Spearman with its paired bootstrap interval, Kendall's tau and the permutation p."""
     items = stats.indexed(df.select(order, *detectors, outcome), order)
-    rho = spearmans(items, detectors, outcome)
-    ends = stats.interval(spearmans(_drawn(items, replicates, seed), detectors, outcome, ["r"]), "value", by=["detector"])
+    rho = keep(spearmans(items, detectors, outcome), "rho")
+    ends = stats.interval(_drawn_correlations(items, detectors, outcome, None, replicates, seed), "value", by=["detector"])
     ranked = keep(with_ranks(items, [*detectors, outcome]), "ranked")
-    null = _by_name(stats.permuted(ranked, f"r_{outcome}", replicates, seed), ["r"], {d: stats.pearson(f"r_{d}", f"r_{outcome}") for d in detectors})
-    p = stats.p_value(rho, null, "value", by=["detector"]).drop("observed")
+    p = stats.p_value(rho, _permuted_correlations(ranked, detectors, outcome, None, replicates, seed), "value", by=["detector"]).drop("observed")
     tau = reduce(DataFrame.unionByName, [stats.kendall(items, order, d, outcome).withColumn("detector", F.lit(d)) for d in detectors])
     return rho.withColumnRenamed("value", "rho").join(ends, "detector").join(tau, "detector").join(p, "detector").select("detector", "rho", "low", "high", "tau", "p")
 
@@ -54,9 +74,8 @@ def partial_family(df: DataFrame, detectors: list[str], outcome: str, control: s
     part = {d: stats.partial_of(r(d), r(outcome), r(control)) for d in detectors}
     seen = _by_name(ranked, [], part)
     semi = _by_name(ranked, [], {d: stats.semipartial(stats.pearson(r(d), r(outcome)), stats.pearson(r(d), r(control)), stats.pearson(r(outcome), r(control))) for d in detectors})
-    ends = stats.interval(partials(_drawn(items, replicates, seed), detectors, outcome, control, ["r"]), "value", by=["detector"])
-    null = _by_name(stats.permuted(ranked, r(outcome), replicates, seed), ["r"], part)
-    p = stats.p_value(seen, null, "value", by=["detector"]).withColumnRenamed("observed", "partial")
+    ends = stats.interval(_drawn_correlations(items, detectors, outcome, control, replicates, seed), "value", by=["detector"])
+    p = stats.p_value(seen, _permuted_correlations(ranked, detectors, outcome, control, replicates, seed), "value", by=["detector"]).withColumnRenamed("observed", "partial")
     table = p.join(ends, "detector").join(semi.withColumnRenamed("value", "semipartial"), "detector")
     return stats.benjamini_hochberg(table, "p", "detector", alpha).select("detector", "partial", "low", "high", "p", "semipartial", "q", "reject")
 
@@ -78,7 +97,7 @@ def headline(df: DataFrame, detectors: list[str], outcome: str, extracted: str,
     """``(detector, rho, low, high, rho_extracted, excludes_zero)``; the flag is whether the interval leaves out 0."""
     items = stats.indexed(df.select(order, *detectors, outcome, extracted), order)
     rho, whole = spearmans(items, detectors, outcome), spearmans(items, detectors, extracted)
-    ends = stats.interval(spearmans(_drawn(items, replicates, seed), detectors, outcome, ["r"]), "value", by=["detector"])
+    ends = stats.interval(_drawn_correlations(items, detectors, outcome, None, replicates, seed), "value", by=["detector"])
     table = rho.withColumnRenamed("value", "rho").join(ends, "detector").join(whole.withColumnRenamed("value", "rho_extracted"), "detector")
     return table.withColumn("excludes_zero", ~((F.col("low") <= 0) & (F.col("high") >= 0))).select("detector", "rho", "low", "high", "rho_extracted", "excludes_zero")
 
@@ -94,8 +113,13 @@ def hardening(df: DataFrame, detectors: list[str], outcome: str, control: str, o
     """``(detector, rho, low, high, p, q, revived)``: rank correlation of what a cubic of the control leaves; revived if the interval lies above 0 and q below ``alpha``."""
     items = stats.indexed(df.select(order, *detectors, outcome, control), order)
     rho = lambda rows, by: stats.cubic_spearman(_long(rows, detectors), "_x", outcome, control, ["detector", *by], digits)
-    test = stats.p_value(rho(items, []), rho(stats.permuted(items, outcome, replicates, seed), ["r"]), "value", by=["detector"])
-    ends = stats.interval(rho(_drawn(items, replicates, seed), ["r"]), "value", by=["detector"])
+    columns, names = [*dict.fromkeys([*detectors, outcome, control])], [(d,) for d in detectors]
+    if carried.fits(items, columns):
+        null = carried.permutations(items, outcome, [*detectors, control], replicates, seed, carried.permuted_cubic(detectors, control, digits), names, "detector string")
+        drawn = carried.draws(items, columns, replicates, seed, carried.drawn_cubic(detectors, outcome, control, digits), names, "detector string")
+    else:
+        null, drawn = rho(stats.permuted(items, outcome, replicates, seed), ["r"]), rho(_drawn(items, replicates, seed), ["r"])
+    test, ends = stats.p_value(rho(items, []), null, "value", by=["detector"]), stats.interval(drawn, "value", by=["detector"])
     table = stats.benjamini_hochberg(keep(test.withColumnRenamed("observed", "rho").join(ends, "detector"), "hardening"), "p", "detector", alpha)
     return table.select("detector", "rho", "low", "high", "p", "q", ((F.col("low") > 0) & (F.col("q") < alpha)).alias("revived"))
 
@@ -112,7 +136,12 @@ def two_arm_reading(df: DataFrame, features: list[str], outcome: str, member: st
     items = stats.indexed(df.select(order, member, *features, outcome), order)
     ranked = keep(with_ranks(items, [*features, outcome], [member]), "ranked")
     each = {f: F.round(stats.pearson(f"r_{f}", f"r_{outcome}"), digits) for f in features}
-    seen, null = (_by_name(t, by, each, "feature") for t, by in ((ranked, [member]), (stats.permuted(ranked, f"r_{outcome}", replicates, seed, [member]), ["r", member])))
+    seen = _by_name(ranked, [member], each, "feature")
+    if carried.fits(ranked, [f"r_{c}" for c in (*features, outcome)], member):
+        of, names = carried.group_correlations([f"r_{f}" for f in features], member, [1, 0], digits), [(k, f) for k in (1, 0) for f in features]
+        null = carried.permutations(ranked, f"r_{outcome}", [f"r_{f}" for f in features], replicates, seed, of, names, f"{member} long, feature string", member)
+    else:
+        null = _by_name(stats.permuted(ranked, f"r_{outcome}", replicates, seed, [member]), ["r", member], each, "feature")
     tests = keep(stats.p_value(seen, null, "value", tolerance=0.0, by=[member, "feature"]), "tests")
     one, two = (tests.filter(F.col(member) == k).select("feature", F.col("observed").alias(f"{a}_rho"), F.col("p").alias(f"{a}_p")) for k, a in ((1, "members"), (0, "others")))
     reading = F.lit(None).cast("string")
@@ -125,7 +154,10 @@ def rank_difference(df: DataFrame, value: str, member: str, order: str, replicat
     """``(observed, p)``: mean rank of members minus that of others, and the one-sided p of members ranking higher."""
     a = stats.indexed(average_rank(df, value, "_rk").select(order, member, "_rk"), order)
     apart = (F.avg(F.when(F.col(member) == 1, F.col("_rk"))) - F.avg(F.when(F.col(member) == 0, F.col("_rk")))).alias("value")
-    null = stats.permuted(a, member, replicates, seed).groupBy("r").agg(apart)
+    if carried.fits(a, [member, "_rk"]):
+        null = carried.permutations(a, member, ["_rk"], replicates, seed, carried.mean_difference("_rk"), [()])
+    else:
+        null = stats.permuted(a, member, replicates, seed).groupBy("r").agg(apart)
     return stats.p_value(a.agg(apart), null, "value", two_sided=False, tolerance=0.0)
 
 

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import replicates as carried
 from plumbline.operators.ranks import _beside, average_rank, numbered, with_ranks
 from plumbline.sources.kept import keep
 
@@ -251,13 +252,23 @@ def p_value(observed: DataFrame, null: DataFrame, value: str, two_sided: bool =
     return one.groupBy(*by).agg(F.first("_seen").alias("observed"), ((1 + F.sum(as_far.cast("int"))) / (F.count("*") + 1)).alias("p"))
 
 
-def bootstrap(df: DataFrame, stat: Callable[[DataFrame], DataFrame], replicates: int, seed: int, by: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """Interval of any statistic: ``stat`` maps rows with ``r`` to ``(r, value)``."""
-    return interval(stat(keep(resampled(indexed(df, order or df.columns[0], by), replicates, seed, by), "resampled")), "value")
+def bootstrap(df: DataFrame, stat: Callable[[DataFrame], DataFrame], replicates: int, seed: int, by: list[str] | None = None, order: str | None = None, measure: Callable | None = None) -> DataFrame:
+    """Interval of any statistic: ``stat`` maps rows with ``r`` to ``(r, value)``; ``measure`` is the same of arrays, for items that a task can hold."""
+    items, columns = indexed(df, order or df.columns[0], by), [c for c in df.columns if c != order]
+    if measure is not None and len(by or []) < 2 and carried.fits(items, columns, by[0] if by else None):
+        return interval(carried.draws(items, columns, replicates, seed, measure, [()], by=by[0] if by else None), "value")
+    return interval(stat(keep(resampled(items, replicates, seed, by), "resampled")), "value")
+
+
+def null_of(items: DataFrame, column: str, columns: list[str], stat: Callable[[DataFrame], DataFrame], measure: Callable, replicates: int, seed: int, by: str | None = None) -> DataFrame:
+    """``(r, value)`` under permutations of a column of an indexed table, by arrays where a task can hold ``columns``, else by joins."""
+    if carried.fits(items, [column, *columns], by):
+        return carried.permutations(items, column, columns, replicates, seed, measure, [()], by=by)
+    return stat(permuted(items, column, replicates, seed, [by] if by else None))
 
 
 def cubic_permutation(df: DataFrame, x: str, y: str, c: str, replicates: int, seed: int, order: str, digits: tuple[int, int] = (9, 9)) -> DataFrame:
     """``(observed, p)`` of ``cubic_spearman``: y is permuted over the items, and its cubic is fitted again, for every replicate."""
     a = indexed(df.select(order, x, y, c), order)
-    null = cubic_spearman(permuted(a, y, replicates, seed), x, y, c, ["r"], digits)
+    null = null_of(a, y, [x, c], lambda rows: cubic_spearman(rows, x, y, c, ["r"], digits), carried.permuted_cubic([x], c, digits), replicates, seed)
     return p_value(cubic_spearman(a, x, y, c, None, digits), null, "value")

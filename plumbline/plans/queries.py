@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import pii, text
-from plumbline.operators import contamination, controls, extraction, order_test, ranks, sampling, scoring, stats
+from plumbline.operators import contamination, controls, extraction, order_test, ranks, replicates, sampling, scoring, stats
 from plumbline.sources import readers
 from plumbline.sources.kept import keep
 
@@ -667,7 +667,7 @@ SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975),
 def m7_stratified_bootstrap_auc(spark, sf):
     a = _analysis(spark, sf).select("doc_id", "quality", "n_words")
     stat = lambda df: ranks.auc(df, "n_words", "quality", ["r"]).withColumnRenamed("auc", "value")
-    return _r(stats.bootstrap(a, stat, REPLICATES, SEED, by=["quality"], order="doc_id"), "low", "high", digits=6)
+    return _r(stats.bootstrap(a, stat, REPLICATES, SEED, by=["quality"], order="doc_id", measure=replicates.auc("n_words", "quality")), "low", "high", digits=6)
 
 
 @query(f"""WITH {AN}, r AS (SELECT {RANK('ttr')} AS x, {RANK('n_words')} AS y FROM an) SELECT round({CORR('x', 'y')}, 6) AS rho FROM r""")
@@ -683,7 +683,7 @@ def _spearman_by(df: DataFrame, by: list[str], x: str = "ttr", y: str = "n_words
 SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM a""")
 def m9_m10_paired_bootstrap(spark, sf):
     a = _analysis(spark, sf).select("doc_id", "ttr", "n_words")
-    return _r(stats.bootstrap(a, lambda df: _spearman_by(df, ["r"]), REPLICATES, SEED, order="doc_id"), "low", "high", digits=6)
+    return _r(stats.bootstrap(a, lambda df: _spearman_by(df, ["r"]), REPLICATES, SEED, order="doc_id", measure=replicates.rank_correlations(["ttr"], "n_words")), "low", "high", digits=6)
 
 
 # Statistics
@@ -717,9 +717,9 @@ pm AS (SELECT a.* EXCLUDE ({column}), b.{column} FROM pa a JOIN pb b ON a.r = b.
 SELECT round(any_value(o.v), 6) AS observed, round((1 + sum((abs(n.v) >= abs(o.v) - 1e-12)::INT)) / (count(*) + 1), 6) AS p FROM n, o""")
 def c6_permutation_spearman(spark, sf):
     a = stats.indexed(stats.with_ranks(_analysis(spark, sf), ["ttr", "n_words"]).select("doc_id", "r_ttr", "r_n_words"), "doc_id")
-    seen = a.agg(stats.pearson("r_ttr", "r_n_words").alias("value"))
-    null = stats.permuted(a, "r_n_words", REPLICATES, SEED).groupBy("r").agg(stats.pearson("r_ttr", "r_n_words").alias("value"))
-    return _r(stats.p_value(seen, null, "value"), "observed", "p", digits=6)
+    value = stats.pearson("r_ttr", "r_n_words").alias("value")
+    null = stats.null_of(a, "r_n_words", ["r_ttr"], lambda rows: rows.groupBy("r").agg(value), replicates.correlations(["r_ttr"]), REPLICATES, SEED)
+    return _r(stats.p_value(a.agg(value), null, "value"), "observed", "p", digits=6)
 
 
 _PART = f"({CORR('rx', 'ry')} - {CORR('rx', 'rz')} * {CORR('ry', 'rz')}) / sqrt(greatest(0, (1 - ({CORR('rx', 'rz')}) ^ 2) * (1 - ({CORR('ry', 'rz')}) ^ 2)))".replace("CASE", "(CASE").replace("END", "END)")
@@ -730,7 +730,8 @@ SELECT round(any_value(o.v), 6) AS observed, round((1 + sum((abs(n.v) >= abs(o.v
 def c5_permutation_partial(spark, sf):
     a = stats.indexed(stats.with_ranks(_analysis(spark, sf), ["ttr", "n_words", "n_chars"]).select("doc_id", "r_ttr", "r_n_words", "r_n_chars"), "doc_id")
     value = stats.partial(stats.pearson("r_ttr", "r_n_words"), stats.pearson("r_ttr", "r_n_chars"), stats.pearson("r_n_words", "r_n_chars")).alias("value")
-    return _r(stats.p_value(a.agg(value), stats.permuted(a, "r_n_words", REPLICATES, SEED).groupBy("r").agg(value), "value"), "observed", "p", digits=6)
+    null = stats.null_of(a, "r_n_words", ["r_ttr", "r_n_chars"], lambda rows: rows.groupBy("r").agg(value), replicates.correlations(["r_ttr"], "r_n_chars"), REPLICATES, SEED)
+    return _r(stats.p_value(a.agg(value), null, "value"), "observed", "p", digits=6)
 
 
 @query("""WITH t AS (SELECT source, (1 + count(*) FILTER (lang = 'en')) / (1 + count(*))::DOUBLE AS p FROM documents GROUP BY source), r AS (SELECT source, p, row_number() OVER (ORDER BY p, source) AS k, count(*) OVER () AS m FROM t),
@@ -764,8 +765,12 @@ def c10_stratified_permutation(spark, sf):
     b = stats.bins(_analysis(spark, sf), "n_chars")
     seen = stats.stratified_spearman(b, "ttr", "n_words").withColumnRenamed("rho", "value")
     a = stats.indexed(stats.with_ranks(b, ["ttr", "n_words"], ["bin"]).select("doc_id", "bin", "r_ttr", "r_n_words"), "doc_id")
-    many = stats.permuted(a, "r_n_words", REPLICATES, SEED, ["bin"]).groupBy("r", "bin").agg(F.count("*").alias("n"), stats.pearson("r_ttr", "r_n_words").alias("rho"), (F.stddev_pop("r_ttr") * F.stddev_pop("r_n_words")).alias("v"))
-    null = many.filter("n >= 3 and v > 0").groupBy("r").agg((F.sum(F.col("n") * F.col("rho")) / F.sum("n")).alias("value"))
+
+    def joined(rows):
+        many = rows.groupBy("r", "bin").agg(F.count("*").alias("n"), stats.pearson("r_ttr", "r_n_words").alias("rho"), (F.stddev_pop("r_ttr") * F.stddev_pop("r_n_words")).alias("v"))
+        return many.filter("n >= 3 and v > 0").groupBy("r").agg((F.sum(F.col("n") * F.col("rho")) / F.sum("n")).alias("value"))
+
+    null = stats.null_of(a, "r_n_words", ["r_ttr"], joined, replicates.stratified("r_ttr", "bin", 3), REPLICATES, SEED, "bin")
     return _r(stats.p_value(seen, null, "value"), "observed", "p", digits=6)
 
 
@@ -830,7 +835,7 @@ n AS (SELECT r, avg(rk) FILTER (quality = 1) - avg(rk) FILTER (quality = 0) AS v
 def c16_rank_sum_permutation(spark, sf):
     a = stats.indexed(ranks.average_rank(_analysis(spark, sf), "n_words", "rk").select("doc_id", "quality", "rk"), "doc_id")
     value = (F.avg(F.when(F.col("quality") == 1, F.col("rk"))) - F.avg(F.when(F.col("quality") == 0, F.col("rk")))).alias("value")
-    null = stats.permuted(a, "quality", REPLICATES, SEED).groupBy("r").agg(value)
+    null = stats.null_of(a, "quality", ["rk"], lambda rows: rows.groupBy("r").agg(value), replicates.mean_difference("rk"), REPLICATES, SEED)
     return _r(_r(stats.p_value(a.agg(value), null, "value", two_sided=False, tolerance=0.0), "observed", digits=5), "p", digits=6)
 
 
