@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,31 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
+#: Words held at once in a Python worker.
+_WORDS = 1 << 19
+
+
+def split_runs(texts: Iterator[list[str | None]]) -> Iterator[tuple[pa.DictionaryArray, np.ndarray]]:
+    """``(words, lengths)`` of runs of texts, the words one text after the other and numbered: ``str.split`` parts at the characters of ``WHITE``. A null text has no words."""
+    held, lengths = [], []
+    for batch in texts:
+        for t in batch:
+            w = (t or "").split()
+            held += w
+            lengths.append(len(w))
+            if len(held) >= _WORDS:
+                yield pa.array(held, pa.string()).dictionary_encode(), np.array(lengths, np.int64)
+                held, lengths = [], []
+    if held:
+        yield pa.array(held, pa.string()).dictionary_encode(), np.array(lengths, np.int64)
+
+
+def windows(lengths: np.ndarray, n: int) -> np.ndarray:
+    """Where a window of n words begins that lies in one text."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    return np.flatnonzero(text[: max(0, len(text) - n + 1)] == text[n - 1 :]) if len(text) >= n else np.empty(0, np.int64)
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of Unicode word characters, lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.text import ngrams, words
+from plumbline.functions.text import ngrams, split_runs, windows, words
+from plumbline.sources.kept import keep
 
 Tokenizer = Callable[[Column], Column]
 #: Distinct item n-grams up to which they are broadcast against the corpus (about 100 bytes each).
@@ -29,6 +35,34 @@ def build_index(corpus: DataFrame | Iterable[DataFrame], n: int, text_col: str =
     return reduce(DataFrame.unionByName, tables).distinct()
 
 
+def gram_counts(df: DataFrame, id_col: str, n: int, text_col: str = "text") -> DataFrame:
+    """``(id, n_grams, n_distinct)`` of word n-grams, of ids that have any. They are counted where the text lies; only rows that share an id are shuffled by n-grams."""
+
+    def count(batches):
+        for batch in batches:
+            at, held, distinct = [], [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                w = (t or "").split()
+                if len(w) >= n:
+                    ends = list(accumulate(len(x) + 1 for x in w))
+                    joined = " ".join(w)
+                    at.append(k)
+                    held.append(len(w) - n + 1)
+                    distinct.append(len({joined[a : b - 1] for a, b in zip([0, *ends], ends[n - 1 :])}))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(held, pa.int64()), pa.array(distinct, pa.int64())], [id_col, "n_grams", "n_distinct"])
+
+    rows = df.select(id_col, text_col)
+    schema = T.StructType([rows.schema[id_col], T.StructField("n_grams", T.LongType()), T.StructField("n_distinct", T.LongType())])
+    again = keep(rows.groupBy(id_col).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(id_col).alias("_again")), "again")
+    many = again.count()
+    if not many:
+        return rows.mapInArrow(count, schema)
+    shared = F.broadcast(again) if many <= BROADCAST_GRAMS else again
+    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    apart = grams_of(rows.join(shared, same, "left_semi"), id_col, n, text_col).groupBy(id_col).agg(F.count("*").alias("n_grams"), F.count_distinct("gram").alias("n_distinct"))
+    return rows.join(shared, same, "left_anti").mapInArrow(count, schema).unionByName(apart)
+
+
 def index_size(corpus: DataFrame, n: int, text_col: str = "text", tokenizer: Tokenizer = words, separator: str = " ") -> DataFrame:
     """Number of distinct n-grams, counted by two 64-bit hashes of each: the n-grams themselves are not shuffled."""
     hashes = F.transform(ngrams(tokenizer(F.col(text_col)), n, separator), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))

@@ -364,7 +364,7 @@ def _overlap(n: int) -> str:
 
 @query(f"SELECT doc_id, count(*) AS n_grams, count(DISTINCT g) AS n_distinct FROM {_grams(13, 'documents', 'doc_id')} GROUP BY doc_id")
 def n1_ngrams(spark, sf):
-    return contamination.grams_of(_docs(spark, sf), "doc_id", 13).groupBy("doc_id").agg(F.count("*").alias("n_grams"), F.count_distinct("gram").alias("n_distinct"))
+    return contamination.gram_counts(_docs(spark, sf), "doc_id", 13)
 
 
 @query(f"SELECT DISTINCT g AS gram FROM {_grams(13, 'benchmark', 'item_id')}")
