@@ -63,10 +63,59 @@ def gram_counts(df: DataFrame, id_col: str, n: int, text_col: str = "text") -> D
     return rows.join(shared, same, "left_anti").mapInArrow(count, schema).unionByName(apart)
 
 
+#: Bytes of the corpus for each bucket of hashes.
+_BUCKET_BYTES = 8 << 20
+
+
+def _gram_hashes(words: pa.DictionaryArray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of each n-gram: words are hashed as a whole, n-grams by two polynomials of their words' hashes, which are mixed then."""
+    each = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words.dictionary.to_pylist()), "<u8").reshape(-1, 2)
+    codes, at = words.indices.to_numpy(), windows(lengths, n)
+    out = []
+    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        h, total = each[codes, k], np.zeros(len(at), np.uint64)
+        for i in range(n):
+            total = total * np.uint64(odd) + h[at + i]
+        total ^= total >> np.uint64(31)
+        total *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(total ^ (total >> np.uint64(29)))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
 def index_size(corpus: DataFrame, n: int, text_col: str = "text", tokenizer: Tokenizer = words, separator: str = " ") -> DataFrame:
-    """Number of distinct n-grams, counted by two 64-bit hashes of each: the n-grams themselves are not shuffled."""
-    hashes = F.transform(ngrams(tokenizer(F.col(text_col)), n, separator), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
-    return corpus.select(F.explode(hashes).alias("h")).select("h.*").distinct().agg(F.count("*").alias("n_grams"))
+    """Number of distinct n-grams, counted by hashes: the n-grams themselves are not shuffled.
+
+    N-grams of words are hashed to 96 bits, parted by hash and travel packed, 12 bytes each, once from each run of texts; a task counts one part, which has a share of the corpus of fixed size.
+    """
+    if tokenizer is not words or separator != " ":
+        hashes = F.transform(ngrams(tokenizer(F.col(text_col)), n, separator), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
+        return corpus.select(F.explode(hashes).alias("h")).select("h.*").distinct().agg(F.count("*").alias("n_grams"))
+    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-size // _BUCKET_BYTES)) if size < 1 << 50 else least  # above: unknown
+    kind = np.dtype([("one", "<u8"), ("two", "<u4")])
+
+    def pack(batches):
+        for some, lengths in split_runs(b.column(0).to_pylist() for b in batches):
+            one, two = _gram_hashes(some, lengths, n)
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
+            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.zeros(0, bool)
+            rows = np.empty(int(new.sum()), kind)
+            rows["one"], rows["two"] = one[new], two[new]
+            ends = np.searchsorted(rows["one"], np.array([(p << 64) // parts for p in range(1, parts)], np.uint64))
+            cut = [0, *ends.tolist(), len(rows)]
+            held = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([rows[cut[p] : cut[p + 1]].tobytes() for p in held], pa.binary())], ["part", "packed"])
+
+    def distinct(batches):
+        rows = np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(0)]])
+        order = np.lexsort((rows["two"], rows["one"]))
+        one, two = rows["one"][order], rows["two"][order]
+        yield pa.RecordBatch.from_arrays([pa.array([int(((one[1:] != one[:-1]) | (two[1:] != two[:-1])).sum()) + (len(rows) > 0)], pa.int64())], ["n"])
+
+    packed = corpus.select(text_col).mapInArrow(pack, "part int, packed binary").repartitionById(parts, "part")
+    return packed.select("packed").mapInArrow(distinct, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_grams"))
 
 
 def overlap(items: DataFrame, corpus: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text", tokenizer: Tokenizer = words, separator: str = " ") -> DataFrame:

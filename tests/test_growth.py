@@ -30,3 +30,14 @@ def test_grams_are_counted_where_the_text_lies(spark):
     for i, t in ((1, TEXTS[0]), (1, TEXTS[5]), (2, TEXTS[1]), (None, TEXTS[0]), (None, TEXTS[7])):
         each[i] += grams(t)
     assert {tuple(r) for r in contamination.gram_counts(both, "id", 3).collect()} == {(i, len(g), len(set(g))) for i, g in each.items()}
+
+
+@pytest.mark.parametrize("run", [1 << 19, 5])
+def test_index_size_packs_hashes(spark, monkeypatch, run):
+    monkeypatch.setattr(text, "_WORDS", run)
+    df = spark.createDataFrame([(t,) for t in TEXTS * 3] + [(" ".join(f"w{i * k % 97}" for i in range(400)),) for k in range(1, 30)], "text string").repartition(4)
+    for n in (1, 3, 13):
+        want = {tuple(w[i : i + n]) for (t,) in df.collect() for w in [(t or "").split()] for i in range(len(w) - n + 1)}
+        assert contamination.index_size(df, n).first()["n_grams"] == len(want)
+    assert contamination.index_size(df.limit(0), 3).first()["n_grams"] == 0
+    assert exchanges(contamination.index_size(df, 13), "part") and not exchanges(contamination.index_size(df, 13), "hashpartitioning(a")
