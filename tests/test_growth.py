@@ -41,3 +41,14 @@ def test_index_size_packs_hashes(spark, monkeypatch, run):
         assert contamination.index_size(df, n).first()["n_grams"] == len(want)
     assert contamination.index_size(df.limit(0), 3).first()["n_grams"] == 0
     assert exchanges(contamination.index_size(df, 13), "part") and not exchanges(contamination.index_size(df, 13), "hashpartitioning(a")
+
+
+@pytest.mark.parametrize("frequent", [200_000, 3, 0])
+def test_commonness_of_frequent_and_other_words(spark, monkeypatch, frequent):
+    monkeypatch.setattr(queries, "_FREQUENT", frequent)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3)
+    pooled = Counter(w for t in TEXTS for w in (t or "").split())
+    total = sum(pooled.values())
+    share = lambda w: sum(math.log(pooled[x] / total) for x in w) / len(w) if w else 0.0
+    out = queries._commonness(df, text.words(F.col("text")))
+    assert {r["doc_id"]: r["commonness"] for r in out.collect()} == {i: pytest.approx(share((t or "").split())) for i, t in enumerate(TEXTS)}
