@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from urllib.parse import quote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.text import words
+from plumbline.functions.text import split_runs, windows
+from plumbline.sources.kept import keep as kept
+
+#: Rows (of words) up to which a table is broadcast.
+BROADCAST_WORDS = 200_000
 
 
 def split_at(tokens: Column, prefix_len: int, suffix_len: int) -> tuple[Column, Column]:
@@ -31,21 +38,70 @@ def outcomes(df: DataFrame, suffix: str = "suffix", generated: str = "generated"
     return df.withColumn("extracted", F.col("matched_tokens") == size).withColumn("frac_extracted", F.when(size > 0, F.col("matched_tokens") / size).otherwise(F.lit(0.0)))
 
 
+def items(df: DataFrame, prefix_len: int, suffix_len: int, least: int, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """``(*keep, prefix, suffix)`` of texts of at least ``least`` words, which are at most ``prefix_len + suffix_len``; no more words of a text are read."""
+    most = prefix_len + suffix_len
+    if not 0 < prefix_len <= least <= most:
+        raise ValueError("least must lie between prefix_len and prefix_len + suffix_len")
+
+    def cut(batches):
+        for batch in batches:
+            w = [(t or "").split(None, most)[:most] for t in batch.column(len(keep)).to_pylist()]
+            at = [i for i, x in enumerate(w) if len(x) >= least]
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array([w[i][part] for i in at], pa.list_(pa.string())) for part in (slice(prefix_len), slice(prefix_len, None))]], [*keep, "prefix", "suffix"])
+
+    rows = df.select(*keep, text_col)
+    return rows.mapInArrow(cut, T.StructType([*rows.schema.fields[:-1], *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("prefix", "suffix")]]))
+
+
 def most_likely_next(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(prev, next)``: each word's most frequent follower, the smallest of equals."""
-    w = words(F.col(text_col))
-    pairs = corpus.select(F.explode(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("prev"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("next"))).alias("p")).select("p.*")
-    counts = pairs.groupBy("prev", "next").agg(F.count("*").alias("n"))
+    """``(prev, next)``: each word's most frequent follower, the smallest of equals. Pairs are counted in the worker by runs of texts first."""
+
+    def count(batches):
+        for words, lengths in split_runs(b.column(0).to_pylist() for b in batches):
+            codes, known = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+            at = windows(lengths, 2)
+            pairs, n = np.unique(codes[at] * known + codes[at + 1], return_counts=True)
+            for k in range(0, len(pairs), 1 << 16):
+                some = pairs[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(some // known)), words.dictionary.take(pa.array(some % known)), pa.array(n[k : k + (1 << 16)].astype(np.int64))], ["prev", "next", "n"])
+
+    counts = corpus.select(text_col).mapInArrow(count, "prev string, next string, n long").groupBy("prev", "next").agg(F.sum("n").alias("n"))
     return counts.groupBy("prev").agg(F.min(F.struct((-F.col("n")).alias("n"), "next")).alias("best")).select("prev", F.col("best.next").alias("next"))
 
 
-def generate(df: DataFrame, table: DataFrame, steps: int, prefix: str = "prefix") -> DataFrame:
-    """Add ``generated``: up to ``steps`` words after the prefix, stopping where a word has no follower."""
-    df = df.withColumn("generated", F.array().cast("array<string>")).withColumn("_last", F.element_at(prefix, -1))
+def _sent(df: DataFrame, n: int | None = None) -> DataFrame:
+    """A kept table, to be broadcast if it is small by count."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_WORDS else df
+
+
+def continuations(starts: DataFrame, table: DataFrame, steps: int) -> DataFrame:
+    """``(_last, generated)`` of each distinct word ``_last``: up to ``steps`` words after it. The table's rows that a step can reach are picked out first."""
+    starts = kept(starts.distinct(), "starts")
+    links, frontier = None, starts.select(F.col("_last").alias("prev"))
+    for k in range(steps):
+        n = frontier.count()
+        if not n and k:
+            break
+        found = kept(table.select("prev", "next").join(_sent(frontier, n), "prev", "left_semi"), "links")
+        links = found if links is None else links.unionByName(found)
+        if k < steps - 1:
+            frontier = kept(found.select(F.col("next").alias("prev")).distinct().join(links.select("prev"), "prev", "left_anti"), "frontier")
+    out = starts.withColumn("generated", F.array().cast("array<string>")).withColumn("_at", F.col("_last"))
+    links = _sent(links.withColumnsRenamed({"prev": "_prev", "next": "_next"}))
     for _ in range(steps):
-        df = df.join(table, F.col("_last") == F.col("prev"), "left")
-        df = df.withColumn("generated", F.when(F.col("next").isNotNull(), F.concat("generated", F.array("next"))).otherwise(F.col("generated"))).withColumn("_last", F.col("next")).drop("prev", "next")
-    return df.drop("_last")
+        out = out.join(links, F.col("_at") == F.col("_prev"), "left")
+        out = out.withColumn("generated", F.when(F.col("_next").isNotNull(), F.concat("generated", F.array("_next"))).otherwise(F.col("generated"))).withColumn("_at", F.col("_next")).drop("_prev", "_next")
+    return out.drop("_at")
+
+
+def generate(df: DataFrame, table: DataFrame, steps: int, prefix: str = "prefix") -> DataFrame:
+    """Add ``generated``: up to ``steps`` words after the prefix, stopping where a word has no follower. Only its last word counts, so each distinct one is continued once."""
+    df = df.withColumn("_last", F.element_at(prefix, -1))
+    made = _sent(kept(continuations(df.select("_last").filter("_last is not null"), table, steps), "continuations").withColumnRenamed("_last", "_of"))
+    out = df.join(made, F.col("_last") == F.col("_of"), "left")
+    return out.withColumn("generated", F.coalesce("generated", F.array().cast("array<string>"))).drop("_last", "_of")
 
 
 #: Upper ends of the buckets of matched tokens, with their names (fixed values).

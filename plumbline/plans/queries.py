@@ -453,11 +453,11 @@ def o4_order_test_by_arm(spark, sf):
 
 
 def _extracted(spark, sf) -> DataFrame:
-    arms = _arms(spark, sf).withColumn("w", text.words(F.col("text")))
-    table = extraction.most_likely_next(arms.filter("member = 1"))
-    prefix, suffix = extraction.split_at(F.col("w"), 10, 5)
-    items = arms.filter(F.size("w") >= 15).select("doc_id", "source", "member", prefix.alias("prefix"), suffix.alias("suffix"))
-    return keep(extraction.outcomes(extraction.generate(items, keep(table, "next"), 5)), "extracted")
+    arms = _arms(spark, sf)
+    table = keep(extraction.most_likely_next(arms.filter("member = 1")), "next")
+    items = keep(extraction.items(arms, 10, 5, 15, ("doc_id", "source", "member")), "items")
+    found = extraction.outcomes(extraction.generate(items, table, 5))
+    return keep(found.select("doc_id", "source", "member", "matched_tokens", "extracted", "frac_extracted"), "extracted")
 
 
 _EX = f"""{ARMS}, w AS (SELECT doc_id, source, member, {WORDS} AS w FROM arms),
@@ -553,11 +553,10 @@ leak AS (SELECT doc_id, {_types('suffix')} AS types, len({_types('suffix')}) > 0
 
 def _leaks(spark, sf) -> DataFrame:
     """Items with the kinds of personal data in their true continuation, and whether the generated one holds one of its values."""
-    arms = _arms(spark, sf).withColumn("w", text.words(F.col("text")))
+    arms = _arms(spark, sf)
     table = keep(extraction.most_likely_next(arms.filter("member = 1")), "next")
-    prefix, suffix = extraction.split_at(F.col("w"), _GIVEN, _CONTINUED)
-    items = arms.filter(F.size("w") > _GIVEN).select("doc_id", prefix.alias("prefix"), text.detokenise(suffix).alias("suffix")).filter(F.size(pii.types(F.col("suffix"))) > 0)
-    made = extraction.generate(items, table, _CONTINUED)
+    items = extraction.items(arms, _GIVEN, _CONTINUED, _GIVEN + 1, ("doc_id",)).withColumn("suffix", text.detokenise(F.col("suffix")))
+    made = extraction.generate(keep(items.filter(F.size(pii.types(F.col("suffix"))) > 0), "items"), table, _CONTINUED)
     return made.select("doc_id", pii.types(F.col("suffix")).alias("types"), pii.leaked(F.col("suffix"), text.detokenise(F.col("generated"))).alias("leaked"))
 
 

@@ -52,3 +52,29 @@ def test_commonness_of_frequent_and_other_words(spark, monkeypatch, frequent):
     share = lambda w: sum(math.log(pooled[x] / total) for x in w) / len(w) if w else 0.0
     out = queries._commonness(df, text.words(F.col("text")))
     assert {r["doc_id"]: r["commonness"] for r in out.collect()} == {i: pytest.approx(share((t or "").split())) for i, t in enumerate(TEXTS)}
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_each_last_word_is_continued_once(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(extraction, "BROADCAST_WORDS", broadcast)
+    corpus = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    follow = defaultdict(Counter)
+    for t in TEXTS:
+        w = (t or "").split()
+        for a, b in zip(w, w[1:]):
+            follow[a][b] += 1
+    best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in follow.items()}
+    table = extraction.most_likely_next(corpus)
+    assert {tuple(r) for r in table.collect()} == set(best.items())
+    df = spark.createDataFrame([(i, ["z", w]) for i, w in enumerate(["a", "b", "x", "y", "d", "a", "none", "vu"] * 3)], "id long, prefix array<string>")
+    made = extraction.generate(df, table, 5)
+    for r in made.collect():
+        want, at = [], r["prefix"][-1]
+        while at in best and len(want) < 5:
+            at = best[at]
+            want.append(at)
+        assert r["generated"] == want
+    assert made.count() == 24
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # whatever the number of steps
+    items = extraction.items(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string"), 2, 2, 3, ("id",))
+    assert {(r["id"], tuple(r["prefix"]), tuple(r["suffix"])) for r in items.collect()} == {(i, tuple(w[:2]), tuple(w[2:4])) for i, t in enumerate(TEXTS) for w in [(t or "").split()] if len(w) >= 3}
