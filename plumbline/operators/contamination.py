@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import ngrams, split_runs, windows, words
 from plumbline.sources.kept import keep
+from plumbline.sources.readers import size_of
 
 Tokenizer = Callable[[Column], Column]
 #: Distinct item n-grams up to which they are broadcast against the corpus (about 100 bytes each).
@@ -73,9 +74,12 @@ def _gram_hashes(words: pa.DictionaryArray, lengths: np.ndarray, n: int) -> tupl
     codes, at = words.indices.to_numpy(), windows(lengths, n)
     out = []
     for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-        h, total = each[codes, k], np.zeros(len(at), np.uint64)
+        h = each[codes, k]
+        every = np.zeros(max(0, len(h) - n + 1), np.uint64)  # windows that cross texts are left out after
         for i in range(n):
-            total = total * np.uint64(odd) + h[at + i]
+            every *= np.uint64(odd)
+            every += h[i : i + len(every)]
+        total = every[at]
         total ^= total >> np.uint64(31)
         total *= np.uint64(0xBF58476D1CE4E5B9)
         out.append(total ^ (total >> np.uint64(29)))
@@ -90,17 +94,15 @@ def index_size(corpus: DataFrame, n: int, text_col: str = "text", tokenizer: Tok
     if tokenizer is not words or separator != " ":
         hashes = F.transform(ngrams(tokenizer(F.col(text_col)), n, separator), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
         return corpus.select(F.explode(hashes).alias("h")).select("h.*").distinct().agg(F.count("*").alias("n_grams"))
-    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-size // _BUCKET_BYTES)) if size < 1 << 50 else least  # above: unknown
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(corpus) // _BUCKET_BYTES))
     kind = np.dtype([("one", "<u8"), ("two", "<u4")])
 
     def pack(batches):
         for some, lengths in split_runs(b.column(0).to_pylist() for b in batches):
             one, two = _gram_hashes(some, lengths, n)
-            order = np.lexsort((two, one))
+            order = np.argsort(one)
             one, two = one[order], two[order]
-            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.zeros(0, bool)
+            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.zeros(0, bool)  # equal ones apart by a collision of the first 64 bits may stay
             rows = np.empty(int(new.sum()), kind)
             rows["one"], rows["two"] = one[new], two[new]
             ends = np.searchsorted(rows["one"], np.array([(p << 64) // parts for p in range(1, parts)], np.uint64))
@@ -110,8 +112,11 @@ def index_size(corpus: DataFrame, n: int, text_col: str = "text", tokenizer: Tok
 
     def distinct(batches):
         rows = np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(0)]])
-        order = np.lexsort((rows["two"], rows["one"]))
+        order = np.argsort(rows["one"])
         one, two = rows["one"][order], rows["two"][order]
+        if ((one[1:] == one[:-1]) & (two[1:] != two[:-1])).any():
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
         yield pa.RecordBatch.from_arrays([pa.array([int(((one[1:] != one[:-1]) | (two[1:] != two[:-1])).sum()) + (len(rows) > 0)], pa.int64())], ["n"])
 
     packed = corpus.select(text_col).mapInArrow(pack, "part int, packed binary").repartitionById(parts, "part")

@@ -19,6 +19,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files a table is read from, as the planner has them; 0 where it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
 def first_of(readers: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[str, DataFrame]:
     """The first reader that works, with its name; raises with every failure if none does."""
     failures = []
