@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from urllib.parse import quote
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import split_runs, windows
 from plumbline.sources.kept import keep as kept
+from plumbline.sources.readers import size_of
 
 #: Rows (of words) up to which a table is broadcast.
 BROADCAST_WORDS = 200_000
+#: Bytes of the corpus for each part of its pairs of words.
+_PART_BYTES = 4 << 20
 
 
 def split_at(tokens: Column, prefix_len: int, suffix_len: int) -> tuple[Column, Column]:
@@ -56,19 +61,38 @@ def items(df: DataFrame, prefix_len: int, suffix_len: int, least: int, keep: tup
 
 
 def most_likely_next(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(prev, next)``: each word's most frequent follower, the smallest of equals. Pairs are counted in the worker by runs of texts first."""
+    """``(prev, next)``: each word's most frequent follower, the smallest of equals.
+
+    Pairs are counted by runs of texts in the worker, parted by their hash and sent packed; each part is summed in batches too, and gives its best pair of each word.
+    """
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(corpus) // _PART_BYTES))
+    names = ["prev", "next", "n"]
 
     def count(batches):
         for words, lengths in split_runs(b.column(0).to_pylist() for b in batches):
-            codes, known = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
-            at = windows(lengths, 2)
+            codes, known, at = words.indices.to_numpy().astype(np.int64), len(words.dictionary), windows(lengths, 2)
             pairs, n = np.unique(codes[at] * known + codes[at + 1], return_counts=True)
-            for k in range(0, len(pairs), 1 << 16):
-                some = pairs[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(some // known)), words.dictionary.take(pa.array(some % known)), pa.array(n[k : k + (1 << 16)].astype(np.int64))], ["prev", "next", "n"])
-
-    counts = corpus.select(text_col).mapInArrow(count, "prev string, next string, n long").groupBy("prev", "next").agg(F.sum("n").alias("n"))
-    return counts.groupBy("prev").agg(F.min(F.struct((-F.col("n")).alias("n"), "next")).alias("best")).select("prev", F.col("best.next").alias("next"))
+            one, two = pairs // known, pairs % known
+            each = np.array([crc32(w.encode()) for w in words.dictionary.to_pylist()], np.uint64)
+            mixed = (each[one] * np.uint64(0x9E3779B97F4A7C15) + each[two]) * np.uint64(0xBF58476D1CE4E5B9)
+            part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            held, begin = np.unique(part[order], return_index=True)
+            offsets = pa.array(np.append(begin, len(order)).astype(np.int32))
+            columns = [words.dictionary.take(pa.array(one[order])), words.dictionary.take(pa.array(two[order])), pa.array(n[order].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(held), *[pa.ListArray.from_arrays(offsets, c) for c in columns]], ["part", *names])
+
+    def best(batches):
+        some = [pa.table([c.flatten() for c in b.columns[1:]], names) for b in batches]
+        if some:
+            summed = pa.concat_tables(some).group_by(["prev", "next"]).aggregate([("n", "sum")])
+            most = summed.group_by("prev").aggregate([("n_sum", "max")])
+            top = summed.join(most, "prev").filter(pc.field("n_sum") == pc.field("n_sum_max")).group_by("prev").aggregate([("next", "min"), ("n_sum", "max")])
+            yield from top.select(["prev", "next_min", "n_sum_max"]).rename_columns(names).to_batches(1 << 16)
+
+    packed = corpus.select(text_col).mapInArrow(count, "part int, prev array<string>, next array<string>, n array<long>").repartitionById(parts, "part")
+    each = packed.mapInArrow(best, "prev string, next string, n long")
+    return each.groupBy("prev").agg(F.min(F.struct((-F.col("n")).alias("n"), "next")).alias("best")).select("prev", F.col("best.next").alias("next"))
 
 
 def _sent(df: DataFrame, n: int | None = None) -> DataFrame:
