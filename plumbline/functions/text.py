@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,34 @@ def windows(lengths: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(text[: max(0, len(text) - n + 1)] == text[n - 1 :]) if len(text) >= n else np.empty(0, np.int64)
 
 
+def with_word_counts(df: DataFrame, held: list[str], text_col: str = "text", compressed: bool = False) -> DataFrame:
+    """``(*held, n_words, ttr)``: words of each text and their type-token ratio, split once, by ``str.split``; its compressibility too, if asked for."""
+
+    def count(batches):
+        for batch in batches:
+            texts = batch.column(len(held)).to_pylist()
+            w = [None if t is None else t.split() for t in texts]
+            more = [pa.array([_compressibility(t) for t in texts], pa.float64())] if compressed else []
+            n, ttr = [None if x is None else len(x) for x in w], [len(set(x)) / len(x) if x else 0.0 for x in w]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ttr, pa.float64()), *more], names)
+
+    rows = df.select(*held, text_col)
+    made = [("n_words", T.LongType()), ("ttr", T.DoubleType()), *([("compressibility", T.DoubleType())] if compressed else [])]
+    names = [*held, *[c for c, _ in made]]
+    return rows.mapInArrow(count, T.StructType([*rows.schema.fields[:-1], *[T.StructField(*c) for c in made]]))
+
+
+def with_words(df: DataFrame, held: list[str], text_col: str = "text") -> DataFrame:
+    """``(*held, tokens)``: the words of each text, by ``str.split``."""
+
+    def split(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([None if t is None else t.split() for t in batch.column(len(held)).to_pylist()], pa.list_(pa.string()))], [*held, "tokens"])
+
+    rows = df.select(*held, text_col)
+    return rows.mapInArrow(split, T.StructType([*rows.schema.fields[:-1], T.StructField("tokens", T.ArrayType(T.StringType()))]))
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of Unicode word characters, lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
@@ -132,7 +160,12 @@ def zlib_bits(text):
     return text.map(lambda t: 8 * len(zlib.compress((t or "").encode())))
 
 
+def _compressibility(t: str | None) -> float:
+    plain = (t or "").encode()
+    return 1 - len(zlib.compress(plain, 6)) / max(1, len(plain))
+
+
 @F.pandas_udf(T.DoubleType())
 def compressibility(text):
     """1 minus compressed over plain bytes."""
-    return text.map(lambda t: 1 - len(zlib.compress((t or "").encode(), 6)) / max(1, len((t or "").encode())))
+    return text.map(_compressibility)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import pii, text
-from plumbline.operators import contamination, controls, extraction, order_test, ranks, replicates, sampling, scoring, stats
+from plumbline.operators import contamination, controls, extraction, frequency, order_test, ranks, replicates, sampling, scoring, stats
 from plumbline.sources import readers
 from plumbline.sources.kept import keep
 
@@ -593,26 +593,7 @@ _FREQUENT = 200_000
 
 
 def _commonness(df: DataFrame, tokens) -> DataFrame:
-    """Mean log share of a text's tokens in the pooled counts; 0 without tokens."""
-    rows = df.select("doc_id", F.explode(tokens).alias("t"))
-    pooled = keep(rows.groupBy("t").agg(F.count("*").alias("c")), "pooled")
-    sizes = pooled.groupBy(F.length(F.bin("c")).alias("bits")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.col("bits").desc()).collect()  # 63 rows at most
-    total, held, least = sum(s["c"] for s in sizes), 0, 1 << 62
-    for s in sizes:
-        held += s["n"]
-        if held > _FREQUENT:
-            break
-        least = 1 << (s["bits"] - 1)
-    share = F.log(F.col("c") / F.lit(total))
-    near = rows.join(F.broadcast(pooled.filter(F.col("c") >= least).select("t", share.alias("s"))), "t", "left")
-    # a row a text for all its frequent words, and one for each other word
-    parts = near.groupBy("doc_id", F.when(F.col("s").isNull(), F.col("t")).alias("t")).agg(F.sum("s").alias("s"), F.count("*").alias("n"))
-    if least > 1:
-        parts = keep(parts, "parts")
-        far = parts.filter("t is not null").join(pooled.filter(F.col("c") < least), "t").select("doc_id", (F.col("n") * share).alias("s"), "n")
-        parts = parts.filter("t is null").select("doc_id", "s", "n").unionByName(far)
-    mean = parts.groupBy("doc_id").agg((F.sum("s") / F.sum("n")).alias("commonness"))
-    return df.select("doc_id").join(mean, "doc_id", "left").select("doc_id", F.coalesce("commonness", F.lit(0.0)).alias("commonness"))
+    return frequency.commonness(df.select("doc_id", tokens.alias("tokens")), "doc_id", _FREQUENT)
 
 
 def _common_sql(tokens: str) -> str:
@@ -627,7 +608,8 @@ def f6_word_commonness(spark, sf):
 
 @query(_common_sql(WORDS))
 def f7_frequency_proxy(spark, sf):
-    return _r(_commonness(_docs(spark, sf), text.words(F.col("text"))), "commonness", digits=6)
+    d = _docs(spark, sf)
+    return _r(frequency.commonness(text.with_words(d, ["doc_id"]), "doc_id", _FREQUENT, d), "commonness", digits=6)
 
 
 @query()
