@@ -43,7 +43,7 @@ def _docs(spark, sf):
 
 def _analysis(spark, sf) -> DataFrame:
     """One row a labelled document: the inputs of ranks and statistics."""
-    d = _docs(spark, sf).select("doc_id", "lang", "source", "n_chars", F.size(text.words(F.col("text"))).cast("long").alias("n_words"), text.type_token_ratio(F.col("text")).alias("ttr"))
+    d = text.with_word_counts(_docs(spark, sf), ["doc_id", "lang", "source", "n_chars"])
     return keep(d.join(_table(spark, sf, "labels"), "doc_id"), "analysis")
 
 
@@ -612,10 +612,15 @@ def f7_frequency_proxy(spark, sf):
     return _r(frequency.commonness(text.with_words(d, ["doc_id"]), "doc_id", _FREQUENT, d), "commonness", digits=6)
 
 
+def _base_features(spark, sf, compressed: bool = False) -> DataFrame:
+    t, held = F.col("text"), ["doc_id", "repeated_lines", "digit_frac", "punct_frac"]
+    d = _docs(spark, sf).select("doc_id", "text", text.repeated_lines(t).alias("repeated_lines"), text.digit_share(t).alias("digit_frac"), text.punctuation_share(t).alias("punct_frac"))
+    return keep(text.with_word_counts(d, held, compressed=compressed).drop("n_words").withColumnRenamed("ttr", "type_token_ratio"), "features")
+
+
 @query()
 def f8_feature_table(spark, sf):
-    t = F.col("text")
-    base = _docs(spark, sf).select("doc_id", text.compressibility(t).alias("compressibility"), text.repeated_lines(t).alias("repeated_lines"), text.digit_share(t).alias("digit_frac"), text.punctuation_share(t).alias("punct_frac"), text.type_token_ratio(t).alias("type_token_ratio"))
+    base = _base_features(spark, sf, True).select("doc_id", "compressibility", "repeated_lines", "digit_frac", "punct_frac", "type_token_ratio")
     return base.join(t14_prefix_only_scores(spark, sf), "doc_id").join(f6_word_commonness(spark, sf), "doc_id").join(_extracted(spark, sf).select("doc_id", "member", "matched_tokens"), "doc_id")
 
 
@@ -993,9 +998,7 @@ _FEATURES = ("repeated_lines", "digit_frac", "punct_frac", "type_token_ratio", "
 
 
 def _arm_features(spark, sf) -> DataFrame:
-    t = F.col("text")
-    base = _docs(spark, sf).select("doc_id", text.repeated_lines(t).alias("repeated_lines"), text.digit_share(t).alias("digit_frac"), text.punctuation_share(t).alias("punct_frac"), text.type_token_ratio(t).alias("type_token_ratio"))
-    out = base.join(t14_prefix_only_scores(spark, sf).select("doc_id", "prefix_loss"), "doc_id").join(f6_word_commonness(spark, sf).withColumnRenamed("commonness", "word_commonness"), "doc_id")
+    out = _base_features(spark, sf).join(t14_prefix_only_scores(spark, sf).select("doc_id", "prefix_loss"), "doc_id").join(f6_word_commonness(spark, sf).withColumnRenamed("commonness", "word_commonness"), "doc_id")
     return _r(out.join(_extracted(spark, sf).select("doc_id", "member", "matched_tokens"), "doc_id"), *_FEATURES, digits=_DIGITS)
 
 
