@@ -45,19 +45,22 @@ def windows(lengths: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(text[: max(0, len(text) - n + 1)] == text[n - 1 :]) if len(text) >= n else np.empty(0, np.int64)
 
 
-def with_word_counts(df: DataFrame, held: list[str], text_col: str = "text", compressed: bool = False) -> DataFrame:
-    """``(*held, n_words, ttr)``: words of each text and their type-token ratio, split once, by ``str.split``; its compressibility too, if asked for."""
+def with_word_counts(df: DataFrame, held: list[str], text_col: str = "text", lines: bool = False, compressed: bool = False) -> DataFrame:
+    """``(*held, n_words, ttr)``: words of each text and their type-token ratio, split once, by ``str.split``; its share of repeated lines and its compressibility too, if asked for.
+
+    ``str.splitlines`` and ``str.strip`` part and trim at the characters of ``repeated_lines``.
+    """
 
     def count(batches):
         for batch in batches:
             texts = batch.column(len(held)).to_pylist()
             w = [None if t is None else t.split() for t in texts]
-            more = [pa.array([_compressibility(t) for t in texts], pa.float64())] if compressed else []
+            more = [pa.array([of(t) for t in texts], pa.float64()) for _, of in features]
             n, ttr = [None if x is None else len(x) for x in w], [len(set(x)) / len(x) if x else 0.0 for x in w]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ttr, pa.float64()), *more], names)
 
-    rows = df.select(*held, text_col)
-    made = [("n_words", T.LongType()), ("ttr", T.DoubleType()), *([("compressibility", T.DoubleType())] if compressed else [])]
+    rows, features = df.select(*held, text_col), [*([("repeated_lines", _repeated_lines)] if lines else []), *([("compressibility", _compressibility)] if compressed else [])]
+    made = [("n_words", T.LongType()), ("ttr", T.DoubleType()), *[(c, T.DoubleType()) for c, _ in features]]
     names = [*held, *[c for c, _ in made]]
     return rows.mapInArrow(count, T.StructType([*rows.schema.fields[:-1], *[T.StructField(*c) for c in made]]))
 
@@ -160,6 +163,11 @@ def zlib_bits(text):
     return text.map(lambda t: 8 * len(zlib.compress((t or "").encode())))
 
 
+def _repeated_lines(t: str | None) -> float:
+    lines = [y for x in (t or "").splitlines() if (y := x.strip())]
+    return 1 - len(set(lines)) / len(lines) if lines else 0.0
+
+
 def _compressibility(t: str | None) -> float:
     plain = (t or "").encode()
     return 1 - len(zlib.compress(plain, 6)) / max(1, len(plain))

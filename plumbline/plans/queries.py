@@ -613,9 +613,9 @@ def f7_frequency_proxy(spark, sf):
 
 
 def _base_features(spark, sf, compressed: bool = False) -> DataFrame:
-    t, held = F.col("text"), ["doc_id", "repeated_lines", "digit_frac", "punct_frac"]
-    d = _docs(spark, sf).select("doc_id", "text", text.repeated_lines(t).alias("repeated_lines"), text.digit_share(t).alias("digit_frac"), text.punctuation_share(t).alias("punct_frac"))
-    return keep(text.with_word_counts(d, held, compressed=compressed).drop("n_words").withColumnRenamed("ttr", "type_token_ratio"), "features")
+    t, held = F.col("text"), ["doc_id", "digit_frac", "punct_frac"]
+    d = _docs(spark, sf).select("doc_id", "text", text.digit_share(t).alias("digit_frac"), text.punctuation_share(t).alias("punct_frac"))
+    return keep(text.with_word_counts(d, held, lines=True, compressed=compressed).drop("n_words").withColumnRenamed("ttr", "type_token_ratio"), "features")
 
 
 @query()

@@ -78,3 +78,13 @@ def test_each_last_word_is_continued_once(spark, monkeypatch, broadcast):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # whatever the number of steps
     items = extraction.items(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string"), 2, 2, 3, ("id",))
     assert {(r["id"], tuple(r["prefix"]), tuple(r["suffix"])) for r in items.collect()} == {(i, tuple(w[:2]), tuple(w[2:4])) for i, t in enumerate(TEXTS) for w in [(t or "").split()] if len(w) >= 3}
+
+
+def test_features_in_one_pass_are_those_of_the_columns(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u2028", "\u2029", "\xa0", "\t", "\u3000", "\u200b", "\u180e"]
+    texts = [None, "", " ", "a\n\na\n", *[f"a {e}b{e} a{e}a {e}{e} b\u2003{e}" for e in ends], *[f"x{a}{b}x{a} {b}y" for a in ends for b in ends]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    t = F.col("text")
+    want = df.select("id", F.size(text.words(t)).cast("long").alias("n"), text.type_token_ratio(t), text.repeated_lines(t), text.compressibility(t))
+    got = text.with_word_counts(df, ["id"], lines=True, compressed=True)
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [tuple(r) for r in want.orderBy("id").collect()]
